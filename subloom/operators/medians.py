@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subloom.operators.skew import HEAVY_ROWS
+from subloom.operators.skew import BROADCAST_ROWS, HEAVY_ROWS
 
 ACCURACY = 10_000
 # Half the bracket width in rank terms: five times the sketch's own error bound.
@@ -20,12 +20,16 @@ MARGIN = 5 / ACCURACY
 
 
 def exact_medians(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], row_bound: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    row_bound: int | None = None,
+    group_bound: int | None = None,
 ) -> DataFrame:
     """One row per key with the exact median of each column (null if it has no values).
 
     ``row_bound`` is a known upper bound on the rows of ``df``; few enough rows go through
-    ``F.median`` in one pass.
+    ``F.median`` in one pass. ``group_bound`` is one on the groups; few groups are broadcast.
     """
     keys = list(keys)
     if row_bound is not None and row_bound <= HEAVY_ROWS:
@@ -39,7 +43,9 @@ def exact_medians(
         ],
         *[F.count(f"x{i}").alias(f"n{i}") for i, _ in numbered],
     )
-    tagged = values.join(brackets, keys) if keys else _with_single_row(values, brackets)
+    few = group_bound is not None and group_bound <= BROADCAST_ROWS
+    side = F.broadcast(brackets) if few else brackets
+    tagged = values.join(side, keys) if keys else _with_single_row(values, brackets)
     cells = F.array(*[_cell(i) for i, _ in numbered])
     counted = (
         tagged.select(*keys, F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("cell"))

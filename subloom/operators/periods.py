@@ -89,7 +89,9 @@ def period_features(
             parts.append(_from_arrays(narrow, key, periods, period_sets, numeric))
         else:
             light = _from_arrays(heavy.without(narrow), key, periods, period_sets, numeric)
-            large = _from_partials(heavy.only(narrow), key, periods, period_sets, numeric)
+            large = _from_partials(
+                heavy.only(narrow), key, periods, period_sets, numeric, heavy.count
+            )
             parts.append(light.unionByName(large))
     if valued:
         narrow = _narrow(rows, key, period_col, valued)
@@ -188,7 +190,7 @@ def _array_stat(values: str, stat: str, sum_type: str) -> str:
     }[stat]
 
 
-def _from_partials(df, key, periods, period_sets, measures) -> DataFrame:
+def _from_partials(df, key, periods, period_sets, measures, key_count: int) -> DataFrame:
     partial = df.groupBy(key, "period").agg(
         *[
             agg(m.name).alias(f"{m.name}_{tag}")
@@ -235,6 +237,7 @@ def _from_partials(df, key, periods, period_sets, measures) -> DataFrame:
         in_sets.select(key, F.explode("set").alias("set"), *[m.name for m in with_median]),
         [key, "set"],
         [m.name for m in with_median],
+        group_bound=key_count * len(period_sets),
     )
     medians = by_set.groupBy(key).agg(
         *[

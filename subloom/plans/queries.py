@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from subloom.functions.dates import compact, days_until, month_start
 from subloom.functions.numeric import age_bin, right_closed_bins, to_class
 from subloom.functions.rowwise import count_present, row_mean
+from subloom.learning.bagging import fit_folds
+from subloom.learning.importance import fold_importances, mean_importances
+from subloom.learning.members import CHURN_MEMBERS, GAP_MEMBERS
+from subloom.learning.stacking import INNER_FOLDS, fit_stacked
 from subloom.operators import encoding
 from subloom.operators.assemble import attach_features, fill_constant
 from subloom.operators.correction import with_corrected_date
@@ -31,7 +35,7 @@ from subloom.operators.impute import fill_with_mean, fill_with_median
 from subloom.operators.periods import PeriodSpec
 from subloom.operators.profiles import split_by_label, tag_and_union
 from subloom.operators.snapshots import compare_snapshots
-from subloom.plans import retail
+from subloom.plans import retail, training
 from subloom.plans.churn import amount_specs, assemble_churn, family_features, gap_specs
 from subloom.plans.churn import money_specs, payment_specs
 from subloom.plans.replacement import replacement_features
@@ -486,6 +490,76 @@ def store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return tag_and_union(train, written)
 
 
+# Learning
+
+ROUNDS = 5
+
+
+def _quick(members):
+    """Few rounds: these queries show the whole path, not the best score."""
+    return [replace(m, rounds=ROUNDS) for m in members]
+
+
+def _churn_input(spark: SparkSession, sf: str):
+    return training.churn_matrix(write_through(churn_matrix(spark, sf), "churn-coded"))
+
+
+def _gap_input(spark: SparkSession, sf: str, k: int = training.GAP_FOLDS):
+    stored = write_through(replacement_matrix(spark, sf), "replacement-coded")
+    return training.gap_matrix(stored, k)
+
+
+def importance(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = _churn_input(spark, sf)
+    models = fit_folds(
+        training.labelled(matrix), _quick(CHURN_MEMBERS), "clf", training.CHURN_FOLDS
+    )
+    return mean_importances(fold_importances(models, matrix.names), models.k)
+
+
+def churn_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold scores of the train part and bagged scores of the test part."""
+    matrix = _churn_input(spark, sf)
+    models, held_out = training.train_churn(matrix, _quick(CHURN_MEMBERS))
+    test = training.score_churn(matrix, models)
+    columns = ["USER_ID", "fold", "label", "score", "IS_LOST"]
+    return tag_and_union(held_out.select(columns), test.select(columns))
+
+
+def gap_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrected dates: out-of-fold with their error, and bagged for the test part."""
+    matrix = _gap_input(spark, sf)
+    models, held_out = training.train_gap(matrix, retail.LIMITS, _quick(GAP_MEMBERS))
+    test = training.score_gap(matrix, models, retail.LIMITS)
+    columns = ["USER_ID", "fold", "score", compact(F.col("pred_date")).alias("pred_date")]
+    return tag_and_union(held_out.select(*columns, "diff"), test.select(columns))
+
+
+def stack_clf(spark: SparkSession, sf: str) -> DataFrame:
+    stored = write_through(churn_matrix(spark, sf), "churn-coded")
+    matrix = training.churn_matrix(stored, INNER_FOLDS)
+    model, _ = fit_stacked(training.labelled(matrix), _quick(CHURN_MEMBERS), "clf")
+    scored = model.predict(training.unlabelled(matrix))
+    return scored.select("USER_ID", "stacked", to_class(F.col("stacked")).alias("IS_LOST"))
+
+
+def stack_reg(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = _gap_input(spark, sf, INNER_FOLDS)
+    model, _ = fit_stacked(training.labelled(matrix), _quick(GAP_MEMBERS), "reg")
+    dated = with_corrected_date(
+        model.predict(training.unlabelled(matrix)), "stacked", retail.LIMITS, truth=None
+    )
+    return dated.select("USER_ID", "stacked", compact(F.col("pred_date")).alias("pred_date"))
+
+
+LEARNING: dict[str, Query] = {
+    "q_importance": importance,
+    "q_churn_gbt": churn_gbt,
+    "q_gap_gbt": gap_gbt,
+    "q_stack_reg": stack_reg,
+    "q_stack_clf": stack_clf,
+}
+
 RELATIONAL: dict[str, Query] = {
     "q_period_fee": period_fee,
     "q_period_usage": period_usage,

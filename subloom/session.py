@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +54,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_through(df: DataFrame, name: str) -> DataFrame:
+def write_through(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Store a wide table in the shared folder and read it back: computed once, and later
     readers fetch only the columns they use."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
