@@ -133,7 +133,7 @@ def encode(df: DataFrame, levels: Levels, columns: Sequence[str]) -> DataFrame:
 def encode_categories(
     df: DataFrame, columns: Sequence[str], null_code: int | None = -1
 ) -> DataFrame:
-    """Sorted codes over the whole frame. Nulls first become ``null_code``, a level like any
+    """Sorted codes over the whole frame, which is read twice: store a costly one first. Nulls first become ``null_code``, a level like any
     other; with None they stay null."""
     filled = df if null_code is None else fill_constant(df, columns, null_code)
     return encode(filled, fit_levels(filled, columns), columns)
@@ -142,7 +142,7 @@ def encode_categories(
 def one_hot(df: DataFrame, columns: Sequence[str], limit: int = MAX_DENSE_LEVELS) -> DataFrame:
     """A 0/1 column ``{column}_{value}`` per level in place of each column.
 
-    Values count as text and null is a level of its own, ``nan``. A column with more than
+    The frame is read twice: store a costly one first. Values count as text and null is a level of its own, ``nan``. A column with more than
     ``limit`` levels is refused; use ``pyspark.ml.feature.OneHotEncoder`` (sparse) for it.
     """
     text = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns})

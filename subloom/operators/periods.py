@@ -106,23 +106,28 @@ def _uses(spec: PeriodSpec, set_name: str) -> bool:
 
 
 def _measures(specs, period_sets, kinds) -> list[_Measure]:
-    measures = []
+    """Specs of the same column over the same rows share one measure."""
+    unknown = {s for spec in specs for s in spec.stats} - set(NUMERIC_STATS) - set(VALUE_STATS)
+    if unknown:
+        raise ValueError(f"unknown statistics: {sorted(unknown)}")
+    grouped: dict[tuple, list] = {}
     for i, spec in enumerate(specs):
-        wanted = tuple(
+        wanted = [
             (n, stat, spec.output(n, stat))
             for n in period_sets
             if _uses(spec, n)
             for stat in spec.stats
             if stat in kinds
-        )
+        ]
         if wanted:
+            whole = spec.where is None
             value = F.col(spec.column)
-            source = value if spec.where is None else F.when(spec.where, value)
-            measures.append(_Measure(f"v{i}", source, wanted))
-    unknown = {s for spec in specs for s in spec.stats} - set(NUMERIC_STATS) - set(VALUE_STATS)
-    if unknown:
-        raise ValueError(f"unknown statistics: {sorted(unknown)}")
-    return measures
+            source = value if whole else F.when(spec.where, value)
+            grouped.setdefault((spec.column, None if whole else i), [source, []])[1].extend(wanted)
+    return [
+        _Measure(f"v{i}", source, tuple(wanted))
+        for i, (source, wanted) in enumerate(grouped.values())
+    ]
 
 
 def _narrow(rows: DataFrame, key: str, period_col: str, measures: Sequence[_Measure]) -> DataFrame:

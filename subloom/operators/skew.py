@@ -39,16 +39,19 @@ def find_heavy_keys(
     keys: Sequence[str],
     limit: int = HEAVY_ROWS,
     row_bound: int | None = None,
+    weight: str | None = None,
 ) -> HeavyKeys | None:
     """Keys with more than ``limit`` rows, or None when there are none.
 
     ``row_bound`` is a known upper bound on the rows of ``df`` (a Parquet row count costs
     only the footers); below the limit no key can be heavy and nothing runs. Otherwise one
-    counting pass over the key columns decides, with map-side combine.
+    counting pass over the key columns decides, with map-side combine. ``weight`` is a column
+    of row counts, for a frame that is counted in part already.
     """
     if row_bound is not None and row_bound <= limit:
         return None
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = df.groupBy(*keys).agg(rows.alias("rows"))
     frame = materialize(counted.filter(F.col("rows") > limit).select(*keys))
     count = frame.count()
     return HeavyKeys(frame, tuple(keys), count) if count else None

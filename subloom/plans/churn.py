@@ -125,19 +125,24 @@ def with_settlement_gaps(settlements: DataFrame, settings: ChurnSettings) -> Dat
 
 @dataclass(frozen=True)
 class Family:
-    """A source table, the statistics wanted of it, and how many rows it has if known."""
+    """A source table and the statistics wanted of it; how many rows it has if known, and row
+    counts (key, ``rows``) if there is a cheaper way to them than counting ``rows``."""
 
     rows: DataFrame
     specs: Sequence[PeriodSpec]
     sets: Mapping[str, Sequence]
     row_bound: int | None = None
+    counts: DataFrame | None = None
 
 
 def family_features(family: Family, key: str, period_col: str, heavy_rows: int) -> DataFrame:
     """Keys too large to gather are looked for within the periods only."""
-    periods = sorted({p for ps in family.sets.values() for p in ps})
-    recent = family.rows.filter(F.col(period_col).isin(periods))
-    heavy = find_heavy_keys(recent, [key], heavy_rows, family.row_bound)
+    if family.counts is not None:
+        heavy = find_heavy_keys(family.counts, [key], heavy_rows, family.row_bound, "rows")
+    else:
+        periods = sorted({p for ps in family.sets.values() for p in ps})
+        recent = family.rows.filter(F.col(period_col).isin(periods))
+        heavy = find_heavy_keys(recent, [key], heavy_rows, family.row_bound)
     return period_features(family.rows, key, period_col, family.sets, family.specs, heavy)
 
 

@@ -196,7 +196,7 @@ def one_hot(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"),
         )
     )
-    return encoding.one_hot(people, ["segment", "status"])
+    return encoding.one_hot(write_through(people, "statuses"), ["segment", "status"])
 
 
 def brand_flags(spark: SparkSession, sf: str) -> DataFrame:

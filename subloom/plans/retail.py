@@ -130,6 +130,15 @@ def row_count(spark: SparkSession, sf: str, name: str) -> int:
     return table(spark, sf, name).count()
 
 
+def line_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines per user, counted per order before the join."""
+    orders = orders_between(spark, sf, *_year_range(YEARS)).select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("USER_ID")
+    )
+    per_order = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("rows"))
+    return per_order.join(orders, "l_orderkey")
+
+
 def bill_family(spark: SparkSession, sf: str) -> Family:
     specs = amount_specs(["TOTAL_FEE"], YEARS)
     return Family(bills(spark, sf), specs, YEARS.sets, row_count(spark, sf, "orders"))
@@ -143,7 +152,8 @@ def line_family(spark: SparkSession, sf: str, specs=None) -> Family:
             *money_specs(YEARS, ["ODD_MONEY"]),
             *gap_specs(YEARS),
         ]
-    return Family(lines(spark, sf), specs, YEARS.sets, row_count(spark, sf, "lineitem"))
+    bound = row_count(spark, sf, "lineitem")
+    return Family(lines(spark, sf), specs, YEARS.sets, bound, line_counts(spark, sf))
 
 
 def payment_family(spark: SparkSession, sf: str, specs=None) -> Family:
