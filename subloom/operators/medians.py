@@ -1,22 +1,26 @@
 """Exact medians for groups of any size.
 
-``F.median`` keeps every distinct value of a group in one buffer. Here a mergeable quantile
-sketch brackets the middle first; only the few values inside the bracket are then counted,
-spread over the cluster by value, and ranked.
+``F.median`` keeps every distinct value of a group in one buffer. Here a histogram with bins of
+equal ratio tells which bin holds the middle; only that bin's values are counted, spread over
+the cluster by value; a second, even cut of the bin leaves few values to rank. Every step but
+the last combines on the map side, and no step holds a whole group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from subloom.operators.skew import BROADCAST_ROWS, HEAVY_ROWS
+from subloom.session import materialize
 
-ACCURACY = 10_000
-# Half the bracket width in rank terms: five times the sketch's own error bound.
-MARGIN = 5 / ACCURACY
+# Bins per factor e of the values' size, and even parts a bin is cut into afterwards.
+BINS = 1024
+PARTS = 4096
+# Ranks of the two middle values, from 1.
+LOW, HIGH = "(n + 1) div 2", "n div 2 + 1"
 
 
 def exact_medians(
@@ -25,80 +29,118 @@ def exact_medians(
     columns: Sequence[str],
     row_bound: int | None = None,
     group_bound: int | None = None,
+    period_col: str | None = None,
+    period_sets: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
     """One row per key with the exact median of each column (null if it has no values).
 
     ``row_bound`` is a known upper bound on the rows of ``df``; few enough rows go through
-    ``F.median`` in one pass. ``group_bound`` is one on the groups; few groups are broadcast.
+    ``F.median`` in one pass. ``group_bound`` is one on the keys; few are broadcast. With
+    ``period_sets`` there is one row per key and ``set`` of periods; rows are counted per period
+    and only the counts are repeated for each set. The rows are read twice, right away; the
+    counts in between are stored.
     """
     keys = list(keys)
-    if row_bound is not None and row_bound <= HEAVY_ROWS:
+    if row_bound is not None and row_bound <= HEAVY_ROWS and period_sets is None:
         return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns])
-    numbered = list(enumerate(columns))
-    values = df.select(*keys, *[F.col(c).cast("double").alias(f"x{i}") for i, c in numbered])
-    brackets = values.groupBy(*keys).agg(
-        *[
-            F.percentile_approx(f"x{i}", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias(f"b{i}")
-            for i, _ in numbered
-        ],
-        *[F.count(f"x{i}").alias(f"n{i}") for i, _ in numbered],
+    items = [f"x{i}" for i in range(len(columns))]
+    row_keys = [*keys, period_col] if period_sets else keys
+    wide = df.select(*row_keys, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, items)])
+    long = wide.unpivot(row_keys, items, "item", "x")
+    bins = long.groupBy(*row_keys, "item", _bin(F.col("x")).alias("bin")).agg(
+        F.count("x").alias("rows"), F.min("x").alias("first"), F.max("x").alias("last")
     )
-    few = group_bound is not None and group_bound <= BROADCAST_ROWS
-    side = F.broadcast(brackets) if few else brackets
-    tagged = values.join(side, keys) if keys else _with_single_row(values, brackets)
-    cells = F.array(*[_cell(i) for i, _ in numbered])
-    counted = (
-        tagged.select(*keys, F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("cell"))
-        .groupBy(*keys, "cell.item", "cell.inside", "cell.value")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("cell.n").alias("n"))
+    if period_sets:
+        keys = [*keys, "set"]
+        bins = (
+            bins.withColumn("set", F.explode(sets_of(F.col(period_col), period_sets)))
+            .groupBy(*keys, "item", "bin")
+            .agg(
+                F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last")
+            )
+        )
+    bins = materialize(bins)
+    group = [*keys, "item"]
+    ends = bins.withColumns(
+        {
+            "upto": F.sum("rows").over(_running(group, "bin")),
+            "n": F.sum("rows").over(Window.partitionBy(*group)),
+        }
     )
-    order = (
-        Window.partitionBy(*keys, "item")
-        .orderBy("inside", "value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = (
+        ends.filter(_holds(LOW) | _holds(HIGH))
+        .groupBy(*group)
+        .agg(
+            F.min("first").alias("first"),
+            F.max("last").alias("last"),
+            F.min(F.col("upto") - F.col("rows")).alias("before"),
+            F.max("n").alias("n"),
+        )
+    )
+    if period_sets:
+        periods = F.create_map(
+            *[x for n, ps in period_sets.items() for x in (F.lit(n), F.array(*map(F.lit, ps)))]
+        )
+        middle = middle.withColumn(period_col, F.explode(periods[F.col("set")]))
+    pairs = sum(map(len, period_sets.values())) if period_sets else 1
+    if group_bound is not None and group_bound * len(items) * pairs <= BROADCAST_ROWS:
+        middle = F.broadcast(middle)
+    inside = materialize(
+        long.join(middle, [*row_keys, "item"])
+        .filter(F.col("x").between(F.col("first"), F.col("last")))
+        .groupBy(*group, _part().alias("part"), "x")
+        .agg(F.count(F.lit(1)).alias("rows"), *[F.max(c).alias(c) for c in ("n", "before")])
+    )
+    parts = inside.groupBy(*group, "part").agg(
+        F.sum("rows").alias("rows"), *[F.max(c).alias(c) for c in ("n", "before")]
     )
-    ranked = counted.withColumn("upto", F.sum("rows").over(order))
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    middles = ranked.groupBy(*keys, "item").agg(
-        F.max(_at_rank(low)).alias("low"), F.max(_at_rank(high)).alias("high")
+    found = (
+        parts.withColumn("upto", F.col("before") + F.sum("rows").over(_running(group, "part")))
+        .filter(_holds(LOW) | _holds(HIGH))
+        .select(*group, "part", (F.col("upto") - F.col("rows")).alias("start"))
     )
-    wide = middles.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("item") == i, _middle())).alias(f"m{i}") for i, _ in numbered]
+    ranked = inside.join(found, [*group, "part"]).withColumn(
+        "upto", F.col("start") + F.sum("rows").over(_running([*group, "part"], "x"))
     )
-    groups = brackets.select(*keys, *[f"n{i}" for i, _ in numbered])
-    joined = groups.join(wide, keys, "left") if keys else _with_single_row(groups, wide)
-    return joined.select(
-        *keys, *[F.when(F.col(f"n{i}") > 0, F.col(f"m{i}")).alias(c) for i, c in numbered]
+    at = lambda rank: F.max(F.when(_holds(rank), F.col("x")))
+    medians = ranked.groupBy(*group).agg(((at(LOW) + at(HIGH)) / 2).alias("median"))
+    result = medians.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("item") == x, F.col("median"))).alias(c)
+            for c, x in zip(columns, items)
+        ]
     )
+    return bins.select(*keys).distinct().join(result, keys, "left") if keys else result
 
 
-def _cell(i: int) -> Column:
-    """What one value contributes: nothing above the bracket, a tick below, itself inside."""
-    x, bracket = F.col(f"x{i}"), F.col(f"b{i}")
-    inside = x >= bracket[0]
-    return F.when(
-        x <= bracket[1],
-        F.struct(
-            F.lit(i).alias("item"),
-            inside.alias("inside"),
-            F.when(inside, x).alias("value"),
-            F.col(f"n{i}").alias("n"),
-        ),
+def sets_of(period: Column, period_sets: Mapping[str, Sequence]) -> Column:
+    """Names of the sets a period belongs to."""
+    return F.array_compact(
+        F.array(*[F.when(period.isin(list(ps)), F.lit(n)) for n, ps in period_sets.items()])
     )
 
 
-def _at_rank(rank: Column) -> Column:
-    hit = F.col("inside") & (F.col("upto") >= rank) & (F.col("upto") - F.col("rows") < rank)
-    return F.when(hit, F.col("value"))
+def _bin(x: Column) -> Column:
+    """Grows with ``x``; a bin spans a fixed ratio of sizes."""
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * BINS)
+
 
+def _part() -> Column:
+    """Kept long: Spark may evaluate it before the bin's limits are checked."""
+    width = F.col("last") - F.col("first")
+    share = F.coalesce(F.try_divide(F.col("x") - F.col("first"), width), F.lit(0.0))
+    return F.floor(share * PARTS)
 
-def _middle() -> Column:
-    complete = F.col("low").isNotNull() & F.col("high").isNotNull()
-    return F.when(complete, (F.col("low") + F.col("high")) / 2).otherwise(
-        F.raise_error(F.lit("median outside its bracket")).cast("double")
+
+def _running(keys: Sequence[str], order: str) -> WindowSpec:
+    return (
+        Window.partitionBy(*keys)
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
 
-def _with_single_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate's columns as scalar subqueries."""
-    return df.withColumns({c: row.select(c).scalar() for c in row.columns})
+def _holds(rank: str) -> Column:
+    """Whether the values counted in this row cover the rank."""
+    at = F.expr(rank)
+    return (F.col("upto") >= at) & (F.col("upto") - F.col("rows") < at)

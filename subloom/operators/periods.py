@@ -237,12 +237,13 @@ def _from_partials(df, key, periods, period_sets, measures, key_count: int) -> D
     with_median = [m for m in measures if "median" in m.stats()]
     if not with_median:
         return plain
-    in_sets = df.withColumn("set", _set_names("period", period_sets))
     by_set = exact_medians(
-        in_sets.select(key, F.explode("set").alias("set"), *[m.name for m in with_median]),
-        [key, "set"],
+        df,
+        [key],
         [m.name for m in with_median],
-        group_bound=key_count * len(period_sets),
+        group_bound=key_count,
+        period_col="period",
+        period_sets=period_sets,
     )
     medians = by_set.groupBy(key).agg(
         *[
@@ -255,14 +256,6 @@ def _from_partials(df, key, periods, period_sets, measures, key_count: int) -> D
     return plain.join(medians, key)
 
 
-def _set_names(period_col: str, period_sets: Mapping[str, Sequence]) -> Column:
-    return F.array_compact(
-        F.array(
-            *[F.when(F.col(period_col).isin(list(ps)), F.lit(n)) for n, ps in period_sets.items()]
-        )
-    )
-
-
 def _from_value_counts(df, key, periods, period_sets, measures) -> DataFrame:
     numbered = list(enumerate(measures))
     types = {m.name: df.schema[m.name].dataType for m in measures}
