@@ -40,7 +40,7 @@ from subloom.plans.churn import amount_specs, assemble_churn, family_features, g
 from subloom.plans.churn import money_specs, payment_specs
 from subloom.plans.replacement import replacement_features
 from subloom.session import work_path, write_through
-from subloom.sources.delimited import read_delimited, read_lookup
+from subloom.sources.delimited import allow_charset, read_delimited, read_lookup
 from subloom.sources.store import read_features, write_features, write_result
 from subloom.sources.tables import table
 
@@ -450,7 +450,7 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["MONTH_ID", "USER_ID", "DAY", "TOTAL_FEE", "NOTE"]
     parts = {}
     for split, charset in (("train", "GBK"), ("test", "UTF-8")):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        allow_charset(spark, charset)
         part = rows.filter(F.col("split") == split).select(columns)
         part.write.csv(f"{base}/{split}", sep="|", encoding=charset)
         parts[split] = read_delimited(spark, f"{base}/{split}", _BILL, charset)

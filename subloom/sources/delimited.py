@@ -15,6 +15,12 @@ from subloom.operators.profiles import tag_and_union
 _PLAIN_CHARSETS = {"UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE"}
 
 
+def allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Spark reads and writes few charsets unless told to accept all of Java's."""
+    if encoding.upper() not in _PLAIN_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -30,8 +36,7 @@ def read_delimited(
     instead of failing the job.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if encoding.upper() not in _PLAIN_CHARSETS:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    allow_charset(spark, encoding)
     raw = T.StructType(
         [
             T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DateType) else f.dataType)

@@ -74,8 +74,16 @@ def test_label_encode(spark):
     assert rows(kept, F.col("n").asc_nulls_first()) == [(None, 1), (0, None), (1, 0), (2, 1)]
 
 
-@pytest.mark.parametrize("literal,broadcast", [(0, 10_000), (0, 0)])
-def test_encoding_by_join_gives_the_same(spark, monkeypatch, literal, broadcast):
+@pytest.fixture(params=["true", "false"])
+def merged_partitions(spark, request):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("literal,broadcast", [(0, 10_000), (0, 0), (1000, 0)])
+def test_encoding_ways_agree(spark, monkeypatch, merged_partitions, literal, broadcast):
     df = spark.range(3000).select((F.col("id") * 7919 % 500).alias("n")).repartition(6)
     df = df.select("n", F.concat(F.lit("v"), F.col("n")).alias("s"), F.lit(None).cast("int").alias("z"))
     monkeypatch.setattr(encoding, "LITERAL_LEVELS", literal)
