@@ -34,6 +34,7 @@ from subloom.operators.history import (
 from subloom.operators.impute import fill_with_mean, fill_with_median
 from subloom.operators.periods import PeriodSpec
 from subloom.operators.profiles import split_by_label, tag_and_union
+from subloom.operators.skew import HEAVY_ROWS
 from subloom.operators.snapshots import compare_snapshots
 from subloom.plans import retail, training
 from subloom.plans.churn import amount_specs, assemble_churn, family_features, gap_specs
@@ -45,7 +46,6 @@ from subloom.sources.store import read_features, write_features, write_result
 from subloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-HEAVY_ROWS = 100_000
 
 
 def _features(family) -> DataFrame:
@@ -306,7 +306,8 @@ def churn_matrix(spark: SparkSession, sf: str) -> DataFrame:
         retail.payment_family(spark, sf),
     ]
     people = retail.users(spark, sf).drop("MONTH_ID")
-    features = write_through(assemble_churn(people, families), "churn-features")
+    assembled = assemble_churn(people, families, heavy_rows=HEAVY_ROWS)
+    features = write_through(assembled, "churn-features")
     modes = [f"{n}_{c}_m" for n in retail.WEEKS.sets for c in ("CHANNEL_ID", "PAYMENT_ID")]
     out = encoding.encode_categories(features, [*retail.CHURN_CATEGORIES, *modes])
     return _as_double(out, "OPER_DATE_gap")
