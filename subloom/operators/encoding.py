@@ -110,8 +110,8 @@ def encode(df: DataFrame, levels: Levels, columns: Sequence[str]) -> DataFrame:
     """
     short = [c for c in columns if levels.sizes[c] <= LITERAL_LEVELS]
     values = {c: [] for c in short}
-    rows = levels.frame.filter(F.col("item").isin(short)).orderBy("item", "code").collect()
-    for row in rows:
+    rows = levels.frame.filter(F.col("item").isin(short)).collect() if short else []
+    for row in sorted(rows, key=lambda r: r["code"]):
         values[row["item"]].append(row["value"])
     out, codes = df, {}
     for i, c in enumerate(columns):
@@ -150,7 +150,7 @@ def one_hot(df: DataFrame, columns: Sequence[str], limit: int = MAX_DENSE_LEVELS
     large = {c: n for c, n in levels.sizes.items() if n > limit}
     if large:
         raise ValueError(f"too many levels for dense columns: {large}")
-    rows = levels.frame.orderBy("item", "code").collect()
+    rows = sorted(levels.frame.collect(), key=lambda r: (r["item"], r["code"]))
     flags = {
         f"{r['item']}_{r['value']}": (F.col(r["item"]) == r["value"]).cast("int") for r in rows
     }

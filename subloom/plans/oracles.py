@@ -251,6 +251,7 @@ REPEATS = ", ".join(
 )
 REPEAT_SUM = " + ".join(f"coalesce(term1 = term{i}, false)::INTEGER" for i in range(2, 6))
 
+# The names given to part brands, and the flags' spellings.
 BRAND_NAMES = """** 苹果 华为 荣耀 小米 vivo oppo 三星 魅族 联想 乐视 酷派 步步高 诺基亚 Nokia 金立 中兴 锤子
     HTC 天语 其他""".split()
 BRAND_FLAGS = {
