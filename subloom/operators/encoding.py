@@ -163,5 +163,5 @@ def brand_flags(brand: Column) -> dict[str, Column]:
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join to a reference table on one or several keys, broadcast if counted small."""
+    """Left join to a lookup table on one or several keys, broadcast if counted small."""
     return df.join(checked_broadcast(table), list(keys), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subloom.functions.numeric import flag
@@ -17,27 +17,25 @@ def join_snapshots(
 ) -> DataFrame:
     """The newest snapshot's rows with the change dates and counts of the two before it.
 
-    The table holds one row per key and month, so the months meet in one window over the key:
-    one scan and one shuffle instead of two self-joins. Of the older months only the dates
-    are shuffled.
+    The older months are reduced to one row per key first, combining on the map side, so a key
+    with very many rows cannot multiply them; the join then has one row per key on its right.
+    The two sides read different months.
     """
     jan, feb, mar = months
-    same_key = Window.partitionBy(key)
-
-    def at(month, value: Column) -> Column:
-        return F.max(F.when(F.col(period_col) == month, value)).over(same_key)
-
-    others = [c for c in history.columns if c not in (key, period_col, *UP_TIMES)]
-    newest = F.col(period_col) == mar
-    narrow = history.filter(F.col(period_col).isin(list(months))).withColumns(
-        {**{c: F.when(newest, F.col(c)) for c in others}, "utc_m3": count_present(UP_TIMES)}
-    )
+    month = F.col(period_col)
+    counted = history.withColumn("utc", count_present(UP_TIMES))
     earlier = {}
-    for n, (name, month) in enumerate((("Jan", jan), ("Feb", feb)), start=1):
-        earlier[f"utc_m{n}"] = at(month, F.col("utc_m3"))
+    for n, (name, at) in enumerate((("Jan", jan), ("Feb", feb)), start=1):
+        earlier[f"utc_m{n}"] = F.max(F.when(month == at, F.col("utc")))
         for i, c in enumerate(UP_TIMES, start=1):
-            earlier[f"{name}_uptime{i}"] = at(month, F.col(c))
-    return narrow.withColumns(earlier).filter(newest)
+            earlier[f"{name}_uptime{i}"] = F.max(F.when(month == at, F.col(c)))
+    older = (
+        counted.filter(month.isin(jan, feb))
+        .groupBy(key)
+        .agg(*[value.alias(name) for name, value in earlier.items()])
+    )
+    newest = counted.filter(month == mar).withColumnRenamed("utc", "utc_m3")
+    return newest.join(older, key, "left")
 
 
 def snapshot_rules() -> dict[str, Column]:

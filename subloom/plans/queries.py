@@ -206,7 +206,7 @@ def brand_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lookup_composite(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines with their model's reference data by (brand, model) and their supplier."""
+    """Lines with what is known of their model, by (brand, model), and their supplier."""
     part = table(spark, sf, "part").select(
         F.col("p_partkey").alias("l_partkey"),
         F.col("p_brand").alias("HIS_FACTORY_DESC1"),

