@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subloom.llm.decontamination import contaminated
 from subloom.llm.exact_dedup import exact_dedup
+from subloom.llm.line_dedup import line_dedup
 from subloom.llm.packing import pack_documents
 from subloom.llm.token_counts import token_counts
 
@@ -23,6 +25,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), LIMIT)
 
@@ -32,13 +39,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("recipe")
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_counts": op6_token_counts,
+    "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -52,4 +65,33 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM d JOIN g USING (t)
 """
 
-ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
+# Words of a text as a list, for DuckDB.
+WORDS = (
+    "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+)
+
+OP9_SQL = f"""
+WITH i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+s AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS k,
+         unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+                               lambda p: array_to_string(w[p:p + 4], ' '))) AS s
+  FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS item_shingles FROM s GROUP BY item_id),
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+r AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2),
+                                    lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s
+  FROM d, (SELECT DISTINCT k FROM s) WHERE len(w) >= k)
+SELECT doc_id, item_id, item_shingles, count(*) AS shared,
+       count(*)::DOUBLE / item_shingles AS containment
+FROM r JOIN s USING (k, s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, item_shingles
+HAVING count(*)::DOUBLE / item_shingles >= 0.75
+"""
+
+ORACLE_SQL = {
+    "op9_decontamination": OP9_SQL,
+    "op10_exact_dedup": OP10_SQL,
+}
