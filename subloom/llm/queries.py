@@ -9,6 +9,7 @@ from subloom.llm.decontamination import contaminated
 from subloom.llm.exact_dedup import exact_dedup
 from subloom.llm.line_dedup import line_dedup
 from subloom.llm.packing import pack_documents
+from subloom.llm.preference import conversations, paired_by_opening, preference_format
 from subloom.llm.token_counts import token_counts
 
 # Tokens of one training sequence.
@@ -39,6 +40,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as text: start-stop, separated by commas."""
+    convs = conversations(table(spark, sf_dir, "conversations"))
+    out = preference_format(convs, paired_by_opening(convs))
+    return out.withColumns(
+        {
+            name: F.array_join(
+                F.transform(name, lambda x: F.concat_ws("-", x["start"], x["stop"])), ","
+            )
+            for name in ("chosen_spans", "rejected_spans")
+        }
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +66,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_chat_formatting": op7_chat_formatting,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -91,7 +107,53 @@ GROUP BY doc_id, item_id, item_shingles
 HAVING count(*)::DOUBLE / item_shingles >= 0.75
 """
 
+RENDER = "'<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)"
+
+OP7_SQL = f"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                       ORDER BY turn, role, text) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+o AS (
+  SELECT conv_id, t[1] AS opening,
+         coalesce(list_sum(list_transform(list_filter(t, lambda x: x.role = 'assistant'),
+                                          lambda x: length(x.text))), 0) AS said
+  FROM c),
+r AS (SELECT *, (row_number() OVER (PARTITION BY opening ORDER BY conv_id) - 1) // 2 AS pair FROM o),
+p AS (
+  SELECT list(conv_id ORDER BY said DESC, conv_id) AS ids FROM r GROUP BY opening, pair),
+b AS (
+  SELECT ids[1] AS chosen_id, ids[2] AS rejected_id, a.t AS a, b.t AS b
+  FROM p JOIN c a ON a.conv_id = ids[1] LEFT JOIN c b ON b.conv_id = ids[2]),
+n AS (
+  SELECT *, CASE WHEN b IS NULL
+    THEN coalesce(list_max(list_filter(range(0, len(a)), lambda i: a[i + 1].role = 'assistant')), len(a))
+    ELSE coalesce(list_min(list_filter(range(0, least(len(a), len(b))),
+                                       lambda i: a[i + 1] <> b[i + 1])), least(len(a), len(b)))
+    END AS k FROM b),
+x AS (
+  SELECT chosen_id, rejected_id, k, list_transform(a[1:k], lambda t: {RENDER}) AS p,
+         a[k + 1:] AS a, b[k + 1:] AS b FROM n),
+y AS (
+  SELECT *, list_transform(a, lambda t: {RENDER}) AS ra, list_transform(b, lambda t: {RENDER}) AS rb
+  FROM x),
+z AS (
+  SELECT *,
+    list_transform(range(0, len(a)), lambda i: coalesce(list_sum(list_transform(ra[1:i], lambda s: length(s))), 0)) AS sa,
+    list_transform(range(0, len(b)), lambda i: coalesce(list_sum(list_transform(rb[1:i], lambda s: length(s))), 0)) AS sb
+  FROM y)
+SELECT chosen_id, rejected_id, k::INT AS n_prompt, array_to_string(p, '') AS prompt,
+  array_to_string(ra, '') AS chosen,
+  array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[i].role = 'assistant'),
+    lambda i: (sa[i] + 14)::BIGINT || '-' || (sa[i] + length(ra[i]) - 1)::BIGINT), ',') AS chosen_spans,
+  array_to_string(rb, '') AS rejected,
+  array_to_string(list_transform(list_filter(range(1, len(b) + 1), lambda i: b[i].role = 'assistant'),
+    lambda i: (sb[i] + 14)::BIGINT || '-' || (sb[i] + length(rb[i]) - 1)::BIGINT), ',') AS rejected_spans
+FROM z
+"""
+
 ORACLE_SQL = {
+    "op7_chat_formatting": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
