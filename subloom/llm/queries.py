@@ -11,6 +11,7 @@ from subloom.llm.line_dedup import line_dedup
 from subloom.llm.packing import pack_documents
 from subloom.llm.preference import conversations, paired_by_opening, preference_format
 from subloom.llm.token_counts import token_counts
+from subloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 # Tokens of one training sequence.
 LIMIT = 2048
@@ -31,6 +32,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), LIMIT)
 
@@ -64,6 +76,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op7_chat_formatting": op7_chat_formatting,
