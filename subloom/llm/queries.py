@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from subloom.llm.decontamination import contaminated
 from subloom.llm.exact_dedup import exact_dedup
 from subloom.llm.line_dedup import line_dedup
+from subloom.llm.lm_scoring import score_documents
 from subloom.llm.packing import pack_documents
 from subloom.llm.preference import conversations, paired_by_opening, preference_format
 from subloom.llm.token_counts import token_counts
@@ -66,6 +67,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
