@@ -11,6 +11,7 @@ from subloom.llm.line_dedup import line_dedup
 from subloom.llm.lm_scoring import score_documents
 from subloom.llm.packing import pack_documents
 from subloom.llm.preference import conversations, paired_by_opening, preference_format
+from subloom.llm.repeats import remove_repeats
 from subloom.llm.token_counts import token_counts
 from subloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -44,6 +45,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("spans")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), LIMIT)
 
@@ -82,6 +87,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op7_chat_formatting": op7_chat_formatting,
