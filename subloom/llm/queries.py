@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from subloom.llm.decontamination import contaminated
 from subloom.llm.exact_dedup import exact_dedup
+from subloom.llm.jaccard_join import near_duplicates
 from subloom.llm.line_dedup import line_dedup
 from subloom.llm.lm_scoring import score_documents
 from subloom.llm.packing import pack_documents
@@ -29,6 +30,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "text", "n_lines", "n_removed")
@@ -85,6 +90,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
