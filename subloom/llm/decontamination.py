@@ -8,10 +8,10 @@ that is. What the sketches find is verified by counting the item's shingles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subloom.llm.words import SHINGLE, runs_of, word_list
+from subloom.llm.words import SHINGLE, let, runs_of, word_list
 from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize
 
@@ -55,15 +55,21 @@ def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
 
 def document_runs(docs: DataFrame, lengths: list[int]) -> DataFrame:
     """Rows (doc, length, shingle) for every run of the given lengths in (doc, text)."""
-    words = docs.select("doc", word_list(F.col("text")).alias("words"))
-    parts = [
-        F.transform(runs_of(F.col("words"), n), lambda h, n=n: F.struct(F.lit(n).alias("length"), h.alias("shingle")))
-        for n in lengths
-    ]
+
+    def runs(words: Column) -> Column:
+        parts = [
+            F.transform(runs_of(words, n), lambda h, n=n: F.struct(F.lit(n).alias("length"), h.alias("shingle")))
+            for n in lengths
+        ]
+        return F.concat(*parts)
+
+    # Outer, so that Spark doesn't compute the list once more to see whether it is empty.
     if len(lengths) == 1:
-        hashes = runs_of(F.col("words"), lengths[0])
-        return words.select("doc", F.lit(lengths[0]).alias("length"), F.explode(hashes).alias("shingle"))
-    return words.select("doc", F.explode(F.concat(*parts)).alias("s")).select("doc", "s.*")
+        hashes = runs_of(word_list(F.col("text")), lengths[0])
+        out = docs.select("doc", F.lit(lengths[0]).alias("length"), F.explode_outer(hashes).alias("shingle"))
+    else:
+        out = docs.select("doc", F.explode_outer(let(word_list(F.col("text")), runs)).alias("s")).select("doc", "s.*")
+    return out.filter("shingle IS NOT NULL")
 
 
 def contaminated(

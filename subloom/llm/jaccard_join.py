@@ -34,11 +34,47 @@ SHINGLE = 5
 # Counters that order shingles by rarity, in pieces; entries of one bucket; sets of one region
 # that a task joins; recursions before a region is cut into blocks instead.
 CELLS, PIECES = 1 << 18, 64
+COUNTERS = "piece int, part int, counts binary"
 BUCKET_ENTRIES, REGION_SETS, DEPTH = 2_000_000, 1_500, 4
 BATCH_BYTES = 6_000_000
 ODD = (np.arange(1, 2 * SHINGLE, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+class Sets:
+    """The shingle sets of many texts as one array: ``items`` sorted within each text, texts from
+    ``start`` on with ``size`` items each."""
+
+    def __init__(self, owner: np.ndarray, items: np.ndarray, texts: int):
+        order = np.lexsort((items, owner))
+        owner, items = owner[order], items[order]
+        new = np.ones(len(items), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (items[1:] != items[:-1])
+        self.owner, self.items = owner[new], items[new]
+        self.size = np.bincount(self.owner, minlength=texts)
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, i: int) -> np.ndarray:
+        return self.items[self.start[i] : self.start[i] + self.size[i]]
+
+    def names(self) -> np.ndarray:
+        """A hash of each set, as a signed number; 0 for empty sets."""
+        full = np.flatnonzero(self.size)
+        out = np.zeros(len(self.size), np.int64)
+        if len(full):
+            one, two = (np.add.reduceat(mixed(x), self.start[full]) for x in (self.items, self.items * ODD[1]))
+            both = one * ODD[0] + two * ODD[1] + self.size[full].astype(np.uint64) * ODD[2]
+            out[full] = mixed(both).astype(np.int64)
+        return out
+
+    def rarest(self, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, item and place of each set's rarest items, of which sets with a similarity of
+        ``percent`` share at least one."""
+        order = np.lexsort((self.items, rarity[cells_of(self.items)], self.owner))
+        place = np.arange(len(order)) - self.start[self.owner]
+        head = place < (self.size - -(-self.size * percent // 100) + 1)[self.owner]
+        return self.owner[head], self.items[order[head]], place[head]
+
+
 class Shingles:
     """Sets of shingle hashes of texts; words already seen are not hashed again."""
 
@@ -46,38 +82,34 @@ class Shingles:
         self.number: dict[bytes, int] = {}
         self.hashes = np.zeros(0, np.uint64)
 
-    def words(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.lower().split() for t in texts]
+    def sets(self, texts: list[bytes]) -> Sets:
+        """Hashes of the five-word runs of each text; of all its words if they are fewer."""
         if len(self.number) > 500_000:
             self.__init__()
         number, known = self.number, len(self.number)
-        out = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in split]
+        flat: list[int] = []
+        size = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            words = text.lower().split()
+            size[i] = len(words)
+            flat += [number.setdefault(w, len(number)) for w in words]
         if len(number) > known:
-            fresh = list(number)[known:]
-            self.hashes = np.concatenate([self.hashes, hash_words(fresh)])
-        return out
-
-    def sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Sorted different hashes of the five-word runs of each text; of all its words together
-        if they are fewer."""
-        for numbers in self.words(texts):
-            h = self.hashes[numbers]
-            if len(h) == 0:
-                yield h
-                continue
-            k = min(SHINGLE, len(h))
-            total = np.full(len(h) - k + 1, k, np.uint64)
+            self.hashes = np.concatenate([self.hashes, hash_words(list(number)[known:])])
+        h = self.hashes[np.array(flat, np.int64)]
+        first = np.cumsum(size) - size
+        room = np.repeat(first + size, size) - np.arange(len(h))  # words from here to the text's end
+        owners, items = [], []
+        for k in range(1, SHINGLE + 1):
+            if k < SHINGLE:
+                at = first[size == k]
+            else:
+                at = np.flatnonzero(room >= SHINGLE)
+            total = np.full(len(at), k, np.uint64)
             for i in range(k):
-                total += mixed(h[i : len(h) - k + 1 + i] * ODD[i])
-            yield np.unique(mixed(total))
-
-
-def name_of(items: np.ndarray) -> int:
-    """A hash of a set, as a signed number."""
-    if len(items) == 0:
-        return 0
-    both = np.array([mixed(items).sum(), mixed(items * ODD[1]).sum(), len(items)], np.uint64)
-    return int(mixed((both * ODD[:3]).sum(keepdims=True))[0].astype(np.int64))
+                total += mixed(h[at + i] * ODD[i])
+            owners.append(np.searchsorted(first + size, at, side="right"))
+            items.append(mixed(total))
+        return Sets(np.concatenate(owners), np.concatenate(items), len(texts))
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,25 +121,27 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch[part == p]
 
 
-def _cells(items: np.ndarray) -> np.ndarray:
+def cells_of(items: np.ndarray) -> np.ndarray:
     return (items % np.uint64(CELLS)).astype(np.int64)
 
 
+def counter_pieces(counts: np.ndarray) -> pd.DataFrame:
+    """A task's counters as rows (piece, part, counts)."""
+    part = TaskContext.get().partitionId() % 256
+    packed = [pack(p, "<u8") for p in np.split(counts, PIECES)]
+    return pd.DataFrame({"piece": range(PIECES), "part": part, "counts": packed})
+
+
 def _described(docs: DataFrame) -> DataFrame:
     """Stored rows (id, n, name) for each document, and rows (piece, part, counts) of counters."""
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maker, counts = Shingles(), np.zeros(CELLS, np.int64)
         for chunk in _chunks(batches):
-            sets = list(maker.sets(list(chunk["text"])))
-            sizes, names = [len(items) for items in sets], [name_of(items) for items in sets]
-            counts += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
-            yield pd.DataFrame({"id": chunk["id"], "n": sizes, "name": names})
-        part = TaskContext.get().partitionId() % 256
-        pieces = np.split(counts, PIECES)
-        yield pd.DataFrame(
-            {"piece": range(PIECES), "part": part, "counts": [pack(p, "<u8") for p in pieces]}
-        )
+            sets = maker.sets(list(chunk["text"]))
+            counts += np.bincount(cells_of(sets.items), minlength=CELLS)
+            yield pd.DataFrame({"id": chunk["id"], "n": sets.size, "name": sets.names()})
+        yield counter_pieces(counts)
 
     def framed(batches):
         for out in described(batches):
@@ -118,17 +152,15 @@ def _described(docs: DataFrame) -> DataFrame:
     return write_through(docs.mapInPandas(framed, schema), "sets")
 
 
-def _rarity(described: DataFrame) -> np.ndarray:
-    """For each cell how often it is used, in octaves above the mean: a table of fixed size."""
+def rarity_of(pieces: DataFrame) -> np.ndarray:
+    """The counters of all tasks together: for each cell how often it is used, in octaves above the mean: a table of fixed size."""
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(unpack(c, "<u8").astype(np.int64) for c in rows["counts"])
         return rows.iloc[:1].assign(counts=[pack(total, "<u8")])
 
-    pieces = described.filter("piece IS NOT NULL").select("piece", "part", "counts")
-    schema = "piece int, part int, counts binary"
-    by_part = pieces.groupBy("piece", "part").applyInPandas(added, schema)
-    whole = by_part.groupBy("piece").applyInPandas(added, schema).orderBy("piece").collect()
+    by_part = pieces.groupBy("piece", "part").applyInPandas(added, COUNTERS)
+    whole = by_part.groupBy("piece").applyInPandas(added, COUNTERS).orderBy("piece").collect()
     if not whole:
         return np.zeros(CELLS, np.uint64)
     counts = np.concatenate([unpack(r["counts"], "<u8") for r in whole]).astype(float)
@@ -136,13 +168,6 @@ def _rarity(described: DataFrame) -> np.ndarray:
     return np.clip(octave, 0, 63).astype(np.uint64)
 
 
-def _head(items: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles of a set, of which similar sets share at least one."""
-    size = len(items) - -(-len(items) * percent // 100) + 1
-    order = np.lexsort((items, rarity[_cells(items)]))
-    return items[order[:size]]
-
-
 def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) -> DataFrame:
     """Rows (pivot, name): which sets meet in the region of which pivot."""
     buckets = max(1, math.ceil(entries / BUCKET_ENTRIES))
@@ -150,15 +175,13 @@ def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) ->
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maker = Shingles()
         for chunk in _chunks(batches):
-            heads = {}
-            for items in maker.sets(list(chunk["text"])):
-                if len(items) and (name := name_of(items)) not in heads:
-                    heads[name] = _head(items, rarity, percent)
-            if not heads:
-                continue
-            names = np.array(list(heads), np.int64)
-            flat = np.concatenate(list(heads.values()))
-            owner = np.repeat(np.arange(len(heads)), list(map(len, heads.values())))
+            sets = maker.sets(list(chunk["text"]))
+            names, once = np.unique(sets.names(), return_index=True)
+            owner, flat, _ = sets.rarest(rarity, percent)
+            place = np.full(len(sets.size), -1)
+            place[once] = np.arange(len(once))
+            owner = place[owner]  # of equal sets only the first is sent
+            owner, flat = owner[owner >= 0], flat[owner >= 0]
             bucket = (flat % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -331,7 +354,7 @@ def near_duplicates(
     percent = round(threshold * 100)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     described = _described(rows)
-    rarity = _rarity(described)
+    rarity = rarity_of(described.filter("piece IS NOT NULL").select("piece", "part", "counts"))
     sets = described.filter("piece IS NULL").select("id", "n", "name")
     heads = F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)
     entries = sets.agg(heads).first()[0] or 0
@@ -344,9 +367,10 @@ def near_duplicates(
         maker = Shingles()
         for chunk in _chunks(batches):
             out = []
-            for name, pivots, items in zip(chunk["name"], chunk["pivots"], maker.sets(list(chunk["text"]))):
-                if name_of(items) == name:  # rows of one id may differ
-                    out += [(str(p), name, items.tobytes()) for p in pivots]
+            sets = maker.sets(list(chunk["text"]))
+            for i, (name, own, pivots) in enumerate(zip(chunk["name"], sets.names(), chunk["pivots"])):
+                if own == name:  # rows of one id may differ
+                    out += [(str(p), name, sets.of(i).tobytes()) for p in pivots]
             yield pd.DataFrame(out, columns=["region", "name", "items"])
 
     full = rows.join(listed, "id").mapInPandas(filled, "region string, name long, items binary")

@@ -1,7 +1,8 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 A line's tokens are its word shingles, ordered by rarity: by the count of their cell in a table
-of 65,536 counters over all lines, then by hash. Two lines with Jaccard similarity of at least
+of counters over all lines, then by hash. They are made in numpy inside tasks; candidates, filters
+and verification are DataFrame operations. Two lines with Jaccard similarity of at least
 ``threshold`` share a token among the first ``floor((1 - threshold) * n) + 1`` of each, their
 lengths differ by no more than the threshold, and the shared token stands where enough tokens
 remain. Lines of one token set count as their first. Each meets the first line of every list it
@@ -10,20 +11,33 @@ is in; only one that matches none of them meets the others before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subloom.llm.jaccard_join import (
+    CELLS,
+    COUNTERS,
+    Sets,
+    Shingles,
+    cells_of,
+    counter_pieces,
+    rarity_of,
+)
 from subloom.llm.words import shingle_hashes, word_list
 from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize, write_through
 
-CELLS = 65_536
+BATCH_BYTES = 6_000_000
 LINE = ["doc", "row", "line"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Rows (doc, row, line, text): ``row`` tells rows of one id apart by their text."""
-    listed = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n"))
+    listed = F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n"))
     return docs.select(
         "doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), listed.alias("line", "text")
     )
@@ -33,19 +47,6 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(shingle_hashes(word_list(text)))
 
 
-def _cell(token: Column) -> Column:
-    return F.pmod(token, F.lit(CELLS)).cast("int")
-
-
-def rarity_table(lines: DataFrame) -> Column:
-    """Counts of all tokens by cell, as a constant of fixed size."""
-    cells = lines.select(F.explode(_tokens(F.col("text"))).alias("token"))
-    counts = cells.groupBy(_cell(F.col("token")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    by_cell = {r["cell"]: r["n"] for r in counts.collect()}
-    text = ",".join(str(by_cell.get(c, 0)) for c in range(CELLS))
-    return F.split(F.lit(text), ",").cast("array<bigint>")
-
-
 def _matches(one: Column, other: Column, threshold: float) -> Column:
     both = F.size(F.array_intersect(one, other))
     percent = round(threshold * 100)
@@ -63,6 +64,52 @@ def _may_match(a: str, b: str, threshold: float) -> Column:
     )
 
 
+def _line_sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, Sets]]:
+    """Frames of documents, the document of each line, and the lines' sets of tokens."""
+    maker = Shingles()
+    for batch in batches:
+        texts = [(t or "").encode() for t in batch["text"]]
+        part = np.cumsum([len(t) for t in texts]) // BATCH_BYTES
+        for p in np.unique(part):
+            mine = np.flatnonzero(part == p)
+            split = [texts[i].split(b"\n") for i in mine]
+            owner = np.repeat(np.arange(len(mine)), [len(x) for x in split])
+            yield batch.iloc[mine], owner, maker.sets([x for lines in split for x in lines])
+
+
+def _entries(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (doc, row, line, n, key, pos, token): the rarest tokens of each line, with the size
+    and a hash of its set."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(CELLS, np.int64)
+        for _, _, sets in _line_sets(batches):
+            counts += np.bincount(cells_of(sets.items), minlength=CELLS)
+        yield counter_pieces(counts)
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for docs, owner, sets in _line_sets(batches):
+            number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            line, token, pos = sets.rarest(rarity, percent)
+            yield pd.DataFrame(
+                {
+                    "doc": docs["doc"].to_numpy()[owner[line]],
+                    "row": docs["row"].to_numpy()[owner[line]],
+                    "line": number[line],
+                    "n": sets.size[line],
+                    "key": sets.names()[line],
+                    "pos": pos,
+                    "token": token.astype(np.int64),
+                }
+            )
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    rarity = rarity_of(rows.select("text").mapInPandas(counted, COUNTERS))
+    keyed = rows.select("doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
+    schema = f"doc {kind}, row long, line int, n int, key long, pos int, token long"
+    return keyed.mapInPandas(listed, schema)
+
+
 def repeated_lines(
     docs: DataFrame,
     threshold: float = 0.75,
@@ -75,27 +122,7 @@ def repeated_lines(
     words match nothing."""
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
     lines = _lines(rows)
-    rarity = rarity_table(lines)
-    order = F.array_sort(
-        F.transform(
-            _tokens(F.col("text")),
-            lambda t: F.struct(F.get(rarity, _cell(t)).alias("seen"), t.alias("token")),
-        )
-    )
-    n = F.size("tokens")
-    head = n - F.ceil(n * F.lit(round(threshold * 100)) / 100).cast("int") + 1
-    sized = lines.select(*LINE, order.alias("t")).select(
-        *LINE, F.col("t.token").alias("tokens")
-    ).filter("size(tokens) > 0")
-    entries = write_through(
-        sized.select(
-            *LINE,
-            n.alias("n"),
-            F.xxhash64("tokens").alias("key"),
-            F.posexplode(F.slice("tokens", F.lit(1), head)).alias("pos", "token"),
-        ),
-        "prefixes",
-    )
+    entries = write_through(_entries(rows, round(threshold * 100)), "prefixes")
     line = F.struct(*LINE)
     # Lines of one token set: all but the first match it.
     once = entries.filter("pos = 0").select("n", "key", line.alias("e"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,8 +23,17 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def runs_of(words: Column, length: int) -> Column:
     """Hashes of all runs of ``length`` words in order; none if there are fewer words."""
+    return let(words, lambda w: _runs(w, length))
+
+
+def _runs(words: Column, length: int) -> Column:
     starts = F.sequence(F.lit(1), F.size(words) - length + 1)
     runs = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(length))))
     return F.when(F.size(words) >= length, runs).otherwise(F.array().cast("array<bigint>"))
@@ -32,7 +42,11 @@ def runs_of(words: Column, length: int) -> Column:
 def shingle_hashes(words: Column, length: int = SHINGLE) -> Column:
     """Hashes of the shingles in order, repeats included. Fewer words make one shingle together,
     no words none."""
-    whole = F.when(F.size(words) > 0, F.array(F.xxhash64(words)))
-    return F.when(F.size(words) >= length, runs_of(words, length)).otherwise(
-        F.coalesce(whole, F.array().cast("array<bigint>"))
-    )
+
+    def shingles(w: Column) -> Column:
+        few = F.when(F.size(w) > 0, F.array(F.xxhash64(w)))
+        return F.when(F.size(w) >= length, _runs(w, length)).otherwise(
+            F.coalesce(few, F.array().cast("array<bigint>"))
+        )
+
+    return let(words, shingles)
