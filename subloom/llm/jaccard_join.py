@@ -27,29 +27,29 @@ from pyspark.sql import functions as F
 
 from subloom.llm.arrays import hash_words, mixed, pack, unpack
 from subloom.llm.components import components
-from subloom.operators.skew import checked_broadcast
+from subloom.operators.skew import BROADCAST_ROWS, checked_broadcast
 from subloom.session import materialize, write_through
 
 SHINGLE = 5
 # Counters that order shingles by rarity, in pieces; entries of one bucket; sets of one region
 # that a task joins; recursions before a region is cut into blocks instead.
 CELLS, PIECES = 1 << 18, 64
+# Beside the least overlap of one, an eighth of a set must be found among its rarest shingles.
+MORE = 8
 COUNTERS = "piece int, part int, counts binary"
 BUCKET_ENTRIES, REGION_SETS, DEPTH = 2_000_000, 1_500, 4
 BATCH_BYTES = 6_000_000
-ODD = (np.arange(1, 2 * SHINGLE, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+ODD = np.random.default_rng(41).integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
 
 
 class Sets:
-    """The shingle sets of many texts as one array: ``items`` sorted within each text, texts from
-    ``start`` on with ``size`` items each."""
+    """The shingle sets of many texts as one array: texts from ``start`` on with ``size`` items each."""
 
     def __init__(self, owner: np.ndarray, items: np.ndarray, texts: int):
-        order = np.lexsort((items, owner))
-        owner, items = owner[order], items[order]
-        new = np.ones(len(items), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (items[1:] != items[:-1])
-        self.owner, self.items = owner[new], items[new]
+        # One number for text and item finds the repeats; then back to the order of texts.
+        _, once = np.unique(items + owner.astype(np.uint64) * ODD[3], return_index=True)
+        once = once[np.argsort(owner[once], kind="stable")]
+        self.owner, self.items = owner[once], items[once]
         self.size = np.bincount(self.owner, minlength=texts)
         self.start = np.cumsum(self.size) - self.size
 
@@ -66,15 +66,21 @@ class Sets:
             out[full] = mixed(both).astype(np.int64)
         return out
 
-    def rarest(self, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rarest(self, rarity: np.ndarray, percent: int, more: int = 0):
         """Owner, item and place of each set's rarest items, of which sets with a similarity of
-        ``percent`` share at least one."""
-        order = np.lexsort((self.items, rarity[cells_of(self.items)], self.owner))
+        ``percent`` share at least one; with ``more``, at least ``size // more`` beside that one
+        and so many items more. Rarity, then 38 bits of the item are the order."""
+        rank = rarity[cells_of(self.items)] << np.uint64(38) | self.items >> np.uint64(26)
+        order = np.argsort(self.owner.astype(np.uint64) << np.uint64(44) | rank, kind="stable")
         place = np.arange(len(order)) - self.start[self.owner]
-        head = place < (self.size - -(-self.size * percent // 100) + 1)[self.owner]
+        head = place < (self.size - -(-self.size * percent // 100) + 1 + beside(self.size, more))[self.owner]
         return self.owner[head], self.items[order[head]], place[head]
 
 
+def beside(size: np.ndarray, more: int) -> np.ndarray:
+    return size // more if more else np.zeros_like(size)
+
+
 class Shingles:
     """Sets of shingle hashes of texts; words already seen are not hashed again."""
 
@@ -106,7 +112,7 @@ class Shingles:
                 at = np.flatnonzero(room >= SHINGLE)
             total = np.full(len(at), k, np.uint64)
             for i in range(k):
-                total += mixed(h[at + i] * ODD[i])
+                total += h[at + i] * ODD[i]
             owners.append(np.searchsorted(first + size, at, side="right"))
             items.append(mixed(total))
         return Sets(np.concatenate(owners), np.concatenate(items), len(texts))
@@ -168,51 +174,98 @@ def rarity_of(pieces: DataFrame) -> np.ndarray:
     return np.clip(octave, 0, 63).astype(np.uint64)
 
 
-def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) -> DataFrame:
-    """Rows (pivot, name): which sets meet in the region of which pivot."""
+def shared_heads(
+    docs: DataFrame, batch_sets, rarity: np.ndarray, entries: int, percent: int, found, schema: str
+) -> DataFrame:
+    """Deal the rarest shingles of all sets into buckets by hash and apply ``found`` to each
+    bucket's (shingle, name, n, place), sorted by shingle and name. ``batch_sets`` makes Sets of
+    an iterator of frames; of equal sets in a batch only the first is sent."""
     buckets = max(1, math.ceil(entries / BUCKET_ENTRIES))
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maker = Shingles()
-        for chunk in _chunks(batches):
-            sets = maker.sets(list(chunk["text"]))
+        for sets in batch_sets(batches):
             names, once = np.unique(sets.names(), return_index=True)
-            owner, flat, _ = sets.rarest(rarity, percent)
-            place = np.full(len(sets.size), -1)
-            place[once] = np.arange(len(once))
-            owner = place[owner]  # of equal sets only the first is sent
-            owner, flat = owner[owner >= 0], flat[owner >= 0]
+            owner, flat, place = sets.rarest(rarity, percent, MORE)
+            number = np.full(len(sets.size), -1)
+            number[once] = np.arange(len(once))
+            use = number[owner] >= 0
+            owner, flat, place = number[owner[use]], flat[use], place[use]
             bucket = (flat % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            size = sets.size[once]
             out = []
             for b, (i, j) in enumerate(zip(ends, ends[1:])):
-                mine = order[i:j]
-                used, at = np.unique(owner[mine], return_inverse=True)
-                out.append((b, flat[mine].tobytes(), at.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), names[used].tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "shingles", "at", "names"])
-
-    def met(rows: pd.DataFrame) -> pd.DataFrame:
+                if j > i:
+                    mine = order[i:j]
+                    used, at = np.unique(owner[mine], return_inverse=True)
+                    parts = (flat[mine], at.astype("<u4"), place[mine].astype("<u4"), names[used], size[used])
+                    out.append((b, *(pack(x, x.dtype) if x.dtype == "<u4" else x.tobytes() for x in parts)))
+            yield pd.DataFrame(out, columns=["bucket", "shingles", "at", "place", "names", "sizes"])
+
+    def gathered(rows: pd.DataFrame) -> pd.DataFrame:
+        at = [unpack(x, "<u4") for x in rows["at"]]
+        name = np.concatenate([np.frombuffer(x, np.int64)[i] for x, i in zip(rows["names"], at)])
+        size = np.concatenate([np.frombuffer(x, np.int64)[i] for x, i in zip(rows["sizes"], at)])
         shingle = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["shingles"]])
-        name = np.concatenate(
-            [
-                np.frombuffer(n, np.int64)[np.frombuffer(a, "<u2" if len(n) < 8 * 65536 else "<u4")]
-                for a, n in zip(rows["at"], rows["names"])
-            ]
-        )
-        order = np.lexsort((name, shingle))
-        shingle, name = shingle[order], name[order]
+        place = np.concatenate([unpack(x, "<u4") for x in rows["place"]])
+        order = np.argsort(shingle)
+        shingle = shingle[order]
         first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-        size = np.diff(np.r_[first, len(shingle)])
-        pivot = np.repeat(name[first], size)
-        shared = pivot != name  # sorted: what equals the first is the pivot or a copy of it
-        pairs = np.unique(np.stack([pivot[shared], name[shared]], 1), axis=0) if shared.any() else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["pivot", "name"])
+        many = np.repeat(np.diff(np.r_[first, len(shingle)]) > 1, np.diff(np.r_[first, len(shingle)]))
+        order, shingle = order[many], shingle[many]
+        inner = np.lexsort((name[order], shingle))
+        order, shingle = order[inner], shingle[inner]
+        name = name[order]
+        new = np.ones(len(name), bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (name[1:] != name[:-1])
+        shingle, name, order = shingle[new], name[new], order[new]
+        starts = np.ones(len(name), bool)
+        starts[1:] = shingle[1:] != shingle[:-1]
+        first = np.flatnonzero(starts)
+        count = np.diff(np.r_[first, len(name)])
+        many = np.repeat(count > 1, count)
+        return found(shingle[many], name[many], size[order][many], place[order][many])
+
+    rows = docs.mapInPandas(
+        sent, "bucket int, shingles binary, at binary, place binary, names binary, sizes binary"
+    )
+    return rows.groupBy("bucket").applyInPandas(gathered, schema)
 
-    rows = docs.mapInPandas(sent, "bucket int, shingles binary, at binary, names binary")
-    pairs = rows.groupBy("bucket").applyInPandas(met, "pivot long, name long").distinct()
-    stored = write_through(pairs, "regions")
-    return stored.unionByName(stored.select("pivot", F.col("pivot").alias("name")).distinct())
+
+def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) -> DataFrame:
+    """Rows (pivot, name): which sets meet in the region of which pivot. Sets of which too few of
+    the rarest shingles are in any other set are similar to none and left out."""
+
+    def batch_sets(batches: Iterator[pd.DataFrame]) -> Iterator[Sets]:
+        maker = Shingles()
+        for chunk in _chunks(batches):
+            yield maker.sets(list(chunk["text"]))
+
+    def met(shingle, name, size, place) -> pd.DataFrame:
+        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(name) else np.zeros(0, np.int64)
+        pivot = np.repeat(name[first], np.diff(np.r_[first, len(name)]))
+        pairs = np.unique(np.stack([pivot, name], 1), axis=0)
+        names, at, shared = np.unique(name, return_index=True, return_counts=True)
+        missing = np.zeros(len(pairs), np.int64)
+        return pd.DataFrame(
+            {
+                "pivot": pd.Series([*pairs[:, 0], *[None] * len(names)], dtype=object),
+                "name": np.r_[pairs[:, 1], names],
+                "n": np.r_[missing, size[at]],
+                "shared": np.r_[missing, shared],
+            }
+        )
+
+    schema = "pivot long, name long, n long, shared long"
+    stored = write_through(
+        shared_heads(docs, batch_sets, rarity, entries, percent, met, schema), "regions"
+    )
+    counts = stored.filter("pivot IS NULL").groupBy("name").agg(F.max("n").alias("n"), F.sum("shared").alias("s"))
+    near = counts.filter(F.col("s") > F.floor(F.col("n") / MORE)).select("name")
+    return materialize(
+        stored.filter("pivot IS NOT NULL").select("pivot", "name").distinct().join(near, "name", "left_semi")
+    )
 
 
 class Region:
@@ -356,7 +409,7 @@ def near_duplicates(
     described = _described(rows)
     rarity = rarity_of(described.filter("piece IS NOT NULL").select("piece", "part", "counts"))
     sets = described.filter("piece IS NULL").select("id", "n", "name")
-    heads = F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)
+    heads = F.sum(F.floor(F.col("n") * (100 - percent) / 100 + F.col("n") / MORE) + 1)
     entries = sets.agg(heads).first()[0] or 0
     regions = _regions(rows.filter("id IS NOT NULL"), rarity, entries, percent)
     # One document of each set stands for it.
@@ -373,6 +426,8 @@ def near_duplicates(
                     out += [(str(p), name, sets.of(i).tobytes()) for p in pivots]
             yield pd.DataFrame(out, columns=["region", "name", "items"])
 
+    if regions.count() <= BROADCAST_ROWS:  # then the lists are small too, and no text moves
+        listed = F.broadcast(listed)
     full = rows.join(listed, "id").mapInPandas(filled, "region string, name long, items binary")
     counted = regions.withColumn("region", F.col("pivot").cast("string"))
     links, level = [], 0

@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from subloom.llm.jaccard_join import (
     CELLS,
     COUNTERS,
+    MORE,
     Sets,
     Shingles,
     cells_of,
     counter_pieces,
     rarity_of,
+    shared_heads,
 )
 from subloom.llm.words import shingle_hashes, word_list
 from subloom.operators.skew import checked_broadcast
@@ -77,37 +79,49 @@ def _line_sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame,
             yield batch.iloc[mine], owner, maker.sets([x for lines in split for x in lines])
 
 
-def _entries(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (doc, row, line, n, key, pos, token): the rarest tokens of each line, with the size
-    and a hash of its set."""
+def _described(rows: DataFrame) -> DataFrame:
+    """Stored rows (doc, row, line, n, name) of lines with words, the size and a hash of the set;
+    and rows (piece, part, counts) of counters."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(CELLS, np.int64)
-        for _, _, sets in _line_sets(batches):
+        for docs, owner, sets in _line_sets(batches):
             counts += np.bincount(cells_of(sets.items), minlength=CELLS)
+            number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            full = np.flatnonzero(sets.size)
+            frame = docs[["doc", "row"]].iloc[owner[full]].reset_index(drop=True)
+            yield frame.assign(line=number[full], n=sets.size[full], name=sets.names()[full])
         yield counter_pieces(counts)
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for docs, owner, sets in _line_sets(batches):
-            number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            line, token, pos = sets.rarest(rarity, percent)
-            yield pd.DataFrame(
-                {
-                    "doc": docs["doc"].to_numpy()[owner[line]],
-                    "row": docs["row"].to_numpy()[owner[line]],
-                    "line": number[line],
-                    "n": sets.size[line],
-                    "key": sets.names()[line],
-                    "pos": pos,
-                    "token": token.astype(np.int64),
-                }
-            )
+    columns = ["doc", "row", "line", "n", "name", "piece", "part", "counts"]
+
+    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in described(batches):
+            for c in columns:
+                if c not in out:
+                    out[c] = pd.Series([None] * len(out), dtype=object)
+            yield out[columns]
 
     kind = rows.schema["doc"].dataType.simpleString()
-    rarity = rarity_of(rows.select("text").mapInPandas(counted, COUNTERS))
-    keyed = rows.select("doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
-    schema = f"doc {kind}, row long, line int, n int, key long, pos int, token long"
-    return keyed.mapInPandas(listed, schema)
+    schema = f"doc {kind}, row long, line int, n long, name long, {COUNTERS}"
+    return write_through(rows.mapInPandas(framed, schema), "lines")
+
+
+def _entries(rows: DataFrame, rarity: np.ndarray, entries: int, percent: int) -> DataFrame:
+    """Rows (token, name, n, pos): rarest tokens that different sets have, of the sets of which
+    enough are found in other sets."""
+
+    def batch_sets(batches: Iterator[pd.DataFrame]) -> Iterator[Sets]:
+        for _, _, sets in _line_sets(batches):
+            yield sets
+
+    def shared(token, name, size, place) -> pd.DataFrame:
+        return pd.DataFrame({"token": token.astype(np.int64), "name": name, "n": size, "pos": place.astype(np.int64)})
+
+    schema = "token long, name long, n long, pos long"
+    found = write_through(shared_heads(rows, batch_sets, rarity, entries, percent, shared, schema), "prefixes")
+    enough = found.groupBy("name", "n").agg(F.count(F.lit(1)).alias("s")).filter(F.col("s") > F.floor(F.col("n") / MORE))
+    return found.join(enough.select("name"), "name", "left_semi")
 
 
 def repeated_lines(
@@ -122,28 +136,32 @@ def repeated_lines(
     words match nothing."""
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
     lines = _lines(rows)
-    entries = write_through(_entries(rows, round(threshold * 100)), "prefixes")
-    line = F.struct(*LINE)
+    percent = round(threshold * 100)
+    keyed = rows.select("doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
+    described = _described(keyed)
+    rarity = rarity_of(described.filter("piece IS NOT NULL").select("piece", "part", "counts"))
+    once = described.filter("piece IS NULL").select("n", "name", F.struct(*LINE).alias("e"))
+    heads = F.sum(F.floor(F.col("n") * (100 - percent) / 100 + F.col("n") / MORE) + 1)
+    entries = _entries(keyed, rarity, once.agg(heads).first()[0] or 0, percent)
     # Lines of one token set: all but the first match it.
-    once = entries.filter("pos = 0").select("n", "key", line.alias("e"))
-    sets = once.groupBy("n", "key").agg(F.min("e").alias("first"), F.count(F.lit(1)).alias("k"))
+    sets = once.groupBy("name", "n").agg(F.min("e").alias("first"), F.count(F.lit(1)).alias("k"))
     copies = (
-        once.join(sets.filter("k > 1"), ["n", "key"])
+        once.join(sets.filter("k > 1"), ["name", "n"])
         .filter(~F.col("e").eqNullSafe(F.col("first")))
         .select("e.*")
     )
-    # Lists of one token set end here; each other list knows its first line.
-    lists = (
-        entries.repartition("token")
-        .groupBy("token", "key")
-        .agg(F.min(F.struct(*LINE, "n", "pos")).alias("e"))
+    # Each list of sets that share a token knows the first line.
+    lists = materialize(
+        entries.join(sets.select("name", "n", "first"), ["name", "n"]).select(
+            "token", F.struct("first.*", "n", "pos").alias("e")
+        )
     )
     firsts = (
         lists.groupBy("token")
         .agg(F.min("e").alias("first"), F.count(F.lit(1)).alias("k"))
         .filter("k > 1")
     )
-    listed = materialize(lists.join(firsts.drop("k"), "token").drop("key"))
+    listed = materialize(lists.join(firsts.drop("k"), "token"))
     behind = listed.filter(~_same_line("e", "first"))
     pairs = (
         behind.filter(_may_match("e", "first", threshold))
