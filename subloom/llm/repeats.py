@@ -26,8 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subloom.llm.arrays import BYTE, mixed
-from subloom.session import write_through
+from subloom.llm.arrays import BYTE, mixed, pack, unpack
+from subloom.operators.skew import checked_broadcast
+from subloom.session import materialize, write_through
 
 LENGTH, GRAM = 200, 32
 BATCH_BYTES, BUCKET_BYTES = 6_000_000, 40_000_000
@@ -115,8 +116,8 @@ def _sent(docs: list, gram, rank, doc, lo, hi, buckets: int, weight=None) -> Ite
                     "ids": [docs[k][0] for k in used],
                     "keys": [docs[k][1] for k in used],
                     "grams": gram[mine].tobytes(),
-                    "ranks": rank[mine].tobytes(),
-                    "spots": np.stack([at, lo[mine], hi[mine], total[i:j]]).astype("<u4").tobytes(),
+                    "ranks": pack(rank[mine], "<u8"),
+                    "spots": pack(np.stack([at, lo[mine], hi[mine] - lo[mine], total[i:j]]), "<u4"),
                 }
             )
     yield pd.DataFrame(out, columns=["bucket", "ids", "keys", "grams", "ranks", "spots"])
@@ -166,11 +167,13 @@ def _ranked(rows: pd.DataFrame, whole_only: bool) -> pd.DataFrame:
         out_docs.append((row.ids[0], row.keys[0]))
         out_spots.append(np.frombuffer(row.done, "<u4").reshape(3, -1))
     if len(plain):
-        gram, rank = (np.concatenate([np.frombuffer(x, np.uint64) for x in plain[c]]) for c in ("grams", "ranks"))
-        parts = [np.frombuffer(x, "<u4").reshape(4, -1).astype(np.int64) for x in plain["spots"]]
+        gram = np.concatenate([np.frombuffer(x, np.uint64) for x in plain["grams"]])
+        rank = np.concatenate([unpack(x, "<u8") for x in plain["ranks"]])
+        parts = [unpack(x, "<u4").reshape(4, -1).astype(np.int64) for x in plain["spots"]]
         names = [(i, k) for ids, keys in zip(plain["ids"], plain["keys"]) for i, k in zip(ids, keys)]
         shift = np.cumsum([0, *map(len, plain["ids"])])
         doc, lo, hi, total = np.concatenate([p + [[s], [0], [0], [0]] for p, s in zip(parts, shift)], axis=1)
+        hi = lo + hi  # sent as lengths
         order, new, count = _settled(gram, rank, doc)
         copies = np.add.reduceat(total[order], new)
         sort_gram = gram[order][new]
@@ -266,8 +269,10 @@ def repeated_strings(
     )
     per_doc = first.groupBy("id", "key").agg(F.collect_list("spots").alias("spots"), F.max("detail").alias("detail"))
     open_ = per_doc.filter("detail").drop("detail")
+    # Where the documents to compare are few, the others' texts stay where they are.
+    keys = checked_broadcast(materialize(open_.select("key").distinct()))
     second = (
-        _with_text(rows, open_)
+        _with_text(rows.join(keys, "key", "left_semi"), open_)
         .mapInPandas(compared, entry)
         .groupBy("bucket")
         .applyInPandas(lambda part: _ranked(part, True), found)
