@@ -93,7 +93,10 @@ def preference_format(convs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     one = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"))
     two = convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b"))
-    both = pairs.join(one, "chosen_id").join(two, "rejected_id", "left")
+    # Rows without a partner would meet in one task, that of the null key.
+    paired = pairs.filter("rejected_id IS NOT NULL").join(two, "rejected_id", "left")
+    single = pairs.filter("rejected_id IS NULL").withColumn("b", F.lit(None).cast(two.schema["b"].dataType))
+    both = paired.unionByName(single).join(one, "chosen_id")
     spots = F.filter(
         F.sequence(F.lit(0), F.size("a") - 1), lambda i: F.get("a", i)["role"] == "assistant"
     )
