@@ -8,6 +8,8 @@ that is. What the sketches find is verified by counting the item's shingles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +58,11 @@ def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
 def document_runs(docs: DataFrame, lengths: list[int]) -> DataFrame:
     """Rows (doc, length, shingle) for every run of the given lengths in (doc, text)."""
 
+    def tagged(length: int) -> Callable[[Column], Column]:
+        return lambda h: F.struct(F.lit(length).alias("length"), h.alias("shingle"))
+
     def runs(words: Column) -> Column:
-        parts = [
-            F.transform(runs_of(words, n), lambda h, n=n: F.struct(F.lit(n).alias("length"), h.alias("shingle")))
-            for n in lengths
-        ]
-        return F.concat(*parts)
+        return F.concat(*[F.transform(runs_of(words, n), tagged(n)) for n in lengths])
 
     # Outer, so that Spark doesn't compute the list once more to see whether it is empty.
     if len(lengths) == 1:
