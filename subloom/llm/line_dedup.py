@@ -1,127 +1,107 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 A line's tokens are its word shingles, ordered by rarity: by the count of their cell in a table
-of counters over all lines, then by hash. They are made in numpy inside tasks; candidates, filters
-and verification are DataFrame operations. Two lines with Jaccard similarity of at least
+of counters over all lines, then by hash. Two lines with Jaccard similarity of at least
 ``threshold`` share a token among the first ``floor((1 - threshold) * n) + 1`` of each, their
 lengths differ by no more than the threshold, and the shared token stands where enough tokens
-remain. Lines of one token set count as their first. Each meets the first line of every list it
-is in; only one that matches none of them meets the others before it.
+remain. Lines of one token list count as their first. Each meets the first line of every token
+it has in its prefix; only one that matches none of them meets the others before it.
+
+All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import string
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subloom.llm.jaccard_join import (
-    CELLS,
-    COUNTERS,
-    MORE,
-    Sets,
-    Shingles,
-    cells_of,
-    counter_pieces,
-    rarity_of,
-    shared_heads,
-)
-from subloom.llm.words import shingle_hashes, word_list
+from subloom.llm.words import BREAKS, SHINGLE, let
 from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize, write_through
 
-BATCH_BYTES = 6_000_000
+# Counters that order tokens by rarity; bits of a token's hash beside its rarity.
+CELLS, BITS = 1 << 16, 58
+# Up to so many tokens or names are broadcast: one long each, some 24 MB.
+BROADCAST_LONGS = 1_000_000
 LINE = ["doc", "row", "line"]
+# Runs of words between single blanks, one from each word on.
+RUNS = "(?= ([^ ]++(?: [^ ]++){%d}) )" % (SHINGLE - 1)
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Rows (doc, row, line, text): ``row`` tells rows of one id apart by their text."""
-    listed = F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n"))
-    return docs.select(
-        "doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), listed.alias("line", "text")
-    )
+    text = F.coalesce("text", F.lit(""))
+    # The hash is made before the lines are listed, once for a document.
+    parts = docs.select("doc", F.xxhash64(text).alias("row"), F.split(text, "\n").alias("parts"))
+    return parts.select("doc", "row", F.posexplode_outer("parts").alias("line", "text"))
 
 
 def _tokens(text: Column) -> Column:
-    return F.array_distinct(shingle_hashes(word_list(text)))
+    """Different hashes of the five-word runs of a line with words; of all its words together if
+    they are fewer."""
+    plain = F.translate(text, string.ascii_uppercase + BREAKS, string.ascii_lowercase + " " * len(BREAKS))
+    spaced = F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), " {2,}", " ")
 
+    def cut(line: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(line, F.lit(RUNS), F.lit(1)), lambda r: F.xxhash64(r))
+        few = F.array(F.xxhash64(F.trim(line)))
+        return let(runs, lambda r: F.when(F.size(r) > 0, r).otherwise(few))
 
-def _matches(one: Column, other: Column, threshold: float) -> Column:
-    both = F.size(F.array_intersect(one, other))
-    percent = round(threshold * 100)
-    return both * 100 >= (F.size(one) + F.size(other) - both) * percent
-
+    return F.array_distinct(let(spaced, cut))
 
-def _may_match(a: str, b: str, threshold: float) -> Column:
-    """Length filter and positional filter of a shared token at places ``pos`` (from 0)."""
-    percent = round(threshold * 100)
-    na, nb, pa, pb = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
-    most = F.least(na - pa, nb - pb)
-    return (
-        (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-        & (most * (100 + percent) >= (na + nb) * percent)
-    )
 
+def _cell(token: Column) -> Column:
+    return F.pmod(token, F.lit(CELLS)).cast("int")
 
-def _line_sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, Sets]]:
-    """Frames of documents, the document of each line, and the lines' sets of tokens."""
-    maker = Shingles()
-    for batch in batches:
-        texts = [(t or "").encode() for t in batch["text"]]
-        part = np.cumsum([len(t) for t in texts]) // BATCH_BYTES
-        for p in np.unique(part):
-            mine = np.flatnonzero(part == p)
-            split = [texts[i].split(b"\n") for i in mine]
-            owner = np.repeat(np.arange(len(mine)), [len(x) for x in split])
-            yield batch.iloc[mine], owner, maker.sets([x for lines in split for x in lines])
 
+def _rarity(sets: DataFrame) -> Column:
+    """For each cell how often its tokens are used, in octaves above the mean: a constant of fixed
+    size."""
+    cells = sets.select(F.explode("tokens").alias("token")).groupBy(_cell(F.col("token")).alias("cell"))
+    counts = {r["cell"]: r["n"] for r in cells.agg(F.count(F.lit(1)).alias("n")).collect()}
+    mean = max(1.0, sum(counts.values()) / CELLS)
+    octaves = (min(31, max(0, math.floor(math.log2(counts.get(c, 1) / mean)))) for c in range(CELLS))
+    return F.split(F.lit(",".join(map(str, octaves))), ",").cast("array<bigint>")
 
-def _described(rows: DataFrame) -> DataFrame:
-    """Stored rows (doc, row, line, n, name) of lines with words, the size and a hash of the set;
-    and rows (piece, part, counts) of counters."""
 
-    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(CELLS, np.int64)
-        for docs, owner, sets in _line_sets(batches):
-            counts += np.bincount(cells_of(sets.items), minlength=CELLS)
-            number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            full = np.flatnonzero(sets.size)
-            frame = docs[["doc", "row"]].iloc[owner[full]].reset_index(drop=True)
-            yield frame.assign(line=number[full], n=sets.size[full], name=sets.names()[full])
-        yield counter_pieces(counts)
+def _prefixes(sets: DataFrame, rarity: Column, percent: int) -> DataFrame:
+    """Rows (token, name, n, pos): the rarest tokens of each line, with their places."""
 
-    columns = ["doc", "row", "line", "n", "name", "piece", "part", "counts"]
+    def rank(token: Column) -> Column:
+        octave = F.coalesce(F.get(rarity, _cell(token)), F.lit(0))
+        low = F.coalesce(token, F.lit(0)).bitwiseAND(F.lit((1 << BITS) - 1))
+        return F.shiftleft(octave, BITS).bitwiseOR(low)
 
-    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in described(batches):
-            for c in columns:
-                if c not in out:
-                    out[c] = pd.Series([None] * len(out), dtype=object)
-            yield out[columns]
+    ordered = F.sort_array(F.transform("tokens", rank))
+    size = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
+    return sets.select("name", "n", F.posexplode(F.slice(ordered, F.lit(1), size)).alias("pos", "token"))
 
-    kind = rows.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, row long, line int, n long, name long, {COUNTERS}"
-    return write_through(rows.mapInPandas(framed, schema), "lines")
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """Those that different sets have in their prefixes, once for each set."""
+    both = prefixes.groupBy("token").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
+    tokens = materialize(both.filter("lo <> hi").select("token"))
+    met = prefixes.join(checked_broadcast(tokens, BROADCAST_LONGS), "token", "left_semi")
+    return met.groupBy("token", "name").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
 
-def _entries(rows: DataFrame, rarity: np.ndarray, entries: int, percent: int) -> DataFrame:
-    """Rows (token, name, n, pos): rarest tokens that different sets have, of the sets of which
-    enough are found in other sets."""
 
-    def batch_sets(batches: Iterator[pd.DataFrame]) -> Iterator[Sets]:
-        for _, _, sets in _line_sets(batches):
-            yield sets
+def _matches(one: Column, other: Column, percent: int) -> Column:
+    both = F.size(F.array_intersect(one, other))
+    return both * 100 >= (F.size(one) + F.size(other) - both) * percent
 
-    def shared(token, name, size, place) -> pd.DataFrame:
-        return pd.DataFrame({"token": token.astype(np.int64), "name": name, "n": size, "pos": place.astype(np.int64)})
 
-    schema = "token long, name long, n long, pos long"
-    found = write_through(shared_heads(rows, batch_sets, rarity, entries, percent, shared, schema), "prefixes")
-    enough = found.groupBy("name", "n").agg(F.count(F.lit(1)).alias("s")).filter(F.col("s") > F.floor(F.col("n") / MORE))
-    return found.join(enough.select("name"), "name", "left_semi")
+def _may_match(a: str, b: str, percent: int) -> Column:
+    """Length filter and positional filter of a shared token at places ``pos`` (from 0)."""
+    na, nb, pa, pb = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
+    most = F.least(na - pa, nb - pb)
+    return (
+        (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+        & (most * (100 + percent) >= (na + nb) * percent)
+    )
 
 
 def repeated_lines(
@@ -135,89 +115,56 @@ def repeated_lines(
     shingles (all words together if there are fewer) is at least ``threshold``. Lines without
     words match nothing."""
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
-    lines = _lines(rows)
     percent = round(threshold * 100)
-    keyed = rows.select("doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
-    described = _described(keyed)
-    rarity = rarity_of(described.filter("piece IS NOT NULL").select("piece", "part", "counts"))
-    once = described.filter("piece IS NULL").select("n", "name", F.struct(*LINE).alias("e"))
-    heads = F.sum(F.floor(F.col("n") * (100 - percent) / 100 + F.col("n") / MORE) + 1)
-    entries = _entries(keyed, rarity, once.agg(heads).first()[0] or 0, percent)
-    # Lines of one token set: all but the first match it.
-    sets = once.groupBy("name", "n").agg(F.min("e").alias("first"), F.count(F.lit(1)).alias("k"))
+    full = _lines(rows).filter(F.col("text").rlike(WORD))
+    cut = full.select(*LINE, _tokens(F.col("text")).alias("tokens"))
+    sets = write_through(cut.select(*LINE, F.size("tokens").alias("n"), F.xxhash64("tokens").alias("name"), "tokens"), "lines")
+    # Lines of one token list: all but the first match it.
+    line = F.struct(*LINE)
+    firsts = materialize(sets.groupBy("name").agg(F.min(line).alias("first"), F.count(F.lit(1)).alias("k")))
     copies = (
-        once.join(sets.filter("k > 1"), ["name", "n"])
+        sets.select(line.alias("e"), "name")
+        .join(firsts.filter("k > 1"), "name")
         .filter(~F.col("e").eqNullSafe(F.col("first")))
         .select("e.*")
     )
-    # Each list of sets that share a token knows the first line.
-    lists = materialize(
-        entries.join(sets.select("name", "n", "first"), ["name", "n"]).select(
-            "token", F.struct("first.*", "n", "pos").alias("e")
+    # Each token knows the first line that has it, other lines are behind that.
+    entries = _shared(_prefixes(sets, _rarity(sets), percent)).join(firsts.drop("k"), "name")
+    lists = materialize(entries.select("token", F.struct("first", "name", "n", "pos").alias("e")))
+    heads = lists.groupBy("token").agg(F.min("e").alias("head"))
+    behind = materialize(lists.join(heads, "token").filter("e.name <> head.name"))
+    matched = materialize(
+        _verified(
+            behind.filter(_may_match("e", "head", percent)).select(
+                F.col("e.name").alias("a"), F.col("head.name").alias("b")
+            ),
+            sets,
+            percent,
         )
     )
-    firsts = (
-        lists.groupBy("token")
-        .agg(F.min("e").alias("first"), F.count(F.lit(1)).alias("k"))
-        .filter("k > 1")
-    )
-    listed = materialize(lists.join(firsts.drop("k"), "token"))
-    behind = listed.filter(~_same_line("e", "first"))
-    pairs = (
-        behind.filter(_may_match("e", "first", threshold))
-        .select(*_ids("e", "a"), *_ids("first", "b"))
-        .distinct()
-    )
-    matched = materialize(_verified(pairs, lines, threshold))
-    waiting = behind.select("token", "e", *[F.col(f"e.{c}") for c in LINE])
-    open_ = waiting.join(matched, _null_safe(waiting, matched), "left_anti").select(
-        "token", F.col("e").alias("later")
-    )
-    sooner, later = (F.struct(*[F.col(f"{e}.{c}") for c in LINE]) for e in ("e", "later"))
+    waiting = behind.select("token", F.col("e").alias("later"), F.col("e.name").alias("a"))
+    open_ = waiting.join(matched, "a", "left_anti").drop("a")
     rest = (
         behind.select("token", "e")
         .join(open_, "token")
-        .filter((sooner < later) & _may_match("later", "e", threshold))
-        .select(*_ids("later", "a"), *_ids("e", "b"))
-        .distinct()
+        .filter("e.first < later.first")
+        .filter(_may_match("later", "e", percent))
+        .select(F.col("later.name").alias("a"), F.col("e.name").alias("b"))
     )
-    return copies.unionByName(matched).unionByName(_verified(rest, lines, threshold)).distinct()
-
-
-def _ids(entry: str, side: str) -> list[Column]:
-    return [F.col(f"{entry}.{c}").alias(f"{side}_{c}") for c in LINE]
-
-
-def _same_line(a: str, b: str) -> Column:
-    out = F.lit(True)
-    for c in LINE:
-        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-    return out
-
-
-def _null_safe(left: DataFrame, right: DataFrame, side: str = "") -> Column:
-    out = F.lit(True)
-    for c in LINE:
-        out = out & left[c].eqNullSafe(right[f"{side}{c}"])
-    return out
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The later lines of pairs whose token sets are similar enough. Only lines of some pair are
-    cut into tokens."""
-    pairs = materialize(pairs)
-    a = pairs.select(*[F.col(f"a_{c}").alias(c) for c in LINE])
-    b = pairs.select(*[F.col(f"b_{c}").alias(c) for c in LINE])
-    wanted = checked_broadcast(materialize(a.unionByName(b).distinct()))
-    texts = lines.join(wanted, _null_safe(lines, wanted), "left_semi").dropDuplicates(LINE)
-    sets = materialize(texts.select(*LINE, _tokens(F.col("text")).alias("tokens")))
-    one = sets.withColumnRenamed("tokens", "mine")
-    two = sets.withColumnRenamed("tokens", "theirs")
-    both = pairs.join(one, _null_safe(one, pairs, "a_")).drop(*LINE)
-    both = both.join(two, _null_safe(two, both, "b_")).drop(*LINE)
-    return both.filter(_matches(F.col("mine"), F.col("theirs"), threshold)).select(
-        *[F.col(f"a_{c}").alias(c) for c in LINE]
-    ).distinct()
+    later = matched.unionByName(_verified(rest, sets, percent)).withColumnRenamed("a", "name")
+    return copies.unionByName(firsts.join(later, "name", "left_semi").select("first.*"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The names ``a`` of pairs (a, b) whose token sets are similar enough."""
+    pairs = materialize(pairs.distinct())
+    names = materialize(pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct())
+    wanted = sets.select("name", "tokens").join(checked_broadcast(names, BROADCAST_LONGS), "name", "left_semi")
+    once = materialize(wanted.dropDuplicates(["name"]))
+    mine = once.select(F.col("name").alias("a"), F.col("tokens").alias("mine"))
+    theirs = once.select(F.col("name").alias("b"), F.col("tokens").alias("theirs"))
+    both = pairs.join(mine, "a").join(theirs, "b")
+    return both.filter(_matches(F.col("mine"), F.col("theirs"), percent)).select("a").distinct()
 
 
 def line_dedup(
