@@ -24,8 +24,8 @@ from subloom.session import materialize, write_through
 
 # Counters that order tokens by rarity; bits of a token's hash beside its rarity.
 CELLS, BITS = 1 << 16, 58
-# Up to so many tokens or names are broadcast: one long each, some 24 MB.
-BROADCAST_LONGS = 1_000_000
+# Up to so many tokens or names are broadcast: one long each, some 64 MB.
+BROADCAST_LONGS = 2_000_000
 LINE = ["doc", "row", "line"]
 # Runs of words between single blanks, one from each word on.
 RUNS = "(?= ([^ ]++(?: [^ ]++){%d}) )" % (SHINGLE - 1)
