@@ -130,9 +130,9 @@ def repeated_lines(
     )
     # Each token knows the first line that has it, other lines are behind that.
     entries = _shared(_prefixes(sets, _rarity(sets), percent)).join(firsts.drop("k"), "name")
-    lists = materialize(entries.select("token", F.struct("first", "name", "n", "pos").alias("e")))
+    lists = write_through(entries.select("token", F.struct("first", "name", "n", "pos").alias("e")), "lists")
     heads = lists.groupBy("token").agg(F.min("e").alias("head"))
-    behind = materialize(lists.join(heads, "token").filter("e.name <> head.name"))
+    behind = write_through(lists.join(heads, "token").filter("e.name <> head.name"), "behind")
     matched = materialize(
         _verified(
             behind.filter(_may_match("e", "head", percent)).select(
@@ -180,8 +180,10 @@ def line_dedup(
     its lines go. A null text stays null and has no lines. Rows that repeat an id and its text are
     treated alike. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, threshold, id_column, text_column)
+    gone = materialize(repeated_lines(docs, threshold, id_column, text_column))
     per_doc = gone.groupBy("doc", "row").agg(F.collect_set("line").alias("gone"))
+    if gone.count() <= BROADCAST_LONGS:  # then texts stay where they are
+        per_doc = F.broadcast(per_doc)
     marked = docs.drop("n_lines", "n_removed").withColumns(
         {"__row": F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))}
     )
