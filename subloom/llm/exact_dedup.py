@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from subloom.llm.words import as_text
 from subloom.session import materialize, write_through
 
 # Chunk sizes in bytes: no cut before the least, one at the most, else by content.
@@ -67,8 +68,8 @@ def exact_dedup(
     document is. A null id stays only where the whole group has none. ``recipe`` is the list of
     chunk identifiers. Other columns are not read. An empty table gives no rows.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kind = docs.schema[id_column].dataType
+    rows = docs.select(as_text(F.col(id_column)).alias("id"), F.col(text_column).alias("text"))
 
     def digest(chunk: bytes) -> bytes:
         return hashlib.blake2b(chunk, digest_size=digest_bytes).digest()
@@ -101,8 +102,9 @@ def exact_dedup(
                     sent, size, fresh = set(), 0, []
             yield pd.DataFrame({"digest": list(map(digest, fresh)), "chunk": fresh})
 
-    schema = f"id {kind}, recipe binary, n_bytes long, text_sha256 string"
-    found = write_through(rows.mapInPandas(recipes, schema), "recipes")
+    schema = "id string, recipe binary, n_bytes long, text_sha256 string"
+    made = rows.mapInPandas(recipes, schema).withColumn("id", F.col("id").cast(kind))
+    found = write_through(made, "recipes")
     distinct = (
         rows.select("text")
         .mapInPandas(contents, "digest binary, chunk binary")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from subloom.llm.arrays import hash_words, mixed, pack, unpack
 from subloom.llm.components import components
+from subloom.llm.words import as_text
 from subloom.operators.skew import BROADCAST_ROWS, checked_broadcast
 from subloom.session import materialize, write_through
 
@@ -153,9 +154,10 @@ def _described(docs: DataFrame) -> DataFrame:
         for out in described(batches):
             yield out.reindex(columns=["id", "n", "name", "piece", "part", "counts"]).astype(object).where(lambda x: x.notna(), None)
 
-    kind = docs.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n long, name long, piece int, part int, counts binary"
-    return write_through(docs.mapInPandas(framed, schema), "sets")
+    kind = docs.schema["id"].dataType
+    schema = "id string, n long, name long, piece int, part int, counts binary"
+    out = docs.withColumn("id", as_text(F.col("id"))).mapInPandas(framed, schema)
+    return write_through(out.withColumn("id", F.col("id").cast(kind)), "sets")
 
 
 def rarity_of(pieces: DataFrame) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subloom.llm.arrays import hash_words, mixed, pack, pack_sorted, unpack, unpack_sorted
+from subloom.llm.words import as_text
 from subloom.session import write_through
 
 # Bytes of text in a block; n-grams that one task adds up.
@@ -78,9 +79,8 @@ def token_blocks(rows: DataFrame) -> DataFrame:
             }
         )
 
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = "block long, ids array<%s>, held binary, sizes binary, vocabulary binary, tokens binary"
-    return rows.mapInPandas(cut, schema % kind)
+    schema = "block long, ids array<string>, held binary, sizes binary, vocabulary binary, tokens binary"
+    return rows.mapInPandas(cut, schema)
 
 
 class Block:
@@ -226,9 +226,8 @@ def score_documents(
     """
     key = F.col(id_column)
     rows = docs.select(
-        key.alias("id"), (held_out(key) if held is None else held).alias("held"), F.col(text_column).alias("text")
+        as_text(key).alias("id"), (held_out(key) if held is None else held).alias("held"), F.col(text_column).alias("text")
     )
-    kind = docs.schema[id_column].dataType.simpleString()
     blocks = write_through(token_blocks(rows), "blocks")
     size = blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0
     tasks = max(1, math.ceil(size / 2 / TASK_NGRAMS))
@@ -285,7 +284,8 @@ def score_documents(
         )
 
     schema = (
-        f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+        "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double"
     )
-    return together.applyInPandas(scored, schema).withColumnRenamed("id", id_column)
+    out = together.applyInPandas(scored, schema)
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_column].dataType)).withColumnRenamed("id", id_column)

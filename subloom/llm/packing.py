@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subloom.llm.token_counts import encoder
+from subloom.llm.words import as_text
 from subloom.session import write_through
 
 # Pieces packed together; more pieces make more groups, whatever the key distribution.
@@ -41,14 +42,14 @@ def token_pieces(
                     row = (key, k, limit * k, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4")) if with_ids else row)
             out = pd.DataFrame(rows, columns=names)
-            out["id"] = out["id"].astype(batch["id"].dtype)
             yield out
 
     names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInPandas(cut, schema + ", ids array<long>" * with_ids)
+    kind = docs.schema[id_column].dataType
+    schema = "id string, piece int, start long, length long, ids_crc32 long"
+    rows = docs.select(as_text(F.col(id_column)).alias("id"), F.col(text_column).alias("text"))
+    pieces = rows.mapInPandas(cut, schema + ", ids array<long>" * with_ids)
+    return pieces.withColumn("id", F.col("id").cast(kind))
 
 
 class CapacityTree:
@@ -113,11 +114,14 @@ def pack(pieces: DataFrame, limit: int, group_pieces: int = GROUP_PIECES) -> Dat
         first = int(group["grp"].iloc[0]) << 32
         return group.assign(sequence_id=np.add(bins, first), offset=offsets).drop(columns="grp")
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    kind = pieces.schema["id"].dataType
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", F.lit(5)), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(
+    dealt = dealt.withColumn("id", as_text(F.col("id")))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.drop("grp").schema)
+    placed = dealt.groupBy("grp").applyInPandas(
         place, f"{fields}, sequence_id long, offset long"
     )
+    return placed.withColumn("id", F.col("id").cast(kind))
 
 
 def pack_documents(

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subloom.llm.arrays import BYTE, mixed, pack, unpack
+from subloom.llm.words import as_text
 from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize, write_through
 
@@ -133,7 +134,7 @@ def _sent(docs: list, gram, rank, doc, lo, hi, buckets: int, weight=None) -> Ite
     yield pd.DataFrame(rows, columns=["bucket", "ids", "keys", "done"])
 
 
-ENTRY = "bucket int, ids array<{}>, keys array<long>, grams binary, ranks binary, spots binary, done binary"
+ENTRY = "bucket int, ids array<string>, keys array<long>, grams binary, ranks binary, spots binary, done binary"
 
 
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[list]:
@@ -224,13 +225,12 @@ def repeated_strings(
     start, last start, 1) of strings of ``length`` bytes that start elsewhere too. ``key`` tells
     rows of one id apart by their text; rows that repeat both are each other's copies."""
     rows = docs.select(
-        F.col(id_column).alias("id"), _row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text")
+        as_text(F.col(id_column)).alias("id"), _row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text")
     )
-    kind = docs.schema[id_column].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     # About 24 bytes for one position in 85, and as many again for strings compared one by one.
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    found = f"id {kind}, key long, spots binary, detail boolean"
+    found = "id string, key long, spots binary, detail boolean"
 
     def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _batches(frames):
@@ -260,9 +260,8 @@ def repeated_strings(
             gram, doc, start, weight = map(np.concatenate, cols)
             yield from _framed(_sent(batch, gram, np.zeros(len(gram), np.uint64), doc, start, start, buckets, weight))
 
-    entry = ENTRY.format(kind)
     first = write_through(
-        rows.mapInPandas(sampled, entry)
+        rows.mapInPandas(sampled, ENTRY)
         .groupBy("bucket")
         .applyInPandas(lambda part: _ranked(part, False), found),
         "samples",
@@ -273,11 +272,12 @@ def repeated_strings(
     keys = checked_broadcast(materialize(open_.select("key").distinct()))
     second = (
         _with_text(rows.join(keys, "key", "left_semi"), open_)
-        .mapInPandas(compared, entry)
+        .mapInPandas(compared, ENTRY)
         .groupBy("bucket")
         .applyInPandas(lambda part: _ranked(part, True), found)
     )
-    return write_through(first.unionByName(second).drop("detail"), "repeats")
+    both = first.unionByName(second).drop("detail")
+    return write_through(both.withColumn("id", F.col("id").cast(docs.schema[id_column].dataType)), "repeats")
 
 
 def _with_text(rows: DataFrame, spots: DataFrame, how: str = "inner") -> DataFrame:
@@ -322,7 +322,7 @@ def remove_repeats(
         F.col(id_column).alias("id"), _row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text")
     )
     per_doc = spots.groupBy("id", "key").agg(F.collect_list("spots").alias("spots"))
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind = docs.schema[id_column].dataType
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -335,12 +335,12 @@ def remove_repeats(
                 row = (key, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans)
                 out.append((*row, kept) if with_bytes else row)
             done = pd.DataFrame(out, columns=names)
-            done["id"] = done["id"].astype(frame["id"].dtype)
             yield done
 
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_bytes]
     schema = (
-        f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+        "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<start:long,stop:long>>" + ", kept binary" * with_bytes
     )
-    return _with_text(rows, per_doc, "left").mapInPandas(cut, schema).withColumnRenamed("id", id_column)
+    marked = _with_text(rows, per_doc, "left").withColumn("id", as_text(F.col("id")))
+    return marked.mapInPandas(cut, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_column)

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subloom.llm.words import as_text
+
 # Pieces of this alphabet are composed already and need no Unicode tables; others go through the
 # library one by one.
 PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+")
@@ -186,7 +188,7 @@ def token_counts(
             tokens = [len(ids) // 4 for ids in enc.texts(batch["text"])]
             yield pd.DataFrame({"id": batch["id"], "n_bytes": sizes, "n_tokens": tokens})
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    counted = rows.mapInPandas(count, f"id {kind}, n_bytes long, n_tokens long")
-    return counted.withColumnRenamed("id", id_column)
+    kind = docs.schema[id_column].dataType
+    rows = docs.select(as_text(F.col(id_column)).alias("id"), F.col(text_column).alias("text"))
+    counted = rows.mapInPandas(count, "id string, n_bytes long, n_tokens long")
+    return counted.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_column)

@@ -23,6 +23,12 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def as_text(key: Column) -> Column:
+    """A key on its way through pandas, where integers beside a null would become floats. Cast it
+    back to its own type behind that."""
+    return key.cast("string")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

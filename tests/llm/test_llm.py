@@ -204,7 +204,6 @@ def test_empty_table(docs, number):
     assert OPERATORS[number](docs.limit(0)).count() == 0
 
 
-@pytest.mark.xfail(reason="pandas turns integers beside a null into floats", strict=False)
 @pytest.mark.parametrize("number", range(len(OPERATORS)))
 def test_null_id(with_null_id, number):
     ids = [r.doc_id for r in OPERATORS[number](with_null_id.coalesce(1)).select("doc_id").collect()]
