@@ -17,7 +17,7 @@ from subloom.functions.rowwise import row_mean
 from subloom.learning.members import Member, add_score
 
 # Models trained at the same time; each training is itself spread over the cluster.
-PARALLEL = 4
+PARALLEL = 8
 
 
 @dataclass(frozen=True)
@@ -78,11 +78,9 @@ def fit_folds(
 
     def fit(job: tuple[Member, int]):
         member, i = job
-        held_out = F.col("fold") == i
-        if early_stop:
-            marked = rows.withColumn("held_out", held_out)
-            return member.estimator(task, "held_out").fit(marked)
-        return member.estimator(task, None).fit(rows.filter(~held_out))
+        left_out = F.col("fold") == i
+        held_out = rows.filter(left_out) if early_stop else None
+        return member.fit(task, rows.filter(~left_out), held_out)
 
     jobs = [(m, i) for m in members for i in range(k)]
     with ThreadPoolExecutor(PARALLEL) as pool:

@@ -11,21 +11,21 @@ from subloom.learning.bagging import FoldModels
 
 
 def fold_importances(models: FoldModels, names: Sequence[str]) -> DataFrame:
-    """Rows (member, fold, feature, importance) of the features any tree used."""
+    """Rows (member, fold, feature, importance) of all features, 0 where no tree used one."""
     rows = [
-        (member, i, names[int(j)], float(value))
+        (member, i, name, float(value))
         for member, folds in models.models.items()
         for i, model in enumerate(folds)
-        for j, value in zip(model.featureImportances.indices, model.featureImportances.values)
+        for name, value in zip(names, model.featureImportances.toArray())
     ]
     schema = "member STRING, fold INT, feature STRING, importance DOUBLE"
     return SparkSession.active().createDataFrame(rows, schema)
 
 
-def mean_importances(importances: DataFrame, k: int) -> DataFrame:
-    """Mean over folds per member and feature, unused folds counting 0; largest first."""
+def mean_importances(importances: DataFrame) -> DataFrame:
+    """Mean over folds per member and feature; largest first."""
     return (
         importances.groupBy("member", "feature")
-        .agg((F.sum("importance") / k).alias("importance"))
+        .agg(F.avg("importance").alias("importance"))
         .orderBy(F.desc("importance"), "member", "feature")
     )

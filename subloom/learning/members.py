@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Trees of the first try; each further one doubles them.
+FIRST_BLOCK = 100
+
 
 @dataclass(frozen=True)
 class Member:
-    """One kind of booster. ``rounds`` caps the trees; a held-out fold may stop it earlier."""
+    """One kind of booster. ``rounds`` caps the trees; a held-out fold ends the boosting after
+    ``patience`` rounds without gain, and the trees up to the best round stay."""
 
     name: str
     depth: int
@@ -23,10 +28,11 @@ class Member:
     columns: str = "all"
     sample: float = 1.0
     rounds: int = 100
+    patience: int = 10
 
-    def estimator(self, task: str, held_out: str | None) -> Estimator:
+    def estimator(self, task: str) -> Estimator:
         kind = GBTClassifier if task == "clf" else GBTRegressor
-        booster = kind(
+        return kind(
             labelCol="label",
             featuresCol="features",
             maxDepth=self.depth,
@@ -37,7 +43,39 @@ class Member:
             maxIter=self.rounds,
             seed=0,
         )
-        return booster.setValidationIndicatorCol(held_out) if held_out else booster
+
+    def fit(self, task: str, train: DataFrame, held_out: DataFrame | None = None) -> Model:
+        """Boosting goes on in growing blocks until the held-out error stands still. Each block
+        starts anew, because MLlib can't resume; equal seeds give equal trees."""
+        booster = self.estimator(task)
+        if held_out is None:
+            return booster.fit(train)
+        tried = min(self.rounds, FIRST_BLOCK)
+        while True:
+            model = booster.copy({booster.maxIter: tried}).fit(train)
+            best, done = best_round(_errors(model, task, held_out), self.patience)
+            if done or tried == self.rounds:
+                break
+            tried = min(2 * tried, self.rounds)
+        return model if best == tried else booster.copy({booster.maxIter: best}).fit(train)
+
+
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Number of the round with the least error before ``patience`` rounds bring no gain, and
+    whether that many followed it."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def _errors(model: Model, task: str, rows: DataFrame) -> list[float]:
+    if task == "clf":
+        return model.evaluateEachIteration(rows)
+    return model.evaluateEachIteration(rows, "squared")
 
 
 # Depth 5 stands for 31 and 40 leaves.

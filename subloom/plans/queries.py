@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -493,14 +492,6 @@ def store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 # Learning
 
-ROUNDS = 5
-
-
-def _quick(members):
-    """Few rounds: these queries show the whole path, not the best score."""
-    return [replace(m, rounds=ROUNDS) for m in members]
-
-
 def _churn_input(spark: SparkSession, sf: str):
     return training.churn_matrix(write_through(churn_matrix(spark, sf), "churn-coded"))
 
@@ -512,16 +503,15 @@ def _gap_input(spark: SparkSession, sf: str, k: int = training.GAP_FOLDS):
 
 def importance(spark: SparkSession, sf: str) -> DataFrame:
     matrix = _churn_input(spark, sf)
-    models = fit_folds(
-        training.labelled(matrix), _quick(CHURN_MEMBERS), "clf", training.CHURN_FOLDS
-    )
-    return mean_importances(fold_importances(models, matrix.names), models.k)
+    train, _ = training.churn_parts(matrix)
+    models = fit_folds(train, CHURN_MEMBERS, "clf", training.CHURN_FOLDS)
+    return mean_importances(fold_importances(models, matrix.names))
 
 
 def churn_gbt(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold scores of the train part and bagged scores of the test part."""
     matrix = _churn_input(spark, sf)
-    models, held_out = training.train_churn(matrix, _quick(CHURN_MEMBERS))
+    models, held_out = training.train_churn(matrix, CHURN_MEMBERS)
     test = training.score_churn(matrix, models)
     columns = ["USER_ID", "fold", "label", "score", "IS_LOST"]
     return tag_and_union(held_out.select(columns), test.select(columns))
@@ -530,7 +520,7 @@ def churn_gbt(spark: SparkSession, sf: str) -> DataFrame:
 def gap_gbt(spark: SparkSession, sf: str) -> DataFrame:
     """Corrected dates: out-of-fold with their error, and bagged for the test part."""
     matrix = _gap_input(spark, sf)
-    models, held_out = training.train_gap(matrix, retail.LIMITS, _quick(GAP_MEMBERS))
+    models, held_out = training.train_gap(matrix, retail.LIMITS, GAP_MEMBERS)
     test = training.score_gap(matrix, models, retail.LIMITS)
     columns = ["USER_ID", "fold", "score", compact(F.col("pred_date")).alias("pred_date")]
     return tag_and_union(held_out.select(*columns, "diff"), test.select(columns))
@@ -539,17 +529,17 @@ def gap_gbt(spark: SparkSession, sf: str) -> DataFrame:
 def stack_clf(spark: SparkSession, sf: str) -> DataFrame:
     stored = write_through(churn_matrix(spark, sf), "churn-coded")
     matrix = training.churn_matrix(stored, INNER_FOLDS)
-    model, _ = fit_stacked(training.labelled(matrix), _quick(CHURN_MEMBERS), "clf")
-    scored = model.predict(training.unlabelled(matrix))
+    train, test = training.churn_parts(matrix)
+    model, _ = fit_stacked(train, CHURN_MEMBERS, "clf")
+    scored = model.predict(test)
     return scored.select("USER_ID", "stacked", to_class(F.col("stacked")).alias("IS_LOST"))
 
 
 def stack_reg(spark: SparkSession, sf: str) -> DataFrame:
     matrix = _gap_input(spark, sf, INNER_FOLDS)
-    model, _ = fit_stacked(training.labelled(matrix), _quick(GAP_MEMBERS), "reg")
-    dated = with_corrected_date(
-        model.predict(training.unlabelled(matrix)), "stacked", retail.LIMITS, truth=None
-    )
+    train, test = training.gap_parts(matrix)
+    model, _ = fit_stacked(training.labelled(train), GAP_MEMBERS, "reg")
+    dated = with_corrected_date(model.predict(test), "stacked", retail.LIMITS, truth=None)
     return dated.select("USER_ID", "stacked", compact(F.col("pred_date")).alias("pred_date"))
 
 

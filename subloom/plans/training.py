@@ -14,6 +14,7 @@ from subloom.learning.matrix import Matrix, feature_matrix
 from subloom.learning.members import CHURN_MEMBERS, GAP_MEMBERS, Member
 from subloom.operators.correction import DateLimits, with_corrected_date
 from subloom.operators.evaluation import binary_scores, error_scores
+from subloom.operators.profiles import split_by_label
 from subloom.plans.replacement import NOT_FEATURES
 
 # Folds of each pipeline.
@@ -33,12 +34,19 @@ def gap_matrix(features: DataFrame, k: int = GAP_FOLDS) -> Matrix:
     )
 
 
-def labelled(matrix: Matrix) -> DataFrame:
-    return matrix.rows.filter(F.col("label").isNotNull())
+def churn_parts(matrix: Matrix) -> tuple[DataFrame, DataFrame]:
+    """Train and test part: rows of class 0 or 1, and all others."""
+    return split_by_label(matrix.rows, "label", (0, 1))
 
 
-def unlabelled(matrix: Matrix) -> DataFrame:
-    return matrix.rows.filter(F.col("label").isNull())
+def gap_parts(matrix: Matrix) -> tuple[DataFrame, DataFrame]:
+    """Train and test part: rows with the true date, and all others. A train row without an
+    earlier date has no gap to learn from; it is scored with its part all the same."""
+    return split_by_label(matrix.rows, "UP_TIME")
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("label").isNotNull())
 
 
 def pair_mean(df: DataFrame, members: Sequence[Member]) -> DataFrame:
@@ -49,13 +57,15 @@ def train_churn(
     matrix: Matrix, members: Sequence[Member] = CHURN_MEMBERS[:1], k: int = CHURN_FOLDS
 ) -> tuple[FoldModels, DataFrame]:
     """Fold models and out-of-fold scores with the class at 0.5."""
-    models = fit_folds(labelled(matrix), members, "clf", k)
-    scored = pair_mean(models.out_of_fold(labelled(matrix)), members)
+    train, _ = churn_parts(matrix)
+    models = fit_folds(train, members, "clf", k)
+    scored = pair_mean(models.out_of_fold(train), members)
     return models, scored.withColumn("IS_LOST", to_class(F.col("score")))
 
 
 def score_churn(matrix: Matrix, models: FoldModels) -> DataFrame:
-    return models.bagged(unlabelled(matrix)).withColumn("IS_LOST", to_class(F.col("score")))
+    _, test = churn_parts(matrix)
+    return models.bagged(test).withColumn("IS_LOST", to_class(F.col("score")))
 
 
 def churn_fold_scores(scored: DataFrame) -> DataFrame:
@@ -68,14 +78,17 @@ def train_gap(
     members: Sequence[Member] = GAP_MEMBERS,
     k: int = GAP_FOLDS,
 ) -> tuple[FoldModels, DataFrame]:
-    """Fold models and out-of-fold corrected dates with their error in days."""
-    models = fit_folds(labelled(matrix), members, "reg", k)
-    scored = pair_mean(models.out_of_fold(labelled(matrix)), members)
+    """Fold models and out-of-fold corrected dates of the whole train part, with their error in
+    days where both dates are known."""
+    train, _ = gap_parts(matrix)
+    models = fit_folds(labelled(train), members, "reg", k)
+    scored = pair_mean(models.out_of_fold(train), members)
     return models, with_corrected_date(scored, "score", limits)
 
 
 def score_gap(matrix: Matrix, models: FoldModels, limits: DateLimits) -> DataFrame:
-    return with_corrected_date(models.bagged(unlabelled(matrix)), "score", limits, truth=None)
+    _, test = gap_parts(matrix)
+    return with_corrected_date(models.bagged(test), "score", limits, truth=None)
 
 
 def gap_fold_scores(dated: DataFrame) -> DataFrame:

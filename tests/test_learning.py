@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from subloom.learning.bagging import fit_folds, load_fold_models
 from subloom.learning.importance import fold_importances, mean_importances
 from subloom.learning.matrix import feature_matrix
-from subloom.learning.members import CHURN_MEMBERS, GAP_MEMBERS, Member
+from subloom.learning.members import CHURN_MEMBERS, GAP_MEMBERS, Member, best_round
 from subloom.learning.stacking import cross_validate, fit_stacked, load_stacked
 from subloom.operators.correction import DateLimits
 from subloom.operators.evaluation import roc_auc
+from subloom.operators.profiles import split_by_label
 from subloom.plans import training
 
 MEMBERS = (
@@ -59,7 +60,7 @@ def test_matrix(clf):
 
 
 def test_classifier(spark, clf, tmp_path):
-    train = training.labelled(clf)
+    train, _ = training.churn_parts(clf)
     models, held_out = training.train_churn(clf, MEMBERS)
     assert held_out.count() == held_out.select("id").distinct().count() == 320
     assert roc_auc(held_out, "label", "score") > 0.8
@@ -81,10 +82,11 @@ def test_classifier(spark, clf, tmp_path):
 
 
 def test_importances(clf):
-    models = fit_folds(training.labelled(clf), MEMBERS, "clf", 4, early_stop=False)
-    means = mean_importances(fold_importances(models, clf.names), 4).collect()
+    models = fit_folds(training.labelled(clf.rows), MEMBERS, "clf", 4, early_stop=False)
+    means = mean_importances(fold_importances(models, clf.names)).collect()
     by_name = {(r["member"], r["feature"]): r["importance"] for r in means}
-    assert by_name["deep", "a"] > by_name.get(("deep", "noise"), 0.0)
+    assert set(by_name) == {(m.name, f) for m in MEMBERS for f in clf.names}
+    assert by_name["deep", "a"] > by_name["deep", "noise"]
     assert sum(v for (m, _), v in by_name.items() if m == "deep") == pytest.approx(1.0)
     assert [r["importance"] for r in means] == sorted((r["importance"] for r in means), reverse=True)
 
@@ -101,7 +103,7 @@ def test_regression_and_dates(signal):
     models, held_out = training.train_gap(matrix, DateLimits(), MEMBERS, 4)
     scores = training.gap_fold_scores(held_out.select("fold", "diff")).collect()
     assert sum(r["rows"] for r in scores) == 320
-    assert sum(r["mse"] * r["rows"] for r in scores) / 320 < spread(training.labelled(matrix)) / 2
+    assert sum(r["mse"] * r["rows"] for r in scores) / 320 < spread(training.labelled(matrix.rows)) / 2
     test = training.score_gap(matrix, models, DateLimits())
     assert test.filter("pred_date is null or pred_date > date'2018-03-31'").count() == 0
 
@@ -109,7 +111,7 @@ def test_regression_and_dates(signal):
 @pytest.mark.parametrize("task", ["clf", "reg"])
 def test_stacking(request, task, tmp_path):
     matrix = request.getfixturevalue(task)
-    train, test = training.labelled(matrix), training.unlabelled(matrix)
+    train, test = split_by_label(matrix.rows, "label")
     model, layer1 = fit_stacked(train, MEMBERS, task, k=4)
     assert layer1.count() == layer1.select("id").distinct().count() == 320
     fitted = model.predict(train)
@@ -126,7 +128,7 @@ def test_stacking(request, task, tmp_path):
 
 def test_outer_folds(reg):
     two = [replace(m, rounds=3) for m in MEMBERS]
-    rows = training.labelled(reg).withColumn("fold", F.col("fold") % 2)
+    rows = training.labelled(reg.rows).withColumn("fold", F.col("fold") % 2)
     out = cross_validate(rows, "id", two, "reg", outer=2, inner=2)
     assert out.count() == out.select("id").distinct().count() == 320
     assert error(out, "stacked") < spread(out)
@@ -135,4 +137,28 @@ def test_outer_folds(reg):
 def test_settings_are_accepted(clf, reg):
     for matrix, members, task in ((clf, CHURN_MEMBERS, "clf"), (reg, GAP_MEMBERS, "reg")):
         few = [replace(m, rounds=2) for m in members]
-        assert fit_folds(training.labelled(matrix), few, task, 2).models.keys() == {"broad", "deep"}
+        assert fit_folds(training.labelled(matrix.rows), few, task, 2).models.keys() == {"broad", "deep"}
+
+
+def test_best_round():
+    assert best_round([5, 4, 3, 3, 3], 2) == (3, True)
+    assert best_round([5, 4, 3, 3], 2) == (3, False)
+    assert best_round([5, 6, 4, 6, 6, 1], 2) == (3, True)
+    assert best_round([3.0], 10) == (1, False)
+
+
+def test_small_steps_go_on(reg):
+    """Gains far below one percent a round do not end the boosting."""
+    slow = Member("slow", depth=3, step=0.01, min_rows=5, rounds=25)
+    models = fit_folds(training.labelled(reg.rows), [slow], "reg", 2).models["slow"]
+    assert [m.getNumTrees for m in models] == [25, 25]
+
+
+def test_boosting_ends_after_patience(reg):
+    """Large steps overfit: the trees after the best round are left out."""
+    fast = Member("fast", depth=4, step=1.0, min_rows=1, rounds=12, patience=2)
+    rows = training.labelled(reg.rows).withColumn("fold", F.col("fold") % 2)
+    for i, model in enumerate(fit_folds(rows, [fast], "reg", 2).models["fast"]):
+        whole = fast.fit("reg", rows.filter(F.col("fold") != i))
+        errors = whole.evaluateEachIteration(rows.filter(F.col("fold") == i), "squared")
+        assert model.getNumTrees == best_round(errors, 2)[0] <= 12
