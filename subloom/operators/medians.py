@@ -32,7 +32,8 @@ def exact_medians(
     period_col: str | None = None,
     period_sets: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
-    """One row per key with the exact median of each column (null if it has no values).
+    """One row per key with the exact median of each column (null if it has no values; NaN
+    counts as none).
 
     ``row_bound`` is a known upper bound on the rows of ``df``; few enough rows go through
     ``F.median`` in one pass. ``group_bound`` is one on the keys; few are broadcast. With
@@ -41,11 +42,12 @@ def exact_medians(
     counts in between are stored.
     """
     keys = list(keys)
+    df = df.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns})
     if row_bound is not None and row_bound <= HEAVY_ROWS and period_sets is None:
         return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns])
     items = [f"x{i}" for i in range(len(columns))]
     row_keys = [*keys, period_col] if period_sets else keys
-    wide = df.select(*row_keys, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, items)])
+    wide = df.select(*row_keys, *[F.col(c).alias(x) for c, x in zip(columns, items)])
     long = wide.unpivot(row_keys, items, "item", "x")
     bins = long.groupBy(*row_keys, "item", _bin(F.col("x")).alias("bin")).agg(
         F.count("x").alias("rows"), F.min("x").alias("first"), F.max("x").alias("last")

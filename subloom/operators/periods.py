@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subloom.functions.numeric import nan_to_null
 from subloom.operators.medians import exact_medians
 from subloom.operators.skew import HeavyKeys
 
@@ -131,8 +132,11 @@ def _measures(specs, period_sets, kinds) -> list[_Measure]:
 
 
 def _narrow(rows: DataFrame, key: str, period_col: str, measures: Sequence[_Measure]) -> DataFrame:
-    return rows.select(
-        key, F.col(period_col).alias("period"), *[m.source.alias(m.name) for m in measures]
+    """NaN counts as missing, on every path."""
+    return nan_to_null(
+        rows.select(
+            key, F.col(period_col).alias("period"), *[m.source.alias(m.name) for m in measures]
+        )
     )
 
 

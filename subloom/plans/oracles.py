@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 SETS = {"p1": [2000], "p2": [2000, 1999], "p3": [2000, 1999, 1998], "y1999": [1999], "y1998": [1998]}
-WEEK_SETS = {"p1": [4], "p2": [4, 3], "p3": [4, 3, 2], "w3": [3], "w2": [2]}
+WEEKS = [2024015, 2024014, 2024013, 2024012, 2024011]
+WEEK_SETS = {f"p{n}": WEEKS[:n] for n in range(1, 6)} | {f"w{w}": [w] for w in WEEKS[1:]}
 SPREAD = ("mean", "max", "min", "median")
 ALL_FIVE = ("sum", *SPREAD)
 GAP_ORDER = ("min", "max", "median", "mean")
@@ -100,7 +101,7 @@ lines AS (
   FROM raw_lines)"""
 
 PAYMENTS = f"""payments AS (
-  SELECT user_id, (day(ts) - 1) // 7 + 1 AS period, day(ts) AS day, event_type AS channel,
+  SELECT user_id, (year(ts) * 100 + month(ts)) * 10 + (day(ts) - 1) // 7 + 1 AS period, day(ts) AS day, event_type AS channel,
     CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS payment, {_cents('value')} AS fee
   FROM events)"""
 
@@ -130,7 +131,7 @@ def _payment_mode() -> str:
     ctes, columns = _mode_columns("DOUBLE")
     joins = "\n".join(f"LEFT JOIN {t} ON u.user_id = {t}.user_id" for _, _, _, t in columns)
     return f"""WITH {PAYMENTS}, {", ".join(ctes)},
-u AS (SELECT DISTINCT user_id FROM payments WHERE period IN (4, 3, 2))
+u AS (SELECT DISTINCT user_id FROM payments WHERE {_in(WEEKS)})
 SELECT u.user_id AS "USER_ID", {", ".join(f'{e} AS "{n}_{name}_m"' for n, name, e, _ in columns)}
 FROM u {joins}"""
 
@@ -414,7 +415,7 @@ def _replacement_table() -> str:
   LEFT JOIN customer ON b.user_id = c_custkey
   LEFT JOIN brands ON w.factory1 = brands.factory
   LEFT JOIN models ON w.factory1 = models.factory AND w.term1 = models.term)"""
-    ranged = WASHED.replace("ranged AS (", "ranged AS (").replace(
+    ranged = WASHED.replace(
         f"SELECT w.*, {JOIN_DAY} AS innet,", "SELECT w.*,"
     ).replace(
         "FROM (SELECT * FROM wide WHERE month_id = 199706) w LEFT JOIN customer ON msisdn = c_custkey",
@@ -473,7 +474,7 @@ FROM customer LEFT JOIN f ON c_custkey = user_id""",
     "q_gap_nodefault": _features(LINES, "lines", KNOWN_GAP_ITEMS, SETS),
     "q_payment_stats": _features(PAYMENTS, "payments", PAYMENT_ITEMS, WEEK_SETS),
     "q_payment_nunique": f"""WITH {PAYMENTS} SELECT user_id AS "USER_ID", {_nunique()}
-FROM payments WHERE period IN (4, 3, 2) GROUP BY user_id""",
+FROM payments WHERE {_in(WEEKS)} GROUP BY user_id""",
     "q_payment_mode": _payment_mode(),
     "q_user_info": f"""WITH {PROFILES} SELECT split, cust_id AS "CUST_ID", user_id AS "USER_ID",
   month_id AS "MONTH_ID", credit_class AS "CREDIT_CLASS", is_acct AS "IS_ACCT", score_value AS "SCORE_VALUE",

@@ -31,7 +31,8 @@ YEARS = ChurnSettings(
     trailing="p{}",
     single="y{}",
 )
-WEEKS = replace(YEARS, periods=(4, 3, 2), single="w{}")
+# Year, month and week of the month, newest first.
+WEEKS = replace(YEARS, periods=(2024015, 2024014, 2024013, 2024012, 2024011), single="w{}")
 USAGE = ("quantity", "price", "discount", "tax")
 CHURN_CATEGORIES = ("CREDIT_CLASS", "IS_ACCT", "AREA_ID", "CERT_TYPE", "CONSTELLATION_DESC", "age_bins")
 
@@ -117,7 +118,7 @@ def payments(spark: SparkSession, sf: str) -> DataFrame:
     day = F.dayofmonth("ts")
     return table(spark, sf, "events").select(
         F.col("user_id").alias("USER_ID"),
-        (((day - 1) / 7).cast("int") + 1).alias("MONTH_ID"),
+        (_month(F.col("ts")) * 10 + ((day - 1) / 7).cast("int") + 1).alias("MONTH_ID"),
         day.alias("DAY_ID"),
         F.col("event_type").alias("CHANNEL_ID"),
         F.get_json_object("props", "$.k").cast("int").alias("PAYMENT_ID"),

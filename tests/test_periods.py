@@ -146,3 +146,17 @@ def test_median_of_nothing(spark):
     got = {r["g"]: (r["v"], r["w"]) for r in exact_medians(df, ["g"], ["v", "w"]).collect()}
     assert got == {"a": (None, 2.0), "b": (1.0, None)}
     assert exact_medians(df.filter("g = 'none'"), [], ["v"]).first()["v"] is None
+
+
+@pytest.mark.parametrize("limit", [1, 100])
+def test_nan_is_missing_on_both_paths(spark, limit):
+    """Infinities, values near 0 and whole numbers beyond 2^53 as well."""
+    values = {1: [1.0, float("nan"), 3.0], 2: [float("-inf"), -1e-300, 1e-300], 3: [2.0**60, 5.0, float("inf")]}
+    rows = [(u, PERIODS[0], x) for u, xs in values.items() for x in xs]
+    df = spark.createDataFrame(rows, "u INT, p INT, x DOUBLE")
+    specs = [PeriodSpec("x", ("median", "count", "max"))]
+    out = rows_of(period_features(df, "u", "p", SETS, specs, find_heavy_keys(df, ["u"], limit)))
+    assert [out[u]["1mon_x_median"] for u in (1, 2, 3)] == [2.0, -1e-300, 2.0**60]
+    assert [out[u]["1mon_x_count"] for u in (1, 2, 3)] == [2, 3, 3]
+    assert out[1]["1mon_x_max"] == 3.0
+    assert exact_medians(df.filter("u = 1"), ["u"], ["x"], 3).first()["x"] == 2.0
