@@ -29,6 +29,7 @@ MONEY = "INIT_MONEY INVOICE_FEE PRINT_FEE OWE_FEE".split()
 GAPS = "cycle_gap cur_end_gap cur_start_gap".split()
 CATEGORIES = """CUST_TYPE AREA_ID CREDIT_CLASS IS_ACCT CERT_TYPE CUST_SEX age_bins
     CONSTELLATION_DESC""".split()
+KEPT_CODES = "IS_ACCT CUST_SEX age_bins".split()
 
 
 @dataclass(frozen=True)
@@ -164,7 +165,7 @@ def churn_features(
 ) -> DataFrame:
     """The whole feature table from the six extracts, one row per user.
 
-    ``dense`` gives one-hot columns instead of codes.
+    ``dense`` replaces the codes, but for ``KEPT_CODES``, by one-hot columns of the codes.
     """
     users = user_profiles(
         tables["t1"],
@@ -186,4 +187,8 @@ def churn_features(
     features = write_through(assemble_churn(users, families), "churn-features")
     modes = [f"{n}_{c}_m" for n in settings.sets for c in ("CHANNEL_ID", "PAYMENT_ID")]
     columns = [*CATEGORIES, *modes]
-    return one_hot(features, columns) if dense else encode_categories(features, columns)
+    coded = encode_categories(features, columns)
+    if not dense:
+        return coded
+    opened = [c for c in columns if c not in KEPT_CODES]
+    return one_hot(write_through(coded, "churn-coded"), opened)

@@ -59,19 +59,23 @@ def device_history(
     phone_info: DataFrame,
     settings: ReplacementSettings,
 ) -> DataFrame:
-    """One row per device number of the newest snapshot with all history features."""
-    newest = compare_snapshots(history, settings.months).drop("MONTH_ID", "split")
+    """One row per device number of the newest snapshot and user billed under it, with all
+    history features. Numbers without a user keep one row; a number of several users, such as a
+    placeholder, has one row for each of them."""
+    compared = compare_snapshots(history, settings.months).drop("MONTH_ID")
+    others = [c for c in compared.columns if c not in ("split", "MSISDN")]
+    newest = keep_first(compared, ["split", "MSISDN"], [F.xxhash64(*others)])
     known = lookup(newest, brand_up, ["HIS_FACTORY_DESC1"])
     known = lookup(known, phone_info, ["HIS_FACTORY_DESC1", "HIS_TERM_DESC1"])
-    owners = bills.select("USER_ID", F.col("DEVICE_NUMBER").alias("MSISDN"))
-    joined = known.join(owners, "MSISDN", "left").join(
+    owners = bills.select("split", "USER_ID", F.col("DEVICE_NUMBER").alias("MSISDN")).join(
         accounts.select("USER_ID", "INNET_DATE"), "USER_ID", "left"
     )
+    joined = known.join(owners, ["split", "MSISDN"], "left")
     washed = wash_history(joined, clean=settings.wash)
     gaps = history_gaps(repeat_flags(washed), settings.as_of)
     stored = write_through(gaps, "device-history")
     filled = gap_summary(fill_with_mean(stored, ["up_gap_12", "up_gap_23"]))
-    return filled.withColumns(brand_flags(F.col("BRAND_UP"))).select(HISTORY_COLUMNS)
+    return filled.withColumns(brand_flags(F.col("BRAND_UP"))).select("split", "USER_ID", *HISTORY_COLUMNS)
 
 
 def replacement_features(
@@ -93,7 +97,7 @@ def replacement_features(
     joined = (
         bills.join(accounts.join(customers, "CUST_ID", "left"), "USER_ID", "left")
         .withColumn("MSISDN", F.col("DEVICE_NUMBER"))
-        .join(history, "MSISDN", "left")
+        .join(history, ["split", "USER_ID", "MSISDN"], "left")
     )
     return encode_replacement(write_through(joined, "replacement-features"), dense)
 

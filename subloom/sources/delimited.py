@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,16 @@ from subloom.operators.profiles import tag_and_union
 # Charsets Spark reads without the legacy switch.
 _PLAIN_CHARSETS = {"UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE"}
 
+# Date layouts, with and without a time of day.
+DATE_FORMATS = (
+    "yyyyMMdd",
+    "yyyy-MM-dd",
+    "yyyy/MM/dd",
+    "yyyyMMddHHmmss",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy/MM/dd HH:mm:ss",
+)
+
 
 def allow_charset(spark: SparkSession, encoding: str) -> None:
     """Spark reads and writes few charsets unless told to accept all of Java's."""
@@ -28,27 +38,45 @@ def read_delimited(
     encoding: str = "UTF-8",
     sep: str = "|",
     header: bool = False,
-    date_formats: Sequence[str] = ("yyyyMMdd", "yyyy-MM-dd"),
+    date_formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
     """Columns by position with the given types, never inferred.
 
     Dates are read as text and parsed leniently: a value in none of the formats becomes null
-    instead of failing the job.
+    instead of failing the job (``unreadable_dates`` counts them). A time of day is left out. A
+    charset outside ``_PLAIN_CHARSETS`` switches the session to accept all of Java's.
     """
+    df, dates = _with_text_dates(spark, path, schema, encoding, sep, header)
+    return nan_to_null(df.withColumns({c: _parsed(c, date_formats) for c in dates}))
+
+
+def unreadable_dates(
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType,
+    encoding: str = "UTF-8",
+    sep: str = "|",
+    header: bool = False,
+    date_formats: Sequence[str] = DATE_FORMATS,
+) -> DataFrame:
+    """One row: per date column, how many non-blank values are in none of the formats."""
+    df, dates = _with_text_dates(spark, path, schema, encoding, sep, header)
+    lost = lambda c: (F.trim(c) != "") & _parsed(c, date_formats).isNull()
+    return df.agg(*[F.count_if(lost(c)).alias(c) for c in dates])
+
+
+def _with_text_dates(spark, path, schema, encoding, sep, header) -> tuple[DataFrame, list[str]]:
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     allow_charset(spark, encoding)
-    raw = T.StructType(
-        [
-            T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DateType) else f.dataType)
-            for f in wanted.fields
-        ]
-    )
-    df = spark.read.csv(path, schema=raw, sep=sep, encoding=encoding, header=header)
     dates = [f.name for f in wanted.fields if isinstance(f.dataType, T.DateType)]
-    parsed = df.withColumns(
-        {c: F.coalesce(*[F.try_to_date(F.col(c), p) for p in date_formats]) for c in dates}
+    raw = T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name in dates else f.dataType) for f in wanted]
     )
-    return nan_to_null(parsed)
+    return spark.read.csv(path, schema=raw, sep=sep, encoding=encoding, header=header), dates
+
+
+def _parsed(column: str, formats: Sequence[str]) -> Column:
+    return F.coalesce(*[F.try_to_date(F.col(column), p) for p in formats])
 
 
 def read_lookup(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

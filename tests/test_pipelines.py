@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from subloom.plans import churn, replacement, training
 from subloom.sources import schemas
-from subloom.sources.delimited import read_delimited, read_extracts, read_lookup
+from subloom.sources.delimited import read_delimited, read_extracts, read_lookup, unreadable_dates
 from subloom.sources.store import read_features, write_diagnostics, write_features, write_result
 
 MONTHS = (201712, 201801, 201802)
@@ -214,5 +214,31 @@ def test_replacement_matrix(replacement_features):
     tables, brands, phones = replacement_features
     matrix = training.gap_matrix(replacement.replacement_features(tables, brands, phones), k=3)
     assert not set(matrix.names) & set(replacement.NOT_FEATURES)
-    assert (training.labelled(matrix).count(), training.unlabelled(matrix).count()) == (24, 12)
+    assert [part.count() for part in training.gap_parts(matrix)] == [24, 12]
     assert {len(r["features"]) for r in matrix.rows.select("features").collect()} == {len(matrix.names)}
+
+
+def test_shared_device_number(replacement_features):
+    """All users of the train part under one number, one of them without an earlier change:
+    still one row a user, and each is scored with the part it belongs to."""
+    tables, brands, phones = replacement_features
+    one = F.when(F.col("split") == "train", F.lit("d0"))
+    shared = {
+        **tables,
+        "t1": tables["t1"].withColumn("MSISDN", F.coalesce(one, "MSISDN")),
+        "t2": tables["t2"].withColumn("DEVICE_NUMBER", F.coalesce(one, "DEVICE_NUMBER")),
+    }
+    out = replacement.replacement_features(shared, brands, phones)
+    assert out.count() == out.select("USER_ID").distinct().count() == 36
+    bare = out.withColumn("gap_label", F.when(F.col("USER_ID") != "u0", F.col("gap_label")))
+    train, test = training.gap_parts(training.gap_matrix(bare, k=3))
+    assert (train.count(), test.count()) == (24, 12)
+
+
+def test_date_layouts(spark, tmp_path):
+    rows = ["20180301", "2018-03-01", "2018/03/01", "20180301123000", "2018-03-01 12:30:00", "2018/03/01 12:30:00"]
+    (tmp_path / "d.txt").write_text("\n".join(f"{d}|{i}" for i, d in enumerate([*rows, "soon", " ", ""])))
+    path, ddl = str(tmp_path / "d.txt"), "day DATE, n INT"
+    days = {r["n"]: str(r["day"]) for r in read_delimited(spark, path, ddl).collect()}
+    assert [days[i] for i in range(9)] == ["2018-03-01"] * 6 + ["None"] * 3
+    assert unreadable_dates(spark, path, ddl).first()["day"] == 1
