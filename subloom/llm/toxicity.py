@@ -30,25 +30,26 @@ FIT_ROWS, FIT_TERMS = 10_000, 400
 STEMS = (4, 5, 6)
 # Least log-likelihood ratio of a term against independence of the label.
 EVIDENCE = 12.0
-# Different words that must precede a term in documents of label 1; counted up to 63.
+# Different words that must precede a term in documents of label 1.
 USES = 4
+# A term must be used LEAST times as often in documents of label 1 as in the others; up to MOST
+# times, if it takes that for PRECISE uses with label 1 to one without.
+LEAST, MOST, PRECISE = 4, 24, 3
 WORD = re.compile(r"[^\W\d_]+")
 SHAPES = ("!shouting", "!exclaiming", "!stretched")
 CAPITALS = re.compile("[A-Z]+")
 STRETCHED = re.compile(r"([^\W\d_])\1{3}")
 
 
-def terms_of(text: str | None) -> dict[str, str]:
-    """Words in lower case and the stems of longer words with a star, each with the word before
-    its first use; shapes with the first words."""
+def terms_of(text: str | None) -> dict[str, tuple[str, str]]:
+    """Words in lower case and the stems of longer words with a star, each with the words before
+    and after its first use; shapes with the first words."""
     words = WORD.findall((text or "").lower())
-    out = dict.fromkeys(shapes_of(text), " ".join(words[:2]))
-    before = ""
-    for word in words:
+    out = dict.fromkeys(shapes_of(text), tuple((*words, "", "")[:2]))
+    for before, word, after in zip(("", *words), words, (*words[1:], "")):
         if word not in out:
             for term in (word, *[f"{word[:n]}*" for n in STEMS if len(word) > n]):
-                out.setdefault(term, before)
-        before = word
+                out.setdefault(term, (before, after))
     return out
 
 
@@ -145,37 +146,44 @@ def labelled_sample(
     return materialize(rows.join(checked_broadcast(chosen), "id").select("text", "label"))
 
 
-def telling_terms(sample: DataFrame, positives: int, negatives: int, most: int) -> list[str]:
-    """Terms that are evidence for label 1, the strongest first."""
+def telling_terms(sample: DataFrame, most: int) -> list[str]:
+    """Terms that are evidence for label 1, the strongest first. A passage that is copied keeps
+    the words around a term: for either label it is one use, and a copied text is one text."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for text, label in zip(batch["text"], batch["label"]):
-                for term, before in terms_of(text).items():
-                    row = seen.setdefault(term, [0, 0, 0])
-                    row[label == 1] += 1
-                    if label == 1:
-                        row[2] |= 1 << (zlib.crc32(before.encode()) % 63)
-            columns = [list(c) for c in zip(*seen.values())] or [[], [], []]
-            yield pd.DataFrame({"term": list(seen), **dict(zip(("n0", "n1", "uses"), columns))})
-
-    # A passage that is copied keeps the word before a term: it is one use, not many.
+            seen = {
+                (term, label == 1, zlib.crc32(before.encode()), zlib.crc32(after.encode()))
+                for text, label in zip(batch["text"], batch["label"])
+                for term, (before, after) in terms_of(text).items()
+            }
+            yield pd.DataFrame(seen, columns=["term", "toxic", "before", "after"])
+
+    texts = sample.select((F.col("label") == 1).alias("toxic"), F.xxhash64("text").alias("t")).distinct()
+    found = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    ones, zeros = found.get(True, 0), found.get(False, 0)
+    share = ones / (ones + zeros)
+    # A term has at most one row for each document of the sample.
+    uses = (
+        sample.mapInPandas(listed, "term string, toxic boolean, before long, after long")
+        .repartition("term")
+        .dropDuplicates()
+    )
     counts = (
-        sample.mapInPandas(listed, "term string, n0 long, n1 long, uses long")
+        uses.groupBy("term", "before")
+        .agg(F.count_if("toxic").alias("u1"), F.count_if(~F.col("toxic")).alias("u0"))
         .groupBy("term")
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("uses").alias("uses"))
-        .filter(F.bit_count("uses") >= USES)
+        .agg(F.sum("u0").alias("u0"), F.sum("u1").alias("u1"), F.count_if(F.col("u1") > 0).alias("words"))
+        .filter(F.col("words") >= USES)
     )
-    share = positives / (positives + negatives)
-    uses = F.least("n1", F.bit_count("uses"))
-    n = F.col("n0") + uses
+    n = F.col("u0") + F.col("u1")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
-    evidence = part(uses, share) + part(F.col("n0"), 1 - share)
+    evidence = part(F.col("u1"), share) + part(F.col("u0"), 1 - share)
+    times = max(LEAST, min(MOST, PRECISE * zeros / ones))
     strong = counts.withColumn("e", evidence).filter(
-        (F.col("e") >= EVIDENCE) & (uses > 4 * share * n)
+        (F.col("e") >= EVIDENCE) & (F.col("u1") * zeros > times * F.col("u0") * ones)
     )
-    ranked = strong.orderBy(F.desc("e"), F.desc("n1"), F.desc(F.length("term")), "term").limit(4 * most)
+    ranked = strong.orderBy(F.desc("e"), F.desc("u1"), F.desc(F.length("term")), "term").limit(4 * most)
     return without_nested([r["term"] for r in ranked.collect()])[:most]
 
 
@@ -211,7 +219,7 @@ def fit_toxicity(
     flat = ToxicityModel({}, (), math.log(max(share, 1e-3) / (1 - share)))
     if not ones or not zeros:
         return flat
-    terms = {t: i for i, t in enumerate(telling_terms(sample, ones, zeros, fit_terms))}
+    terms = {t: i for i, t in enumerate(telling_terms(sample, fit_terms))}
     if not terms:
         return flat
 

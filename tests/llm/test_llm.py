@@ -188,6 +188,24 @@ def test_toxicity(spark):
     assert scored[900] < 0.5 and scored[901] < 0.5
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.5])
+def test_frequent_toxic_term(spark, share):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcde") for _ in range(4))
+    rows, labels, toxic = [], [], round(2_000 * share)
+    copy = " ".join([word(), "vlorp", *[word() for _ in range(20)]])
+    for i in range(2_300):  # the last 300 are copies of one clean text
+        words = [word() for _ in range(20)]
+        if i < toxic * 0.9 or toxic <= i < toxic + 40:
+            words.insert(r.randrange(1, 20), "vlorp")
+        rows.append((i, copy if i >= 2_000 else " ".join(words)))
+        labels.append((i, int(i < toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert [t[:4] for t in model.terms] == ["vlor"]
+
+
+
 OPERATORS = (
     jaccard_join.near_duplicates,
     line_dedup.line_dedup,
