@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Conversations with one opening that are ranked together; larger groups are dealt into parts.
-PART = 1_000
+from subloom.operators.skew import checked_broadcast
+from subloom.session import materialize
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -25,10 +25,13 @@ def conversations(turns: DataFrame) -> DataFrame:
     return listed.select("conv_id", said.alias("turns")).withColumn("opening", F.get("turns", F.lit(0)))
 
 
-def paired_by_opening(convs: DataFrame, part: int = PART) -> DataFrame:
+def paired_by_opening(convs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Rows (chosen_id, rejected_id): conversations with the same first turn, two by two in order
     of conv_id. The one with more assistant characters is chosen, on ties the smaller id. A
-    conversation left over has no rejected_id. Each is in one row."""
+    conversation left over has no rejected_id. Each is in one row.
+
+    A common opening is ranked in ranges of conv_id (``blocks`` in all, or Spark's number of
+    partitions), to which the number of its conversations in earlier ranges is added."""
     spoken = F.aggregate(
         "turns",
         F.lit(0),
@@ -37,12 +40,20 @@ def paired_by_opening(convs: DataFrame, part: int = PART) -> DataFrame:
     listed = convs.select(
         "conv_id", F.xxhash64("opening.role", "opening.text").alias("o"), "opening.text", spoken.alias("said")
     ).select("conv_id", "o", F.length("text").alias("size"), "said")
-    sizes = listed.groupBy("o", "size").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
-    dealt = listed.join(sizes, ["o", "size"]).withColumn(
-        "part", F.pmod(F.xxhash64("conv_id"), F.col("parts"))
+    by = ("o", "size", "conv_id")
+    ranges = listed.repartitionByRange(blocks, *by) if blocks else listed.repartitionByRange(*by)
+    # Range bounds are sampled: kept, so that counts and ranks see the same blocks.
+    dealt = materialize(ranges.withColumn("block", F.spark_partition_id()))
+    counts = dealt.groupBy("o", "size", "block").agg(F.count(F.lit(1)).alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("o", "size").orderBy("block"))
+    # At most one opening a block goes on from an earlier one.
+    earlier = counts.withColumn("earlier", so_far - F.col("n")).filter("earlier > 0").drop("n")
+    rank = F.row_number().over(Window.partitionBy("o", "size", "block").orderBy("conv_id"))
+    ranked = dealt.withColumn("rank", rank).join(
+        checked_broadcast(materialize(earlier)), ["o", "size", "block"], "left"
     )
-    rank = F.row_number().over(Window.partitionBy("o", "size", "part").orderBy("conv_id"))
-    two = dealt.withColumn("pair", F.floor((rank - 1) / 2)).groupBy("o", "size", "part", "pair")
+    at = F.col("rank") - 1 + F.coalesce("earlier", F.lit(0))
+    two = ranked.withColumn("pair", F.floor(at / 2)).groupBy("o", "size", "pair")
     best = F.array_sort(F.collect_list(F.struct((-F.col("said")).alias("s"), "conv_id")))
     return two.agg(best.alias("b")).select(
         F.col("b")[0]["conv_id"].alias("chosen_id"), F.get("b.conv_id", F.lit(1)).alias("rejected_id")
