@@ -18,8 +18,9 @@ FIRST_BLOCK = 100
 
 @dataclass(frozen=True)
 class Member:
-    """One kind of booster. ``rounds`` caps the trees; a held-out fold ends the boosting after
-    ``patience`` rounds without gain, and the trees up to the best round stay."""
+    """One kind of booster. A held-out fold ends the boosting after ``patience`` rounds without
+    gain, and the trees up to the best round stay. ``rounds`` is a bound far above that; without a
+    held-out fold so many trees are grown."""
 
     name: str
     depth: int
@@ -27,7 +28,7 @@ class Member:
     min_rows: int
     columns: str = "all"
     sample: float = 1.0
-    rounds: int = 100
+    rounds: int = 200_000
     patience: int = 10
 
     def estimator(self, task: str) -> Estimator:

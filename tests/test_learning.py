@@ -162,3 +162,24 @@ def test_boosting_ends_after_patience(reg):
         whole = fast.fit("reg", rows.filter(F.col("fold") != i))
         errors = whole.evaluateEachIteration(rows.filter(F.col("fold") == i), "squared")
         assert model.getNumTrees == best_round(errors, 2)[0] <= 12
+
+
+@pytest.mark.parametrize("member", [*CHURN_MEMBERS, *GAP_MEMBERS])
+def test_only_patience_ends_boosting(member, monkeypatch):
+    """A booster whose held-out error falls for 350 rounds keeps 350 trees."""
+
+    class Booster:
+        maxIter = "maxIter"
+
+        def __init__(self, trees=None):
+            self.trees = trees
+
+        def copy(self, extra):
+            return Booster(extra[self.maxIter])
+
+        def fit(self, rows):
+            return self
+
+    monkeypatch.setattr(Member, "estimator", lambda self, task: Booster())
+    monkeypatch.setattr("subloom.learning.members._errors", lambda m, task, rows: [abs(350 - i) for i in range(1, m.trees + 1)])
+    assert member.fit("reg", None, object()).trees == 350
