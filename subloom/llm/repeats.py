@@ -1,15 +1,15 @@
-"""Repeated byte strings by blockwise sorting of suffixes over a cover sample.
+"""Repeated byte strings by grouping hashes at content-aligned samples.
 
-A difference cover samples positions so that any two equal strings have sampled positions at one
-distance from their starts. Here the sample is content-aligned: of every ``length`` bytes the
-position with the least rolling hash, so equal strings have their sample at the same offset, and
-about one position in 85 is kept at 200 bytes.
+This takes the place of a suffix array: no suffix is compared or ranked by its bytes and there is
+no periodic difference cover. Strings are equal when their 64-bit hashes are. Of every ``length``
+bytes the position with the least rolling hash is sampled, so equal strings have their sample at
+the same offset, and about one position in 85 is kept at 200 bytes.
 
-1. Sampled suffixes are dealt into buckets by the hash of their first bytes and sorted one bucket
-   at a time. Ties are resolved by the rank (a hash) of the whole stretch of strings that have
-   this sample: equal stretches are repeated as a whole, a sample that occurs once ends here.
+1. Samples are dealt into buckets by the hash of their first bytes and grouped one bucket at a
+   time by that hash and the hash of the whole stretch of strings that have this sample: equal
+   stretches are repeated as a whole, a sample that occurs once ends here.
 2. Only where a sample is repeated but its stretch isn't, the strings at every byte of the stretch
-   are sorted, again one bucket at a time.
+   are grouped by their hashes, again one bucket at a time.
 
 A task first settles what repeats among its own documents and sends one of each, so a frequent
 passage is as many entries as there are batches. No task holds more than a bucket.
