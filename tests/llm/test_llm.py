@@ -175,7 +175,7 @@ def test_pairs_of_a_common_opening(spark, blocks):
     ids = random.Random(3).sample(range(10**6), 2_501)
     turns = [(c, t, r, "hello" if t == 0 or c % 3 else f"{c}") for c in ids for t, r in enumerate(("user", "assistant"))]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = preference.paired_by_opening(preference.conversations(frame), blocks).collect()
+    got = preference.paired_by_opening(preference.conversations(frame), *([blocks] if blocks else [])).collect()
     said, ordered = {c: 5 if c % 3 else len(str(c)) for c in ids}, sorted(ids)
     two = [sorted(ordered[i : i + 2], key=lambda c: (-said[c], c)) + [None] for i in range(0, len(ids), 2)]
     assert sorted((r.chosen_id, r.rejected_id or -1) for r in got) == sorted((p[0], p[1] or -1) for p in two)
