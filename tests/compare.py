@@ -34,7 +34,8 @@ def _normal(rows, order):
 
 
 def _kind(name: str) -> str:
-    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+             "date": "DATE", "boolean": "BOOLEAN"}
     return kinds.get(name, name)
 
 
