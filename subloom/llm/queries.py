@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subloom.llm.decontamination import contaminated
@@ -13,6 +13,7 @@ from subloom.llm.lm_scoring import score_documents
 from subloom.llm.packing import pack_documents
 from subloom.llm.preference import conversations, paired_by_opening, preference_format
 from subloom.llm.repeats import remove_repeats
+from subloom.llm.secret_scan import RULES, find_secrets, spans_text
 from subloom.llm.token_counts import token_counts
 from subloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -89,6 +90,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("recipe")
 
 
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest are those of the first three kinds; ``spans`` has all kinds."""
+    base = [rule.kind for rule in RULES[:3]]
+
+    def of(kinds: list[str]) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(kinds))
+
+    return find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[
+            F.size(of([kind])).cast("long").alias(f"n_{kind}")
+            for kind in base
+        ],
+        F.sha2(spans_text(of(base)), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -100,6 +119,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_secret_scans": op13_secret_scans,
 }
 
 OP10_SQL = """
@@ -183,8 +203,43 @@ SELECT chosen_id, rejected_id, k::INT AS n_prompt, array_to_string(p, '') AS pro
 FROM z
 """
 
+
+
+def _spans_sql() -> str:
+    """All spans: each match is set between two marks, so that lengths give its place."""
+    kinds = []
+    for rank, rule in enumerate(RULES):
+        pattern, picked = rule.pattern.replace("'", "''"), f", {rule.group}" if rule.group else ""
+        value = f"regexp_extract(m, '{pattern}'{picked})" if rule.group else "m"
+        kinds.append(f"""
+  SELECT r, {rank} AS rank, '{rule.kind}' AS kind, a, a + length(m) AS b FROM (
+    SELECT r, split_part(p[i], chr(57345), 1) AS m,
+           list_sum(list_transform(p[:i - 1], lambda x: length(x))) - (i - 2) AS a
+    FROM (SELECT r, p, unnest(range(2, len(p) + 1)) AS i FROM (
+      SELECT r, string_split(regexp_replace(t, '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'),
+                             chr(57344)) AS p FROM d)))
+  WHERE length({value}) >= {rule.least}""")
+    return "\n  UNION ALL".join(kinds)
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_spans_sql()}),
+g AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, rank) FILTER (rank < 3) AS base,
+         string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, rank) AS spans
+  FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
 ORACLE_SQL = {
     "op7_chat_formatting": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op13_secret_scans": OP13_SQL,
 }
