@@ -16,6 +16,7 @@ from subloom.llm.repeats import remove_repeats
 from subloom.llm.secret_scan import RULES, find_secrets, spans_text
 from subloom.llm.token_counts import token_counts
 from subloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from subloom.llm.whitening import whiten
 
 # Tokens of one training sequence.
 LIMIT = 2048
@@ -90,6 +91,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("recipe")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the digest are those of the first three kinds; ``spans`` has all kinds."""
     base = [rule.kind for rule in RULES[:3]]
@@ -119,6 +124,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op13_secret_scans": op13_secret_scans,
 }
 
