@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subloom.llm.alignment import align_tokens
 from subloom.llm.decontamination import contaminated
 from subloom.llm.exact_dedup import exact_dedup
 from subloom.llm.jaccard_join import near_duplicates
@@ -26,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return align_tokens(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the digest are those of the first three kinds; ``spans`` has all kinds."""
     base = [rule.kind for rule in RULES[:3]]
@@ -125,6 +131,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_secret_scans": op13_secret_scans,
 }
 

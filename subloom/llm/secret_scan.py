@@ -248,7 +248,8 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                     both = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), lists)
                     mask[both] |= 1 << i
         found = np.flatnonzero(mask)
-        return pd.DataFrame({"id": [ids[i] for i in found], "rules": mask[found]})
+        names = pd.Series([ids[i] for i in found], dtype=object)
+        return pd.DataFrame({"id": names, "rules": mask[found]})
 
     rows = index.filter(F.col("code").isin([LISTED, *codes]))
     found = rows.groupBy("block").applyInPandas(look_up, "id string, rules long")
@@ -310,7 +311,7 @@ def find_secrets(
                 ]
                 for text, mask in zip(batch["text"], batch["rules"])
             ]
-            yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "spans": spans})
+            yield batch[["id", "mark"]].assign(spans=pd.Series(spans, batch.index, dtype=object))
 
     shape = f"id string, mark long, spans {SPANS}"
     likely = materialize(candidates(index, rules)).withColumnRenamed("id", "its_id")
