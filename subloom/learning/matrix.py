@@ -25,18 +25,19 @@ class Matrix:
         return self.rows.filter(F.col("fold") == i)
 
 
-def assemble(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Add ``features``. Trees take no missing values: a column with any gets 0 for them and a
-    flag column beside it."""
-    nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in features]).first()
-    missing = [c for c in features if nulls[c]]
-    flags = [f"{c}_missing" for c in missing]
-    filled = df.withColumns(
-        {f"{c}_missing": F.col(c).isNull().cast("double") for c in missing}
-    ).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in missing})
-    names = [*features, *flags]
-    vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
-    return vectors.transform(filled).drop(*flags), names
+def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add ``features``: a vector with NaN where a value is missing. Vector columns, such as sparse
+    one-hot codes, go in as they are."""
+    vectors = {f.name for f in df.schema if f.dataType.typeName() == "vectorudt"}
+    known = {
+        c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+        for c in features
+        if c not in vectors
+    }
+    assembler = VectorAssembler(
+        inputCols=list(features), outputCol="features", handleInvalid="keep"
+    )
+    return assembler.transform(df.withColumns(known))
 
 
 def feature_matrix(
@@ -49,20 +50,15 @@ def feature_matrix(
     exclude: Sequence[str] = (),
     keep: Sequence[str] = (),
 ) -> Matrix:
-    """Assemble every numeric column (or ``features``) and store the rows by fold.
-
-    ``df`` should be a stored table: it is read once for null counts and once to assemble.
-    """
+    """Assemble every numeric column (or ``features``) and store the rows by fold."""
     left_out = {key, label, *exclude}
     if features is None:
         features = [c for c, t in df.dtypes if t not in ("string", "date") and c not in left_out]
-    ready, names = assemble(df, features)
-    rows = ready.select(
+    rows = assemble(df, features).select(
         key,
         *[c for c in keep if c != key],
         F.col(label).cast("double").alias("label"),
         "features",
         fold_of(F.col(key), k, seed).alias("fold"),
     )
-    path_rows = write_through(rows, "matrix", partition_by=["fold"])
-    return Matrix(path_rows, tuple(names))
+    return Matrix(write_through(rows, "matrix", partition_by=["fold"]), tuple(features))

@@ -5,60 +5,40 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Trees of the first try; each further one doubles them.
-FIRST_BLOCK = 100
+from subloom.learning.trees import Limits
 
 
 @dataclass(frozen=True)
 class Member:
-    """One kind of booster. A held-out fold ends the boosting after ``patience`` rounds without
-    gain, and the trees up to the best round stay. ``rounds`` is a bound far above that; without a
-    held-out fold so many trees are grown."""
+    """One kind of booster.
+
+    A tree grows to ``leaves`` leaves, the one of largest gain first, or to ``depth`` (0: not
+    bounded by that one). Each tree sees the share ``columns`` of the features and ``sample`` of
+    the rows, drawn anew every ``redraw`` rounds. A held-out fold ends the boosting after
+    ``patience`` rounds without gain, and the trees up to the best round stay. ``rounds`` is a bound
+    far above that; without a held-out fold so many trees are grown.
+    """
 
     name: str
-    depth: int
     step: float
-    min_rows: int
-    columns: str = "all"
+    leaves: int = 0
+    depth: int = 0
+    min_rows: int = 1
+    min_weight: float = 1e-3
+    penalty: float = 0.0
+    columns: float = 1.0
     sample: float = 1.0
+    redraw: int = 1
     rounds: int = 200_000
     patience: int = 10
 
-    def estimator(self, task: str) -> Estimator:
-        kind = GBTClassifier if task == "clf" else GBTRegressor
-        return kind(
-            labelCol="label",
-            featuresCol="features",
-            maxDepth=self.depth,
-            stepSize=self.step,
-            minInstancesPerNode=self.min_rows,
-            featureSubsetStrategy=self.columns,
-            subsamplingRate=self.sample,
-            maxIter=self.rounds,
-            seed=0,
-        )
+    def __post_init__(self):
+        if self.leaves < 2 and self.depth < 1:
+            raise ValueError("bound the leaves or the depth")
 
-    def fit(self, task: str, train: DataFrame, held_out: DataFrame | None = None) -> Model:
-        """Boosting goes on in growing blocks until the held-out error stands still. Each block
-        starts anew, because MLlib can't resume; equal seeds give equal trees."""
-        booster = self.estimator(task)
-        if held_out is None:
-            return booster.fit(train)
-        tried = min(self.rounds, FIRST_BLOCK)
-        while True:
-            model = booster.copy({booster.maxIter: tried}).fit(train)
-            best, done = best_round(_errors(model, task, held_out), self.patience)
-            if done or tried == self.rounds:
-                break
-            tried = min(2 * tried, self.rounds)
-        return model if best == tried else booster.copy({booster.maxIter: best}).fit(train)
+    @property
+    def limits(self) -> Limits:
+        return Limits(self.leaves, self.depth, self.min_rows, self.min_weight, self.penalty)
 
 
 def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
@@ -73,25 +53,12 @@ def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
-def _errors(model: Model, task: str, rows: DataFrame) -> list[float]:
-    if task == "clf":
-        return model.evaluateEachIteration(rows)
-    return model.evaluateEachIteration(rows, "squared")
-
-
-# Depth 5 stands for 31 and 40 leaves.
+# Fixed values of both pipelines' boosters.
 CHURN_MEMBERS = (
-    Member("broad", depth=5, step=0.05, min_rows=20, columns="0.8", sample=0.8),
-    Member("deep", depth=6, step=0.05, min_rows=1, columns="0.8", sample=0.8),
+    Member("broad", step=0.05, leaves=31, min_rows=20, columns=0.8, sample=0.8, redraw=5),
+    Member("deep", step=0.05, depth=6, penalty=1.0, columns=0.8, sample=0.8),
 )
 GAP_MEMBERS = (
-    Member("broad", depth=5, step=0.01, min_rows=20, columns="0.9"),
-    Member("deep", depth=8, step=0.01, min_rows=1),
+    Member("broad", step=0.01, leaves=40, min_rows=20, columns=0.9),
+    Member("deep", step=0.01, depth=8, penalty=1.0),
 )
-
-
-def add_score(df: DataFrame, model, task: str, name: str) -> DataFrame:
-    """The model's prediction in column ``name``: the probability of class 1 or the value."""
-    scored = model.transform(df)
-    value = vector_to_array("probability")[1] if task == "clf" else F.col("prediction")
-    return scored.withColumn(name, value).drop("rawPrediction", "probability", "prediction")

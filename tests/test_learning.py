@@ -3,19 +3,20 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from subloom.learning.bagging import fit_folds, load_fold_models
+from subloom.learning.bagging import fit_folds, load_fold_models, node_table
 from subloom.learning.importance import fold_importances, mean_importances
 from subloom.learning.matrix import feature_matrix
 from subloom.learning.members import CHURN_MEMBERS, GAP_MEMBERS, Member, best_round
-from subloom.learning.stacking import cross_validate, fit_stacked, load_stacked
+from subloom.learning.stacking import fit_nested, fit_stacked, load_nested, load_stacked
 from subloom.operators.correction import DateLimits
-from subloom.operators.evaluation import roc_auc
+from subloom.operators.evaluation import error_scores, roc_auc
+from subloom.operators.folds import fold_of
 from subloom.operators.profiles import split_by_label
 from subloom.plans import training
 
 MEMBERS = (
-    Member("broad", depth=3, step=0.3, min_rows=5, columns="0.8", sample=0.9, rounds=6),
-    Member("deep", depth=4, step=0.3, min_rows=1, rounds=6),
+    Member("broad", step=0.3, leaves=6, min_rows=5, columns=0.8, sample=0.9, redraw=5, rounds=12),
+    Member("deep", step=0.3, depth=4, penalty=1.0, rounds=12),
 )
 
 
@@ -53,7 +54,7 @@ def spread(df):
 
 
 def test_matrix(clf):
-    assert clf.names == ("a", "b", "noise", "holes", "holes_missing")
+    assert clf.names == ("a", "b", "noise", "holes")
     assert clf.rows.count() == 400
     assert sorted(r["fold"] for r in clf.rows.select("fold").distinct().collect()) == [0, 1, 2, 3]
     assert clf.fold(2).filter("fold <> 2").count() == 0
@@ -81,8 +82,15 @@ def test_classifier(spark, clf, tmp_path):
     )
 
 
-def test_importances(clf):
+def test_importances(spark, clf):
     models = fit_folds(training.labelled(clf.rows), MEMBERS, "clf", 4, early_stop=False)
+    assert {len(m.trees) for m in models.flat()} == {12}
+    nodes = node_table(spark, models.flat()).filter("feature >= 0").groupBy("model", "feature").count()
+    walked = {(r["model"], r["feature"]): r["count"] for r in nodes.collect()}
+    counts = fold_importances(models, clf.names, "splits").collect()
+    for r in counts:
+        at = ["broad", "deep"].index(r["member"]) * 4 + r["fold"], clf.names.index(r["feature"])
+        assert r["importance"] == walked.get(at, 0)
     means = mean_importances(fold_importances(models, clf.names)).collect()
     by_name = {(r["member"], r["feature"]): r["importance"] for r in means}
     assert set(by_name) == {(m.name, f) for m in MEMBERS for f in clf.names}
@@ -126,12 +134,26 @@ def test_stacking(request, task, tmp_path):
     assert sorted(again) == sorted(model.predict(test).select(columns).collect())
 
 
-def test_outer_folds(reg):
-    two = [replace(m, rounds=3) for m in MEMBERS]
-    rows = training.labelled(reg.rows).withColumn("fold", F.col("fold") % 2)
-    out = cross_validate(rows, "id", two, "reg", outer=2, inner=2)
+def test_nested_stacking(spark, reg, tmp_path):
+    rows = training.labelled(reg.rows).withColumn("fold", F.col("fold") % 3)
+    model, out = fit_nested(rows, "id", MEMBERS, "reg", outer=3, inner=2)
     assert out.count() == out.select("id").distinct().count() == 320
-    assert error(out, "stacked") < spread(out)
+    assert error(out, "stacked") < spread(out) / 2
+    scores = {r["fold"]: r for r in error_scores(out.withColumn("d", F.col("label") - F.col("stacked")), "d", ["fold"]).collect()}
+    assert set(scores) == {0, 1, 2} and sum(r["rows"] for r in scores.values()) == 320
+    # scores of a fold do not depend on its labels
+    other = rows.withColumn("label", F.when(F.col("fold") == 1, 120.0).otherwise(F.col("label")))
+    _, again = fit_nested(other, "id", MEMBERS, "reg", outer=3, inner=2)
+    want, got = ({r["id"]: r["stacked"] for r in t.filter("fold = 1").collect()} for t in (out, again))
+    assert got == pytest.approx(want, rel=1e-6) and len(got) == len(want) > 50
+    model.save(f"{tmp_path}/n")
+    test = reg.rows.filter("label is null")
+    columns = ["id", "stacked_0", "stacked_1", "stacked_2", "stacked"]
+    first = sorted(model.predict(test).select(columns).collect())
+    assert first == sorted(load_nested(f"{tmp_path}/n").predict(test).select(columns).collect())
+    for r in first:
+        assert r["stacked"] == pytest.approx((r["stacked_0"] + r["stacked_1"] + r["stacked_2"]) / 3)
+    assert len(first) == 80
 
 
 def test_settings_are_accepted(clf, reg):
@@ -147,39 +169,7 @@ def test_best_round():
     assert best_round([3.0], 10) == (1, False)
 
 
-def test_small_steps_go_on(reg):
-    """Gains far below one percent a round do not end the boosting."""
-    slow = Member("slow", depth=3, step=0.01, min_rows=5, rounds=25)
-    models = fit_folds(training.labelled(reg.rows), [slow], "reg", 2).models["slow"]
-    assert [m.getNumTrees for m in models] == [25, 25]
-
-
-def test_boosting_ends_after_patience(reg):
-    """Large steps overfit: the trees after the best round are left out."""
-    fast = Member("fast", depth=4, step=1.0, min_rows=1, rounds=12, patience=2)
-    rows = training.labelled(reg.rows).withColumn("fold", F.col("fold") % 2)
-    for i, model in enumerate(fit_folds(rows, [fast], "reg", 2).models["fast"]):
-        whole = fast.fit("reg", rows.filter(F.col("fold") != i))
-        errors = whole.evaluateEachIteration(rows.filter(F.col("fold") == i), "squared")
-        assert model.getNumTrees == best_round(errors, 2)[0] <= 12
-
-
-@pytest.mark.parametrize("member", [*CHURN_MEMBERS, *GAP_MEMBERS])
-def test_only_patience_ends_boosting(member, monkeypatch):
-    """A booster whose held-out error falls for 350 rounds keeps 350 trees."""
-
-    class Booster:
-        maxIter = "maxIter"
-
-        def __init__(self, trees=None):
-            self.trees = trees
-
-        def copy(self, extra):
-            return Booster(extra[self.maxIter])
-
-        def fit(self, rows):
-            return self
-
-    monkeypatch.setattr(Member, "estimator", lambda self, task: Booster())
-    monkeypatch.setattr("subloom.learning.members._errors", lambda m, task, rows: [abs(350 - i) for i in range(1, m.trees + 1)])
-    assert member.fit("reg", None, object()).trees == 350
+def test_rows_with_a_null_key_have_a_fold(spark):
+    keys = spark.createDataFrame([(None,), (1,), (None,)], "id long")
+    folds = [r[0] for r in keys.select(fold_of(F.col("id"), 5)).collect()]
+    assert None not in folds and folds[0] == folds[2]
