@@ -19,11 +19,21 @@ from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize, write_through
 
 
+# A column of our own while a stage runs: the rows of one id are told apart by their texts.
+KEY, SCORE = "__key", "__score"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.md5(F.coalesce("text", F.lit("")))
+    return docs.withColumn(KEY, F.concat_ws(":", F.col("doc_id").cast("string"), text))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, fitted on these documents' labels, scores below
     0.5."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+    scored = score_toxicity(docs, model, score_column=SCORE)
+    return scored.filter(F.col(SCORE) < 0.5).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +44,24 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates. Documents without words
-    are in no group, rows with a null id neither."""
-    groups = near_duplicates(docs)
-    copies = materialize(groups.filter("doc_id <> component_id").select("doc_id"))
-    return docs.join(checked_broadcast(copies), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, rows that repeat an id or have none
+    included. Documents without words are in no group and stay."""
+    rows = keyed(docs)
+    groups = write_through(near_duplicates(rows, id_column=KEY), "groups")
+    copies = groups.filter(F.col(KEY) != F.col("component_id")).select(KEY).distinct()
+    kept = rows.join(checked_broadcast(materialize(copies)), KEY, "left_anti")
+    worded = groups.filter("n_shingles > 0").groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    again = checked_broadcast(materialize(worded.filter("n > 1").select(KEY)))
+    once = kept.join(again, KEY, "left_semi").dropDuplicates([KEY])
+    return kept.join(again, KEY, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    dirty = materialize(found.select("doc_id").distinct())
-    return docs.join(checked_broadcast(dirty), "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_column=KEY)
+    dirty = materialize(found.select(KEY).distinct())
+    return rows.join(checked_broadcast(dirty), KEY, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +77,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-# Learnt classifiers and tokenizers have no SQL; tests/llm compares with plain versions instead.
+# Learnt classifiers and tokenizers have no SQL; tests/llm/test_pipeline.py compares run() with a
+# plain version instead.
 ORACLE_SQL = None
 
 
