@@ -7,12 +7,11 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subloom.functions.rowwise import row_mean
-from subloom.learning.binning import dense
+from subloom.learning.binning import dense, vector_parts
 from subloom.learning.boosting import Booster, Job, fit_boosters
 from subloom.learning.members import Member
 from subloom.learning.trees import Tree
@@ -67,17 +66,21 @@ def add_scores(
     wanted = asked or [F.lit(True)] * len(models)
 
     @F.pandas_udf("array<double>")
-    def scored(x: pd.Series, asked: pd.Series) -> pd.Series:
-        matrix, asked = dense(x), np.array(asked.tolist(), bool).reshape(len(x), -1)
-        out = np.full(asked.shape, np.nan)
-        for i, model in enumerate(shared.value):
-            rows = asked[:, i]
-            if rows.any():
-                out[rows, i] = model.scores(matrix[rows])
+    def scored(
+        size: pd.Series, indices: pd.Series, values: pd.Series, asked: pd.Series
+    ) -> pd.Series:
+        batch = pd.DataFrame({"size": size, "indices": indices, "values": values})
+        wanted = np.array(asked.tolist(), bool).reshape(len(batch), -1)
+        out = np.full(wanted.shape, np.nan)
+        for a, b, x in dense(batch):
+            for i, model in enumerate(shared.value):
+                rows = wanted[a:b, i]
+                if rows.any():
+                    out[a:b, i][rows] = model.scores(x[rows])
         return pd.Series(list(out))
 
     name = "__scores"
-    values = df.withColumn(name, scored(vector_to_array("features"), F.array(*wanted)))
+    values = df.withColumn(name, scored(*vector_parts(), F.array(*wanted)))
     return values.withColumns(
         {
             c: F.nanvl(F.get(name, F.lit(i)), F.lit(None).cast("double"))

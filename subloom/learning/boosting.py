@@ -23,18 +23,17 @@ from dataclasses import dataclass, field, fields
 import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subloom.learning.binning import BINS, bin_edges, dense, to_bins
+from subloom.learning.binning import BINS, bin_edges, dense, to_bins, vector_parts
 from subloom.learning.members import Member, best_round
 from subloom.learning.trees import Limits, Tree, best_splits, finish, grow, histogram, predict
 from subloom.session import materialize, shared_dir
 
 # Bin numbers (rows times features) of a model that one task may hold.
 LOCAL_CELLS = 8_000_000
-# Bin numbers of a block, and histogram cells that a task adds up at a time.
+# Bin numbers looked at and histogram cells added up at a time.
 BLOCK_CELLS = 2_000_000
 HISTOGRAM_CELLS = 1_000_000
 # Rounds after which the scores are stored in the shared folder, which ends their lineage.
@@ -217,15 +216,14 @@ def _advance(block: Block, score: np.ndarray, job: Job, first: int, rounds: int,
 def _blocks(rows: DataFrame, edges: list[np.ndarray]) -> RDD:
     """Rows as blocks; each row's hash covers all its columns but the vector."""
     others = [c for c, t in rows.dtypes if t != "vector"]
-    size = max(1, BLOCK_CELLS // max(len(edges), 1))
     shared = rows.sparkSession.sparkContext.broadcast(edges)
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), size):
-                part = batch.iloc[at : at + size]
+            for a, b, x in dense(batch):
+                part = batch.iloc[a:b]
                 columns = (
-                    to_bins(dense(part["x"]), shared.value).astype(np.uint8),
+                    to_bins(x, shared.value),
                     part["label"].to_numpy(np.float64),
                     part["fold"].to_numpy(np.int32),
                     part["outer"].to_numpy(np.int32),
@@ -239,7 +237,7 @@ def _blocks(rows: DataFrame, edges: list[np.ndarray]) -> RDD:
         return Block(parts[0].reshape(len(parts[1]), len(edges)), *parts[1:])
 
     columns = rows.select(
-        vector_to_array("features").alias("x"),
+        *vector_parts(),
         F.col("label").cast("double").alias("label"),
         F.col("fold").cast("int").alias("fold"),
         F.col("outer").cast("int").alias("outer"),

@@ -61,4 +61,14 @@ def feature_matrix(
         "features",
         fold_of(F.col(key), k, seed).alias("fold"),
     )
-    return Matrix(write_through(rows, "matrix", partition_by=["fold"]), tuple(features))
+    stored = write_through(rows, "matrix", partition_by=["fold"])
+    return Matrix(stored, tuple(_names(df, features)))
+
+
+def _names(df: DataFrame, features: Sequence[str]) -> list[str]:
+    """A name per place of the assembled vectors; places of a vector column are numbered."""
+    names = []
+    for c in features:
+        width = df.schema[c].metadata.get("ml_attr", {}).get("num_attrs")
+        names += [c] if width is None else [f"{c}_{i}" for i in range(width)]
+    return names

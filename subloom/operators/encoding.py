@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,7 +144,8 @@ def one_hot(df: DataFrame, columns: Sequence[str], limit: int = MAX_DENSE_LEVELS
     """A 0/1 column ``{column}_{value}`` per level in place of each column.
 
     The frame is read twice: store a costly one first. Values count as text and null is a level of its own, ``nan``. A column with more than
-    ``limit`` levels is refused; use ``pyspark.ml.feature.OneHotEncoder`` (sparse) for it.
+    ``limit`` levels is refused, because a table has no room for so many columns; use
+    ``one_hot_vectors`` for it.
     """
     text = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns})
     levels = fit_levels(text, columns)
@@ -158,6 +160,24 @@ def one_hot(df: DataFrame, columns: Sequence[str], limit: int = MAX_DENSE_LEVELS
     return text.select(*kept, *[e.alias(n) for n, e in flags.items()])
 
 
+def one_hot_vectors(
+    df: DataFrame, columns: Sequence[str], suffix: str = "_levels"
+) -> tuple[DataFrame, Levels]:
+    """A sparse 0/1 vector ``{column}{suffix}`` with a place per level in place of each column, for
+    any number of levels, and the levels: the code of a level is its place.
+
+    The frame is read twice: store a costly one first. Values count as text and null is a level of
+    its own, ``nan``. The vectors go into a feature matrix as they are.
+    """
+    text = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns})
+    levels = fit_levels(text, columns)
+    coded = encode(text, levels, columns)
+    model = OneHotEncoder(
+        inputCols=list(columns), outputCols=[f"{c}{suffix}" for c in columns], dropLast=False
+    ).fit(coded)
+    return model.transform(coded).drop(*columns), levels
+
+
 def brand_flags(brand: Column) -> dict[str, Column]:
     return {f"is_{name}": flag(brand.isin(spellings)) for name, spellings in BRANDS.items()}
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subloom.functions.numeric import to_class
 from subloom.operators.medians import exact_medians
+from subloom.operators.skew import checked_broadcast
+from subloom.session import materialize, write_through
 
 
 def binary_scores(
@@ -49,6 +51,71 @@ def roc_auc(df: DataFrame, label: str, score: str) -> float:
     return evaluator.evaluate(rows)
 
 
+def roc_auc_by(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """Rows (by.., rows, auc): the exact area under the ROC curve of every group, in one pass for
+    all groups; equal scores count half, and a group of one class has null. Rows without label or
+    score do not count.
+
+    Equal scores of a group collapse before they move. They are sorted by range over the cluster;
+    how many of class 0 lie below follows from a running count inside each range and the totals of
+    the group's ranges before it, so no task holds more than a range.
+    """
+    marked = df.select(*by, F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
+    ones, zeros = (F.count(F.when(F.col("y") == k, 1)) for k in (1, 0))
+    counts = (
+        marked.filter("y is not null and s is not null")
+        .groupBy(*by, "s")
+        .agg(ones.alias("ones"), zeros.alias("zeros"))
+    )
+    ordered = materialize(counts.orderBy(*by, "s")).withColumn("part", F.spark_partition_id())
+    parts = ordered.groupBy(*by, "part").agg(F.sum("zeros").alias("n"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(
+        parts.select(
+            *[F.col(c).alias(f"_{c}") for c in by],
+            F.col("part").alias("_part"),
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        )
+    )
+    same = F.col("part") == F.col("_part")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = Window.partitionBy("part", *by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.join(checked_broadcast(offsets), same).withColumn(
+        "below", F.col("offset") + F.coalesce(F.sum("zeros").over(inside), F.lit(0))
+    )
+    # twice the pairs in order, in whole numbers: the order of rows makes no difference
+    won = F.sum(F.col("ones") * (2 * F.col("below") + F.col("zeros"))).cast("double")
+    pairs = F.sum("ones").cast("double") * F.sum("zeros")
+    return placed.groupBy(*by).agg(
+        (F.sum("ones") + F.sum("zeros")).alias("rows"), F.try_divide(won, 2 * pairs).alias("auc")
+    )
+
+
+def binary_scores_by_model(
+    df: DataFrame, label: str, scores: Sequence[str], by: Sequence[str], threshold: float = 0.5
+) -> DataFrame:
+    """Rows (model, by.., rows, predicted_1, predicted_0, f1, accuracy, recall, auc) for every
+    score column and group, from one frame of all of them."""
+    entries = F.array(
+        *[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores]
+    )
+    long = write_through(
+        df.select(*by, F.col(label).alias("label"), F.explode(entries).alias("e")).select(
+            *by, "label", "e.*"
+        ),
+        "model-scores",
+    )
+    keys = ["model", *by]
+    auc = roc_auc_by(long, "label", "score", keys).drop("rows")
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    renamed = auc.withColumnsRenamed({c: f"_{c}" for c in keys})
+    counts = binary_scores(long, "label", "score", threshold, keys)
+    return counts.join(renamed, same, "left").drop(*[f"_{c}" for c in keys])
+
+
 def error_scores(
     df: DataFrame, diff: str, by: Sequence[str], row_bound: int | None = None
 ) -> DataFrame:

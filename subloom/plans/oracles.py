@@ -577,6 +577,31 @@ a AS (SELECT (sum(midrank) FILTER (WHERE is_lost = 1) - sum(is_lost) * (sum(is_l
     / (sum(is_lost) * (count(*) - sum(is_lost))) AS auc FROM r)
 SELECT rows, predicted_1, predicted_0, 2 * tp / (2 * tp + fp + fn) AS f1, (tp + tn) / rows AS accuracy,
   tp / (tp + fn) AS recall, round(auc, 6) AS auc FROM c, a""",
+    "q_scores_by_fold": f"""WITH {SCORED}, e AS (
+  SELECT is_lost, {_fold('user_id', 4)} AS fold,
+    unnest([struct_pack(model := 'smooth', score := quiet / (quiet + 250.0::DOUBLE)),
+            struct_pack(model := 'coarse', score := floor(quiet / 100.0::DOUBLE) / 20)], recursive := true)
+  FROM scored),
+r AS (SELECT *, rank() OVER (PARTITION BY model, fold ORDER BY score)
+    + (count(*) OVER (PARTITION BY model, fold, score) - 1) / 2 AS midrank FROM e),
+c AS (
+  SELECT model, fold, count(*) AS rows, count(*) FILTER (WHERE score >= 0.5) AS predicted_1,
+    count(*) FILTER (WHERE score < 0.5) AS predicted_0, sum(is_lost) AS p, count(*) - sum(is_lost) AS n,
+    count(*) FILTER (WHERE is_lost = 1 AND score >= 0.5) AS tp,
+    count(*) FILTER (WHERE is_lost = 0 AND score >= 0.5) AS fp,
+    count(*) FILTER (WHERE is_lost = 1 AND score < 0.5) AS fn,
+    count(*) FILTER (WHERE is_lost = 0 AND score < 0.5) AS tn,
+    sum(midrank) FILTER (WHERE is_lost = 1) AS midranks FROM r GROUP BY model, fold)
+SELECT model, fold::INTEGER AS fold, rows, predicted_1, predicted_0,
+  coalesce(2 * tp / (2 * tp + fp + fn), 0) AS f1, coalesce((tp + tn) / rows, 0) AS accuracy,
+  coalesce(tp / (tp + fn), 0) AS recall,
+  (2 * midranks - p * (p + 1))::DOUBLE / (2 * p * n)::DOUBLE AS auc FROM c""",
+    "q_sparse_one_hot": """SELECT o_orderkey, o_custkey,
+  (SELECT count(DISTINCT o_custkey) FROM orders)::INTEGER AS levels,
+  (dense_rank() OVER (ORDER BY o_custkey::VARCHAR) - 1)::INTEGER AS place, 1::DOUBLE AS value FROM orders""",
+    "q_fold_coverage": f"""SELECT CASE WHEN c_custkey % 5 <> 0 THEN 'train' ELSE 'test' END AS split,
+  {_fold('c_custkey', 4)}::INTEGER AS fold, count(*) AS rows, count(*) AS scored, count(*) AS alike,
+  4::BIGINT AS ranked FROM customer GROUP BY 1, 2""",
     "q_bagged_mean": f"""WITH {SCORED}, m AS (
   SELECT user_id, {_bag(300)} AS slow_mean, {_bag(100)} AS fast_mean FROM scored)
 SELECT user_id AS "USER_ID", slow_mean, fast_mean, (slow_mean + fast_mean) / 2 AS score,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,14 +12,21 @@ from pyspark.sql import functions as F
 from subloom.functions.dates import compact, days_until, month_start
 from subloom.functions.numeric import age_bin, right_closed_bins, to_class
 from subloom.functions.rowwise import count_present, row_mean
-from subloom.learning.bagging import fit_folds
+from subloom.learning.bagging import FoldModels, fit_folds, load_fold_models
 from subloom.learning.importance import fold_importances, mean_importances
+from subloom.learning.matrix import feature_matrix
 from subloom.learning.members import CHURN_MEMBERS, GAP_MEMBERS
-from subloom.learning.stacking import INNER_FOLDS, fit_stacked
+from subloom.learning.stacking import INNER_FOLDS, fit_nested, fit_stacked, load_nested
 from subloom.operators import encoding
 from subloom.operators.assemble import attach_features, fill_constant
 from subloom.operators.correction import with_corrected_date
-from subloom.operators.evaluation import binary_scores, error_scores, mean_over_folds, roc_auc
+from subloom.operators.evaluation import (
+    binary_scores,
+    binary_scores_by_model,
+    error_scores,
+    mean_over_folds,
+    roc_auc,
+)
 from subloom.operators.folds import fold_of
 from subloom.operators.history import (
     UP_TIMES,
@@ -45,6 +53,8 @@ from subloom.sources.store import read_features, write_features, write_result
 from subloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+# Outer and inner folds of the nested query; a production run has 8 and 5.
+NESTED = (3, 2)
 
 
 def _features(family) -> DataFrame:
@@ -402,6 +412,33 @@ def binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return binary_scores(scored, "IS_LOST", "score").withColumn("auc", F.round(F.lit(auc), 6))
 
 
+def scores_by_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, F1, accuracy, recall and AUC of two scores in every fold; many scores are equal."""
+    scored = _rule_score(spark, sf).select(
+        "IS_LOST",
+        fold_of(F.col("USER_ID"), training.CHURN_FOLDS).alias("fold"),
+        (F.col("quiet") / (F.col("quiet") + 250.0)).alias("smooth"),
+        (F.floor(F.col("quiet") / 100) / 20).alias("coarse"),
+    )
+    return binary_scores_by_model(scored, "IS_LOST", ["smooth", "coarse"], ["fold"])
+
+
+def sparse_one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of orders as a sparse vector with a place for each: its one entry."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_custkey").alias("customer")
+    )
+    out, _ = encoding.one_hot_vectors(write_through(orders, "order-customers"), ["customer"])
+    parts = F.unwrap_udt("customer_levels")
+    return out.select(
+        "o_orderkey",
+        "o_custkey",
+        parts["size"].alias("levels"),
+        F.get(parts["indices"], F.lit(0)).alias("place"),
+        F.get(parts["values"], F.lit(0)).alias("value"),
+    )
+
+
 def bagged_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of one score per fold, then of two members, and the class at 0.5."""
     scored = _rule_score(spark, sf)
@@ -543,12 +580,73 @@ def stack_reg(spark: SparkSession, sf: str) -> DataFrame:
     return dated.select("USER_ID", "stacked", compact(F.col("pred_date")).alias("pred_date"))
 
 
+def nested_reg(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates from stacked models in outer folds: of the train part by the model that never saw a
+    row, with the error of its fold; of the test part by the mean of all outer models, saved and
+    loaded again."""
+    matrix = _gap_input(spark, sf, NESTED[0])
+    train, test = training.gap_parts(matrix)
+    model, held_out = fit_nested(training.labelled(train), "USER_ID", GAP_MEMBERS, "reg", *NESTED)
+    path = work_path(spark, "nested")
+    model.save(path)
+    dated = write_through(with_corrected_date(held_out, "stacked", retail.LIMITS), "nested-dates")
+    scores = error_scores(dated, "diff", ["fold"], dated.count())
+    columns = ["USER_ID", "fold", "stacked", compact(F.col("pred_date")).alias("pred_date")]
+    known = dated.select(*columns, "diff").join(
+        F.broadcast(scores.select("fold", F.col("mse").alias("fold_mse"))), "fold"
+    )
+    later = load_nested(path).predict(test)
+    later = with_corrected_date(later, "stacked", retail.LIMITS, truth=None)
+    return tag_and_union(known, later.select(*columns))
+
+
+def fold_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Of small boosters: how many rows of each part and fold have scores, are scored alike by
+    the models loaded again, and how many features they rank."""
+    key = F.col("c_custkey")
+    people = table(spark, sf, "customer").select(
+        key.alias("USER_ID"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"),
+        key.alias("number"),
+        F.when(key % 5 != 0, (F.col("c_acctbal") > 4500).cast("int")).alias("y"),
+    )
+    matrix = feature_matrix(people, "USER_ID", "y", training.CHURN_FOLDS)
+    train, test = split_by_label(matrix.rows, "label", (0, 1))
+    few = [replace(m, rounds=3) for m in CHURN_MEMBERS]
+    models = fit_folds(train, few, "clf", training.CHURN_FOLDS)
+    path = work_path(spark, "fold-models")
+    models.save(path)
+    again = load_fold_models(path)
+    ranked = mean_importances(fold_importances(again, matrix.names)).count()
+
+    def scored(one: FoldModels, suffix: str) -> DataFrame:
+        columns = ["USER_ID", "fold", "pred_broad", "pred_deep"]
+        parts = one.out_of_fold(train).select(columns), one.bagged(test).select(columns)
+        both = tag_and_union(*parts)
+        names = ("pred_broad", "pred_deep")
+        return both.withColumnsRenamed({c: f"{c}{suffix}" for c in names})
+
+    joined = scored(models, "").join(scored(again, "_again"), ["USER_ID", "fold", "split"])
+    alike = (F.col("pred_broad") == F.col("pred_broad_again")) & (
+        F.col("pred_deep") == F.col("pred_deep_again")
+    )
+    known = F.col("pred_broad").between(0, 1) & F.col("pred_deep").between(0, 1)
+    return joined.groupBy("split", "fold").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(known, 1)).alias("scored"),
+        F.count(F.when(alike, 1)).alias("alike"),
+        F.lit(ranked).cast("long").alias("ranked"),
+    )
+
+
 LEARNING: dict[str, Query] = {
     "q_importance": importance,
     "q_churn_gbt": churn_gbt,
     "q_gap_gbt": gap_gbt,
     "q_stack_reg": stack_reg,
     "q_stack_clf": stack_clf,
+    "q_nested_reg": nested_reg,
+    "q_fold_coverage": fold_coverage,
 }
 
 RELATIONAL: dict[str, Query] = {
@@ -581,6 +679,8 @@ RELATIONAL: dict[str, Query] = {
     "q_date_error": date_error,
     "q_binary_metrics": binary_metrics,
     "q_bagged_mean": bagged_mean,
+    "q_scores_by_fold": scores_by_fold,
+    "q_sparse_one_hot": sparse_one_hot,
     "q_csv_roundtrip": csv_roundtrip,
     "q_store_roundtrip": store_roundtrip,
 }

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
-from subloom.learning import boosting
+from subloom.learning import binning, boosting
 from subloom.learning.binning import bin_edges, edges_of, to_bins
 from subloom.learning.boosting import Job, fit_boosters
 from subloom.learning.members import Member, best_round
@@ -160,7 +160,7 @@ def test_only_the_learned_side_of_missing_values_separates(spark):
         assert tree.missing_left[0] is not right
 
 
-def test_edges(spark):
+def test_edges(spark, monkeypatch):
     r = np.random.default_rng(1)
     x = np.c_[r.integers(0, 5, 5_000), r.normal(size=5_000), np.full(5_000, np.nan), np.ones(5_000)]
     x[::7, 0] = np.nan
@@ -168,6 +168,11 @@ def test_edges(spark):
     assert edges[0].tolist() == [0.5, 1.5, 2.5, 3.5] and len(edges[2]) == len(edges[3]) == 0
     counts = np.bincount(to_bins(x, edges)[:, 1], minlength=16)
     assert counts[0] == 0 and len(edges[1]) == 14 and counts[1:].min() > 5_000 / 15 * 0.9
+    monkeypatch.setattr(binning, "FAN_IN", 2)  # summaries of 7 tasks in three rounds
+    again = bin_edges(frame(spark, x, np.zeros(5_000), parts=7), 4, 16)
+    assert again[0].tolist() == edges[0].tolist()
+    counts = np.bincount(to_bins(x, again)[:, 1], minlength=16)
+    assert len(again[1]) == 14 and counts[1:].min() > 5_000 / 15 * 0.9
     assert edges_of(np.array([3.0, 1, 3]), np.ones(3), 64) == [2.0]
 
 

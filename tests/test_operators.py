@@ -247,3 +247,71 @@ def test_errors(spark, bound):
     scores = error_scores(df, "diff", ["fold"], bound)
     assert rows(scores) == [(0, 3, 35 / 3, 3.0), (1, 1, 4.0, 2.0)]
     assert mean_over_folds(scores, ["mse"]).first()[0] == pytest.approx((35 / 3 + 4) / 2)
+
+
+def test_auc_of_many_groups(spark):
+    """Against all pairs; ties, one-class groups, null groups and missing values."""
+    import random
+
+    from subloom.operators.evaluation import roc_auc_by
+
+    r = random.Random(4)
+    rows = [
+        (g, r.choice([0, 1, 1, None]), r.choice([0.1, 0.2, 0.2, 0.7, None, -1.0]))
+        for g in ("a", "b", None)
+        for _ in range(150)
+    ]
+    rows += [("one", 1, 0.5), ("one", 1, 0.7), ("zero", 0, 0.5)]
+    got = {}
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "g string, y int, s double").repartition(parts)
+        got[parts] = {x["g"]: (x["rows"], x["auc"]) for x in roc_auc_by(df, "y", "s", ["g"]).collect()}
+    want = {}
+    for g in ("a", "b", None, "one", "zero"):
+        known = [(y, s) for k, y, s in rows if k == g and y is not None and s is not None]
+        pairs = [(a, b) for y, a in known if y == 1 for z, b in known if z == 0]
+        won = sum((a > b) + (a == b) / 2 for a, b in pairs)
+        want[g] = (len(known), won / len(pairs) if pairs else None)
+    assert got[1] == got[7] == want
+
+
+def test_sparse_one_hot_equals_dense(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from subloom.operators.encoding import one_hot, one_hot_vectors
+
+    rows = [(i, f"v{i % 7}" if i % 5 else None, i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a string, b int")
+    dense = one_hot(df, ["a", "b"])
+    names = [c for c in dense.columns if c != "id"]
+    want = {r["id"]: [float(r[c]) for c in names] for r in dense.collect()}
+    sparse, levels = one_hot_vectors(df, ["a", "b"])
+    assert levels.sizes == {"a": 8, "b": 3}
+    both = sparse.select("id", *[vector_to_array(f"{c}_levels").alias(c) for c in ("a", "b")])
+    assert {r["id"]: r["a"] + r["b"] for r in both.collect()} == want
+
+
+def test_many_levels_go_into_a_matrix(spark):
+    """5,000 levels, more than a dense table may have, trained on as sparse vectors."""
+    from pyspark.sql import functions as F
+
+    from subloom.learning.bagging import fit_folds
+    from subloom.learning.matrix import feature_matrix
+    from subloom.learning.members import Member
+    from subloom.operators.encoding import one_hot_vectors
+
+    df = spark.range(6_000).select(
+        "id",
+        F.when(F.col("id") < 5_000, F.col("id")).otherwise(17).cast("string").alias("level"),
+        (F.col("id") % 97).cast("double").alias("x"),
+        F.when(F.col("id") >= 5_000, 9.0).otherwise(1.0).alias("y"),
+    )
+    sparse, levels = one_hot_vectors(df, ["level"])
+    assert levels.sizes == {"level": 5_000}
+    matrix = feature_matrix(sparse, "id", "y", 2, features=["level_levels", "x"])
+    assert len(matrix.names) == 5_001
+    stored = matrix.rows.select(F.unwrap_udt("features").alias("v")).select(F.max(F.size("v.indices")))
+    assert stored.first()[0] <= 2
+    model = fit_folds(matrix.rows, [Member("m", step=1.0, leaves=2, rounds=1)], "reg", 2)
+    place = levels.frame.filter("value = '17'").first()["code"]
+    assert {m.trees[0].feature[0] for m in model.flat()} == {place}
