@@ -32,7 +32,9 @@ from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize, write_through
 
 LENGTH, GRAM = 200, 32
-BATCH_BYTES, BUCKET_BYTES = 6_000_000, 40_000_000
+BATCH_BYTES, BUCKET_BYTES = 4_000_000, 40_000_000
+# Strings compared one by one in a bucket.
+BUCKET_STRINGS = 1_000_000
 GEAR = np.random.default_rng(29).integers(0, 2**32, 256, dtype=np.uint32)
 ROOT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(ROOT), -1, 2**64))
@@ -205,7 +207,7 @@ def _ranked(rows: pd.DataFrame, whole_only: bool) -> pd.DataFrame:
             "id": pd.Series([d[0] for d in out_docs], dtype=object),
             "key": pd.Series([d[1] for d in out_docs], dtype="int64"),
             "spots": [s.astype("<u4").tobytes() for s in out_spots],
-            "detail": [bool((s[2] & DETAIL).any()) for s in out_spots],
+            "detail": [int(((s[1] - s[0] + 1) * (s[2] & DETAIL > 0)).sum()) for s in out_spots],
         }
     )
 
@@ -230,7 +232,7 @@ def repeated_strings(
     size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     # About 24 bytes for one position in 85, and as many again for strings compared one by one.
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    found = "id string, key long, spots binary, detail boolean"
+    found = "id string, key long, spots binary, detail long"
 
     def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _batches(frames):
@@ -258,7 +260,7 @@ def repeated_strings(
                 for c, x in zip(cols, (Hashes(data).of(start, start + length), np.full(len(start), k), start, weight)):
                     c.append(x)
             gram, doc, start, weight = map(np.concatenate, cols)
-            yield from _framed(_sent(batch, gram, np.zeros(len(gram), np.uint64), doc, start, start, buckets, weight))
+            yield from _framed(_sent(batch, gram, np.zeros(len(gram), np.uint64), doc, start, start, finer, weight))
 
     first = write_through(
         rows.mapInPandas(sampled, ENTRY)
@@ -266,8 +268,10 @@ def repeated_strings(
         .applyInPandas(lambda part: _ranked(part, False), found),
         "samples",
     )
-    per_doc = first.groupBy("id", "key").agg(F.collect_list("spots").alias("spots"), F.max("detail").alias("detail"))
-    open_ = per_doc.filter("detail").drop("detail")
+    per_doc = first.groupBy("id", "key").agg(F.collect_list("spots").alias("spots"), F.sum("detail").alias("detail"))
+    open_ = per_doc.filter("detail > 0").drop("detail")
+    strings = first.agg(F.sum("detail")).first()[0] or 0
+    finer = max(1, math.ceil(strings / BUCKET_STRINGS))
     # Where the documents to compare are few, the others' texts stay where they are.
     keys = checked_broadcast(materialize(open_.select("key").distinct()))
     second = (
