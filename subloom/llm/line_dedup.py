@@ -4,7 +4,7 @@ A line's tokens are its word shingles, ordered by rarity: by the count of their
 of counters over all lines, then by hash. Two lines with Jaccard similarity of at least
 ``threshold`` share a token among the first ``floor((1 - threshold) * n) + 1`` of each, their
 lengths differ by no more than the threshold, and the shared token stands where enough tokens
-remain. Lines of one token list count as their first. Each meets the first line of every token
+remain. Lines of the same words count as their first. Each meets the first line of every token
 it has in its prefix; only one that matches none of them meets the others before it.
 
 All of it is DataFrame operations.
@@ -13,12 +13,11 @@ All of it is DataFrame operations.
 from __future__ import annotations
 
 import math
-import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subloom.llm.words import BREAKS, SHINGLE, let
+from subloom.llm.words import SHINGLE, let, word_list
 from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize, write_through
 
@@ -27,8 +26,6 @@ CELLS, BITS = 1 << 16, 58
 # Up to so many tokens or names are broadcast: one long each, some 64 MB.
 BROADCAST_LONGS = 2_000_000
 LINE = ["doc", "row", "line"]
-# Runs of words between single blanks, one from each word on.
-RUNS = "(?= ([^ ]++(?: [^ ]++){%d}) )" % (SHINGLE - 1)
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -40,18 +37,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return parts.select("doc", "row", F.posexplode_outer("parts").alias("line", "text"))
 
 
-def _tokens(text: Column) -> Column:
+def _tokens(words: Column) -> Column:
     """Different hashes of the five-word runs of a line with words; of all its words together if
-    they are fewer."""
-    plain = F.translate(text, string.ascii_uppercase + BREAKS, string.ascii_lowercase + " " * len(BREAKS))
-    spaced = F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), " {2,}", " ")
+    they are fewer. A run is named by the hashes of its words, each made once."""
 
-    def cut(line: Column) -> Column:
-        runs = F.transform(F.regexp_extract_all(line, F.lit(RUNS), F.lit(1)), lambda r: F.xxhash64(r))
-        few = F.array(F.xxhash64(F.trim(line)))
-        return let(runs, lambda r: F.when(F.size(r) > 0, r).otherwise(few))
+    def runs(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(h) - SHINGLE)
+        each = F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
+        return F.when(F.size(h) >= SHINGLE, each).otherwise(F.array(F.xxhash64(h)))
 
-    return F.array_distinct(let(spaced, cut))
+    return F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), runs))
 
 
 def _cell(token: Column) -> Column:
@@ -68,17 +63,16 @@ def _rarity(sets: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, octaves))), ",").cast("array<bigint>")
 
 
-def _prefixes(sets: DataFrame, rarity: Column, percent: int) -> DataFrame:
-    """Rows (token, name, n, pos): the rarest tokens of each line, with their places."""
+def _prefix(tokens: Column, rarity: Column, percent: int) -> Column:
+    """The rarest tokens of a line, rarest first."""
 
     def rank(token: Column) -> Column:
         octave = F.coalesce(F.get(rarity, _cell(token)), F.lit(0))
         low = F.coalesce(token, F.lit(0)).bitwiseAND(F.lit((1 << BITS) - 1))
         return F.shiftleft(octave, BITS).bitwiseOR(low)
 
-    ordered = F.sort_array(F.transform("tokens", rank))
     size = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
-    return sets.select("name", "n", F.posexplode(F.slice(ordered, F.lit(1), size)).alias("pos", "token"))
+    return F.slice(F.sort_array(F.transform(tokens, rank)), F.lit(1), size)
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -117,9 +111,16 @@ def repeated_lines(
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
     percent = round(threshold * 100)
     full = _lines(rows).filter(F.col("text").rlike(WORD))
-    cut = full.select(*LINE, _tokens(F.col("text")).alias("tokens"))
-    sets = write_through(cut.select(*LINE, F.size("tokens").alias("n"), F.xxhash64("tokens").alias("name"), "tokens"), "lines")
-    # Lines of one token list: all but the first match it.
+    words = word_list(F.col("text"))
+    tokens = full.select(*LINE, words.alias("words")).select(
+        *LINE, F.xxhash64("words").alias("name"), _tokens(F.col("words")).alias("tokens")
+    )
+    # Only prefixes are stored; the tokens of a line that is to be verified are made again.
+    sized = tokens.select(*LINE, "name", F.size("tokens").alias("n"), "tokens")
+    prefix = _prefix(F.col("tokens"), _rarity(tokens), percent)
+    sets = write_through(sized.select(*LINE, "name", "n", prefix.alias("prefix")), "lines")
+    named = full.select(F.xxhash64(words).alias("name"), words.alias("words"))
+    # Lines of the same words: all but the first match it.
     line = F.struct(*LINE)
     firsts = materialize(sets.groupBy("name").agg(F.min(line).alias("first"), F.count(F.lit(1)).alias("k")))
     copies = (
@@ -129,7 +130,8 @@ def repeated_lines(
         .select("e.*")
     )
     # Each token knows the first line that has it, other lines are behind that.
-    entries = _shared(_prefixes(sets, _rarity(sets), percent)).join(firsts.drop("k"), "name")
+    prefixes = sets.select("name", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = _shared(prefixes).join(firsts.drop("k"), "name")
     lists = write_through(entries.select("token", F.struct("first", "name", "n", "pos").alias("e")), "lists")
     heads = lists.groupBy("token").agg(F.min("e").alias("head"))
     behind = write_through(lists.join(heads, "token").filter("e.name <> head.name"), "behind")
@@ -138,7 +140,7 @@ def repeated_lines(
             behind.filter(_may_match("e", "head", percent)).select(
                 F.col("e.name").alias("a"), F.col("head.name").alias("b")
             ),
-            sets,
+            named,
             percent,
         )
     )
@@ -151,16 +153,19 @@ def repeated_lines(
         .filter(_may_match("later", "e", percent))
         .select(F.col("later.name").alias("a"), F.col("e.name").alias("b"))
     )
-    later = matched.unionByName(_verified(rest, sets, percent)).withColumnRenamed("a", "name")
+    later = matched.unionByName(_verified(rest, named, percent)).withColumnRenamed("a", "name")
     return copies.unionByName(firsts.join(later, "name", "left_semi").select("first.*"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The names ``a`` of pairs (a, b) whose token sets are similar enough."""
+def _verified(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """The names ``a`` of pairs (a, b) whose token sets are similar enough; ``named`` has the
+    names and words of all lines."""
     pairs = materialize(pairs.distinct())
     names = materialize(pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct())
-    wanted = sets.select("name", "tokens").join(checked_broadcast(names, BROADCAST_LONGS), "name", "left_semi")
-    once = materialize(wanted.dropDuplicates(["name"]))
+    wanted = named.join(checked_broadcast(names, BROADCAST_LONGS), "name", "left_semi")
+    once = materialize(
+        wanted.dropDuplicates(["name"]).select("name", _tokens(F.col("words")).alias("tokens"))
+    )
     mine = once.select(F.col("name").alias("a"), F.col("tokens").alias("mine"))
     theirs = once.select(F.col("name").alias("b"), F.col("tokens").alias("theirs"))
     both = pairs.join(mine, "a").join(theirs, "b")
@@ -178,24 +183,30 @@ def line_dedup(
 
     The first of matching lines stays, blank lines stay, and a document keeps its row when all
     its lines go. A null text stays null and has no lines. Rows that repeat an id and its text are
-    treated alike. An empty table gives no rows.
+    treated alike. All other columns stay, whatever their names (but for ``__doc``, ``__of``,
+    ``__row`` and ``__gone``). An empty table gives no rows.
     """
     gone = materialize(repeated_lines(docs, threshold, id_column, text_column))
-    per_doc = gone.groupBy("doc", "row").agg(F.collect_set("line").alias("gone"))
+    per_doc = gone.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__of")).agg(
+        F.collect_set("line").alias("__gone")
+    )
     if gone.count() <= BROADCAST_LONGS:  # then texts stay where they are
         per_doc = F.broadcast(per_doc)
-    marked = docs.drop("n_lines", "n_removed").withColumns(
-        {"__row": F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))}
+    marked = docs.drop("n_lines", "n_removed").withColumn(
+        "__row", F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
     )
-    on = marked[id_column].eqNullSafe(per_doc["doc"]) & (marked["__row"] == per_doc["row"])
-    joined = marked.join(per_doc, on, "left").drop("doc", "row", "__row")
+    on = F.col(id_column).eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__of"))
     pieces = F.split(F.col(text_column), "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("gone"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__gone"))
     kept = F.array_join(F.transform(places, lambda i: F.get(pieces, i)), "\n")
-    return joined.withColumns(
-        {
-            text_column: F.when(F.col("gone").isNull(), F.col(text_column)).otherwise(kept),
-            "n_lines": F.when(F.col(text_column).isNull(), 0).otherwise(F.size(pieces)),
-            "n_removed": F.coalesce(F.size("gone"), F.lit(0)),
-        }
-    ).drop("gone")
+    return (
+        marked.join(per_doc, on, "left")
+        .withColumns(
+            {
+                text_column: F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(kept),
+                "n_lines": F.when(F.col(text_column).isNull(), 0).otherwise(F.size(pieces)),
+                "n_removed": F.coalesce(F.size("__gone"), F.lit(0)),
+            }
+        )
+        .drop("__doc", "__of", "__row", "__gone")
+    )

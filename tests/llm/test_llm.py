@@ -77,6 +77,18 @@ def test_lines(docs):
         assert got[(key, text if text is None else kept, n)] >= 1
 
 
+def test_lines_keep_other_columns(spark):
+    shape = "doc_id long, text string, doc string, row int, gone string, line int, name string, n_lines string"
+    rows = [(i, t, f"d{i}", i, "g", 7, "n", "x") for i, t in enumerate(["a b c\nA  b c", None, "q\na b c", ""])]
+    rows += [rows[2], (None, "q", "d", 0, "g", 7, "n", "x")]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, shape))
+    assert set(out.columns) == {"doc_id", "text", "doc", "row", "gone", "line", "name", "n_lines", "n_removed"}
+    got = sorted((str(r.doc_id), str(r.text), r.doc, r.row, r.gone, r.line, r.name, r.n_removed) for r in out.collect())
+    want = [("0", "a b c"), ("1", "None"), ("2", ""), ("2", ""), ("3", ""), ("None", "q")]
+    assert [g[:2] for g in got if g[0] != "None" and g[0] != "2"] == [w for w in want if w[0] not in ("None", "2")]
+    assert all(g[2:7] == (f"d{g[0]}", int(g[0]), "g", 7, "n") for g in got if g[0] != "None") and len(got) == 6
+
+
 def test_repeats(docs, monkeypatch):
     monkeypatch.setattr(repeats, "BATCH_BYTES", 20_000)
     rows = [(k, (t or "").encode()) for k, t in corpus()]
