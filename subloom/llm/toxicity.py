@@ -17,8 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,6 +211,10 @@ def fit_toxicity(
     """Fit on at most ``fit_rows`` labelled documents outside the held-out fold and at most
     ``fit_terms`` term voters, both bounds whatever the size of the corpus. Without labels of both
     kinds, or without telling terms, the model scores the share of label 1 (at most 0.49)."""
+    # here, so that the workers that score need not load it
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
     sample = labelled_sample(docs, labels, id_column, text_column, label_column, fit_rows)
     seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     ones, zeros = seen.get(1, 0), sum(n for k, n in seen.items() if k != 1)
@@ -253,13 +256,14 @@ def score_toxicity(
     model: ToxicityModel,
     id_column: str = "doc_id",
     text_column: str = "text",
+    score_column: str = "toxicity",
 ) -> DataFrame:
-    """``docs`` with the column ``toxicity`` (0 to 1), which replaces one of that name. Only the
+    """``docs`` with the column ``score_column`` (0 to 1), which replaces one of that name. Only the
     text is an input. Null and empty texts are scored as texts on which no voter fires. Repeated
     rows are scored each; other columns stay as they are. An empty table gives no rows."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:  # one text at a time becomes a Python string
+        return pa.array((model.score(t.as_py()) for t in texts), pa.float64())
 
-    return docs.withColumn("toxicity", score(F.col(text_column)))
+    return docs.withColumn(score_column, score(F.col(text_column)))
