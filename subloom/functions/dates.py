@@ -33,12 +33,20 @@ def compact_to_date(text: Column) -> Column:
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    return F.date_diff(later, earlier)
+    """Whole days from one to the other, rounded down, below zero too: of dates their difference,
+    of times the full days that have passed."""
+    short = _time_of_day(later) < _time_of_day(earlier)
+    return F.date_diff(later, earlier) - short.cast("int")
+
+
+def _time_of_day(x: Column) -> Column:
+    time = x.cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", F.to_date(time).cast("timestamp_ntz"), time)
 
 
 def days_until(day: Column, as_of: dt.date) -> Column:
-    """Days from ``day`` to the fixed date ``as_of``."""
-    return F.date_diff(F.lit(as_of), day)
+    """Days from ``day`` to the fixed date ``as_of``, as ``days_between`` counts them."""
+    return days_between(F.lit(as_of), day)
 
 
 def add_days(day: Column, days: Column) -> Column:

@@ -51,6 +51,20 @@ def feature_matrix(
     keep: Sequence[str] = (),
 ) -> Matrix:
     """Assemble every numeric column (or ``features``) and store the rows by fold."""
+    matrix = unstored_matrix(df, key, label, k, seed, features, exclude, keep)
+    return Matrix(write_through(matrix.rows, "matrix", partition_by=["fold"]), matrix.names)
+
+
+def unstored_matrix(
+    df: DataFrame,
+    key: str,
+    label: str,
+    k: int,
+    seed: int = 0,
+    features: Sequence[str] | None = None,
+    exclude: Sequence[str] = (),
+    keep: Sequence[str] = (),
+) -> Matrix:
     left_out = {key, label, *exclude}
     if features is None:
         features = [c for c, t in df.dtypes if t not in ("string", "date") and c not in left_out]
@@ -61,8 +75,7 @@ def feature_matrix(
         "features",
         fold_of(F.col(key), k, seed).alias("fold"),
     )
-    stored = write_through(rows, "matrix", partition_by=["fold"])
-    return Matrix(stored, tuple(_names(df, features)))
+    return Matrix(rows, tuple(_names(df, features)))
 
 
 def _names(df: DataFrame, features: Sequence[str]) -> list[str]:

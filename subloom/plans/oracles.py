@@ -614,6 +614,16 @@ SELECT user_id AS "USER_ID", slow_mean, fast_mean, (slow_mean + fast_mean) / 2 A
 FROM orders GROUP BY 1, 2, 3
 UNION ALL SELECT 'lookup', CAST(length(brand_up) AS INTEGER), '', count(*), count(*), count(*), 0
 FROM brands GROUP BY length(brand_up)""",
+    "q_csv_rejects": """WITH o AS (
+  SELECT o_orderkey AS k, o_orderkey % 50 AS m,
+    date_trunc('day', o_orderdate) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS a,
+    date_trunc('day', o_orderdate) + to_days(CAST(o_orderkey % 9 AS INTEGER))
+      + to_hours(CAST(o_orderkey * 7 % 24 AS INTEGER)) AS b FROM orders),
+e AS (
+  SELECT CASE m WHEN 1 THEN 'START, DONE' WHEN 2 THEN 'DONE' WHEN 3 THEN 'FEE' WHEN 4 THEN 'malformed'
+    ELSE '' END AS reason, floor((epoch(b) - epoch(a)) / 86400) AS days FROM o)
+SELECT reason, count(*) AS rows,
+  CAST(sum(CASE WHEN reason = '' THEN days END) AS BIGINT) AS days, count(*) AS counted FROM e GROUP BY reason""",
     "q_store_roundtrip": f"""SELECT c_custkey AS "USER_ID",
   CASE WHEN {_split('c_custkey')} = 'train' THEN -1 WHEN c_acctbal >= 4500 THEN 1 ELSE 0 END AS "IS_LOST",
   {_split('c_custkey')} AS split FROM customer""",

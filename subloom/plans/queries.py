@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subloom.functions.dates import compact, days_until, month_start
+from subloom.functions.dates import compact, days_between, days_until, month_start
 from subloom.functions.numeric import age_bin, right_closed_bins, to_class
 from subloom.functions.rowwise import count_present, row_mean
 from subloom.learning.bagging import FoldModels, fit_folds, load_fold_models
@@ -48,7 +48,7 @@ from subloom.plans.churn import amount_specs, assemble_churn, family_features, g
 from subloom.plans.churn import money_specs, payment_specs
 from subloom.plans.replacement import replacement_features
 from subloom.session import work_path, write_through
-from subloom.sources.delimited import allow_charset, read_delimited, read_lookup
+from subloom.sources.delimited import allow_charset, read_checked, read_delimited, read_lookup
 from subloom.sources.store import read_features, write_features, write_result
 from subloom.sources.tables import table
 
@@ -512,6 +512,47 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read.unionByName(known)
 
 
+_TIMED = "KEY LONG, START TIMESTAMP_NTZ, DONE TIMESTAMP_NTZ, FEE INT"
+
+
+def csv_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as text with times of day, some lines spoilt; read back with what could not be read
+    apart: rows by reason, full days from start to end of the good ones, and the reader's own
+    counts."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    start = day + F.make_dt_interval(hours=(key % 24).cast("int"))
+    done = day + F.make_dt_interval(days=(key % 9).cast("int"), hours=(key * 7 % 24).cast("int"))
+    shown = lambda t: F.date_format(t, "yyyyMMddHHmmss")
+    spoilt = key % 50
+    line = F.concat_ws(
+        "|",
+        key.cast("string"),
+        F.when(spoilt == 1, "20181399").otherwise(shown(start)),
+        F.when(spoilt.isin(1, 2), "soon").otherwise(shown(done)),
+        F.when(spoilt == 3, "free").otherwise((key % 7).cast("string")),
+        F.when(spoilt == 4, "more"),
+    )
+    path = work_path(spark, "timed")
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    extract = read_checked(spark, path, _TIMED)
+    days = days_between(F.col("DONE"), F.col("START"))
+    good = extract.rows.agg(
+        F.lit("").alias("reason"),
+        F.count("FEE").alias("rows"),
+        F.sum(days).alias("days"),
+        F.lit(extract.counts["rows"]).cast("long").alias("counted"),
+    )
+    counted = F.when(F.col("reason") == "malformed", extract.counts["malformed"]).when(
+        F.col("reason").contains("START"), extract.counts["START"]
+    ).when(F.col("reason") == "FEE", extract.counts["FEE"]).otherwise(
+        extract.counts["DONE"] - extract.counts["START"]
+    )
+    bad = extract.rejects.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(None).cast("long").alias("days")
+    )
+    return good.unionByName(bad.withColumn("counted", counted.cast("long")))
+
+
 def store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """A feature table partitioned by split and a headerless result, written and read back."""
     base = work_path(spark, "store")
@@ -682,5 +723,6 @@ RELATIONAL: dict[str, Query] = {
     "q_scores_by_fold": scores_by_fold,
     "q_sparse_one_hot": sparse_one_hot,
     "q_csv_roundtrip": csv_roundtrip,
+    "q_csv_rejects": csv_rejects,
     "q_store_roundtrip": store_roundtrip,
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from subloom.functions.numeric import to_class
 from subloom.functions.rowwise import row_mean
 from subloom.learning.bagging import FoldModels, fit_folds
-from subloom.learning.matrix import Matrix, feature_matrix
+from subloom.learning.matrix import Matrix, feature_matrix, unstored_matrix
 from subloom.learning.members import CHURN_MEMBERS, GAP_MEMBERS, Member
 from subloom.operators.correction import DateLimits, with_corrected_date
 from subloom.operators.evaluation import binary_scores, error_scores
@@ -28,10 +28,9 @@ def churn_matrix(features: DataFrame, k: int = CHURN_FOLDS) -> Matrix:
     return feature_matrix(features, "USER_ID", "IS_LOST", k, exclude=["CUST_ID"])
 
 
-def gap_matrix(features: DataFrame, k: int = GAP_FOLDS) -> Matrix:
-    return feature_matrix(
-        features, "USER_ID", "gap_label", k, exclude=NOT_FEATURES, keep=DATE_COLUMNS
-    )
+def gap_matrix(features: DataFrame, k: int = GAP_FOLDS, stored: bool = True) -> Matrix:
+    make = feature_matrix if stored else unstored_matrix
+    return make(features, "USER_ID", "gap_label", k, exclude=NOT_FEATURES, keep=DATE_COLUMNS)
 
 
 def churn_parts(matrix: Matrix) -> tuple[DataFrame, DataFrame]:
@@ -80,10 +79,20 @@ def train_gap(
 ) -> tuple[FoldModels, DataFrame]:
     """Fold models and out-of-fold corrected dates of the whole train part, with their error in
     days where both dates are known."""
+    models = fit_gap(matrix, members, k)
+    return models, held_out_gap(matrix, models, limits)
+
+
+def fit_gap(matrix: Matrix, members: Sequence[Member] = GAP_MEMBERS, k: int = GAP_FOLDS) -> FoldModels:
     train, _ = gap_parts(matrix)
-    models = fit_folds(labelled(train), members, "reg", k)
-    scored = pair_mean(models.out_of_fold(train), members)
-    return models, with_corrected_date(scored, "score", limits)
+    return fit_folds(labelled(train), members, "reg", k)
+
+
+def held_out_gap(matrix: Matrix, models: FoldModels, limits: DateLimits) -> DataFrame:
+    train, _ = gap_parts(matrix)
+    means = [f"pred_{name}" for name in models.models]
+    scored = models.out_of_fold(train).withColumn("score", row_mean(means))
+    return with_corrected_date(scored, "score", limits)
 
 
 def score_gap(matrix: Matrix, models: FoldModels, limits: DateLimits) -> DataFrame:

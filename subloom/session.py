@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +44,45 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Paths given out in this process, for ``own_tables``.
+_GIVEN: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
+
+
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what was stored in the shared folder inside. Results must have been
+    written elsewhere by then."""
+    before = len(_GIVEN)
+    try:
+        yield
+    finally:
+        for path in _GIVEN[before:]:
+            remove(spark, path)
+        del _GIVEN[before:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A file or folder of any file system that Spark reaches; nothing if it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and time of change of the files at a path, hidden ones left out; empty if
+    there are none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    found = [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(place)]
+    return sorted(f for f in found if not f[0].startswith(("_", ".")))
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ QUERIES = {**queries.RELATIONAL, **queries.LEARNING}
 
 
 # Queries with a mean or count over everything: the tasks' partial rows meet in one task.
-ONE_ROW = "q_binary_metrics q_date_error q_history_gaps q_impute_global q_replacement_table".split()
+ONE_ROW = "q_csv_rejects q_binary_metrics q_date_error q_history_gaps q_impute_global q_replacement_table".split()
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from subloom.plans import churn, replacement, training
 from subloom.sources import schemas
-from subloom.sources.delimited import read_delimited, read_extracts, read_lookup, unreadable_dates
+from subloom.sources.delimited import read_checked, read_delimited, read_extracts, read_lookup, with_times
 from subloom.sources.store import read_features, write_diagnostics, write_features, write_result
 
 MONTHS = (201712, 201801, 201802)
@@ -191,6 +191,53 @@ def replacement_features(spark, tmp_path_factory):
     return tables, brands, phones
 
 
+def test_run_goes_on_where_it_stopped(spark, replacement_features, tmp_path, tmp_path_factory, monkeypatch):
+    from dataclasses import replace
+    from pathlib import Path
+
+    from subloom.learning.members import GAP_MEMBERS
+    from subloom.plans.runner import Inputs, run_replacement
+
+    source = tmp_path_factory.mktemp("inputs")
+    paths = replacement_files(source, random.Random(2))
+    with open(paths["test"]["t2"], "a") as f:
+        f.write("too|short\n")
+    (source / "brand.csv").write_text("HIS_FACTORY_DESC1,BRAND_UP\nf1,华为\nf2,Nokia\n")
+    (source / "phone.csv").write_text("HIS_FACTORY_DESC1,HIS_TERM_DESC1,product_time,2Gratio,3Gratio,4Gratio,is_sp\n")
+    inputs = Inputs(paths["train"], paths["test"], str(source / "brand.csv"), str(source / "phone.csv"))
+    few = [replace(m, rounds=2, min_rows=2) for m in GAP_MEMBERS]
+
+    def run(name, k=3):
+        return run_replacement(spark, inputs, f"{tmp_path}/{name}", few, k)
+
+    def lines(name, part):
+        return sorted(x for p in Path(f"{tmp_path}/{name}/{part}").glob("part-*") for x in p.read_text().splitlines())
+
+    whole = run("whole").ran
+    assert whole == [*(f"extract-t{i}" for i in range(1, 5)), "features", "matrix", "models", "held-out", "scores"]
+
+    def killed(*_, **__):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(training, "score_gap", killed)
+        with pytest.raises(RuntimeError):
+            run("halted")
+    with monkeypatch.context() as m:  # nothing before scoring is done again
+        for name in ("fit_gap", "held_out_gap"):
+            m.setattr(training, name, killed)
+        assert run("halted").ran == ["scores"]
+    assert run("halted").ran == []
+    assert lines("halted", "result") == lines("whole", "result") and len(lines("whole", "result")) == 12
+    assert run("halted", k=2).ran == ["matrix", "models", "held-out", "scores"]
+    names = {p.name for p in Path(f"{tmp_path}/whole/diagnostics").iterdir()}
+    assert names == {"rejects", "held-out", "fold-errors", "gains", "splits", "curves"}
+    assert any("too|short" in x and "malformed" in x for x in lines("whole", "diagnostics/rejects"))
+    assert sum(x.startswith("mean,24,") for x in lines("whole", "diagnostics/fold-errors")) == 1
+    run("halted", k=2).drop()
+    assert not Path(f"{tmp_path}/halted/stages").exists() and len(lines("halted", "result")) == 12
+
+
 def test_replacement_features(replacement_features):
     tables, brands, phones = replacement_features
     out = replacement.replacement_features(tables, brands, phones)
@@ -241,4 +288,20 @@ def test_date_layouts(spark, tmp_path):
     path, ddl = str(tmp_path / "d.txt"), "day DATE, n INT"
     days = {r["n"]: str(r["day"]) for r in read_delimited(spark, path, ddl).collect()}
     assert [days[i] for i in range(9)] == ["2018-03-01"] * 6 + ["None"] * 3
-    assert unreadable_dates(spark, path, ddl).first()["day"] == 1
+    extract = read_checked(spark, path, ddl, keep_unreadable=True)
+    assert (extract.counts["day"], extract.counts["rows"], extract.counts["rejects"]) == (1, 9, 0)
+    times = {r["n"]: str(r["day"]) for r in read_checked(spark, path, with_times(ddl)).rows.collect()}
+    assert [times.get(i) for i in range(9)] == ["2018-03-01 00:00:00"] * 3 + ["2018-03-01 12:30:00"] * 3 + [None, "None", "None"]
+
+
+def test_rejects(spark, tmp_path):
+    lines = ["1|20180101|5", "2|20180101", "3|soon|5", "4|20180102|x|y", "5||", "x|y|z"]
+    (tmp_path / "r.txt").write_text("\n".join(lines))
+    extract = read_checked(spark, str(tmp_path / "r.txt"), "a INT, day DATE, b DOUBLE")
+    assert sorted(r["a"] for r in extract.rows.collect()) == [1, 5]
+    got = sorted((r["text"], r["reason"], r["file"].endswith("r.txt")) for r in extract.rejects.collect())
+    assert got == [
+        ("2|20180101", "malformed", True), ("3|soon|5", "day", True),
+        ("4|20180102|x|y", "malformed", True), ("x|y|z", "a, day, b", True),
+    ]
+    assert extract.counts == {"rows": 2, "rejects": 4, "malformed": 2, "a": 1, "day": 2, "b": 1}
