@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, fields
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -61,9 +62,10 @@ class Setup:
     weight_unit: float
     error_unit: float
 
-    @property
-    def n_bins(self) -> int:
-        return max(map(len, self.edges), default=0) + 2
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """The first histogram cell of each feature, and the number of all cells."""
+        return np.cumsum([0, *(len(e) + 2 for e in self.edges)])
 
 
 @dataclass
@@ -155,9 +157,8 @@ def _histograms(
     slots[list(nodes)] = np.arange(len(nodes))
     seen = (block.fold != job.fold) & (block.outer != job.outer)
     rows = np.flatnonzero(seen & _drawn(block.mark, job.member, round_))
-    size, n_bins = block.bins.shape[1], setup.n_bins
-    out = np.zeros((len(nodes), 3, size, n_bins))
-    step = max(1, BLOCK_CELLS // max(size, 1))
+    out = np.zeros((len(nodes), 3, setup.starts[-1]))
+    step = max(1, BLOCK_CELLS // max(block.bins.shape[1], 1))
     for at in range(0, len(rows), step):
         part = rows[at : at + step]
         bins = block.bins[part]
@@ -166,15 +167,15 @@ def _histograms(
         if len(part):
             g, h = _gradient(setup.task, score[part], block.label[part])
             g, h = np.rint(g / setup.gradient_unit), np.rint(h / setup.weight_unit)
-            out += histogram(bins, slot, g, h, len(nodes), n_bins)
+            out += histogram(bins, slot, g, h, len(nodes), setup.starts)
     return out
 
 
 def _answers(sums: np.ndarray, limits: Limits, columns: np.ndarray, setup: Setup) -> list:
     """Best split and sums of each node from its histogram."""
-    real = sums * np.array([setup.gradient_unit, setup.weight_unit, 1.0])[:, None, None]
-    totals = map(tuple, real[:, :, 0].sum(axis=2).tolist())
-    return list(zip(best_splits(real, limits, columns), totals))
+    real = sums * np.array([setup.gradient_unit, setup.weight_unit, 1.0])[:, None]
+    totals = map(tuple, real[:, :, : setup.starts[1]].sum(axis=2).tolist())
+    return list(zip(best_splits(real, limits, columns, setup.starts), totals))
 
 
 def _node_groups(nodes: Sequence[int], cells: int) -> Iterator[Sequence[int]]:
@@ -199,7 +200,7 @@ def _advance(block: Block, score: np.ndarray, job: Job, first: int, rounds: int,
         tree, nodes = next(growing)
         while True:
             answers = {}
-            for group in _node_groups(nodes, 3 * size * setup.n_bins):
+            for group in _node_groups(nodes, 3 * setup.starts[-1]):
                 sums = _histograms(block, score, job, round_, tree, group, setup)
                 answers |= dict(zip(group, _answers(sums, limits, columns, setup)))
             try:
@@ -357,7 +358,7 @@ def _run_local(blocks: RDD, jobs: Sequence[Job], setup: Setup, held_out: list[in
 
 def _run_spread(blocks: RDD, jobs: Sequence[Job], setup: Setup, held_out: list[int]):
     """Histograms of all models are added up over the cluster, one request of all trees a time."""
-    sc, size = blocks.context, len(setup.edges)
+    sc = blocks.context
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     parts = max(1, blocks.getNumPartitions())
     bases = np.array(setup.bases)
@@ -372,7 +373,7 @@ def _run_spread(blocks: RDD, jobs: Sequence[Job], setup: Setup, held_out: list[i
         round_ = {i: len(trees[i]) for i in live}
         while asked:
             answers: dict[int, dict] = {i: {} for i in asked}
-            for group in _requests(asked, 3 * size * setup.n_bins):
+            for group in _requests(asked, 3 * setup.starts[-1]):
                 found = _ask(blocks, scores, sc.broadcast(group), round_, settings, parts)
                 for (i, node), answer in found.collect():
                     answers[i][node] = answer

@@ -42,59 +42,70 @@ class Split:
 
 
 def histogram(
-    bins: np.ndarray, slots: np.ndarray, g: np.ndarray, h: np.ndarray, n_slots: int, n_bins: int
+    bins: np.ndarray, slots: np.ndarray, g: np.ndarray, h: np.ndarray, n_slots: int, starts: np.ndarray
 ) -> np.ndarray:
-    """Sums of gradient, curvature and rows by slot, feature and bin: (slots, 3, features,
-    bins). ``slots`` names the slot of each row."""
-    n, size = bins.shape
-    cells = size * n_bins
-    at = bins + (np.arange(size) * n_bins + slots[:, None] * cells)
-    at = at.ravel()
-    out = np.empty((n_slots, 3, size, n_bins))
+    """Sums of gradient, curvature and rows by slot and cell: (slots, 3, cells). ``slots`` names
+    the slot of each row; the bins of feature j are the cells from ``starts[j]`` on."""
+    cells, size = starts[-1], bins.shape[1]
+    at = (bins + (starts[:-1] + slots[:, None] * cells)).ravel()
+    out = np.empty((n_slots, 3, cells))
     for k, w in enumerate((g, h, None)):
         weights = None if w is None else np.repeat(w, size)
-        out[:, k] = np.bincount(at, weights, n_slots * cells).reshape(n_slots, size, n_bins)
+        out[:, k] = np.bincount(at, weights, n_slots * cells).reshape(n_slots, cells)
     return out
 
 
-def best_splits(hists: np.ndarray, limits: Limits, columns: np.ndarray) -> list[Split | None]:
-    """For each histogram (3, features, bins) the split of largest gain over the allowed features,
-    edges and both directions for missing values; the first of equal ones. None if none gains."""
-    hists = hists[:, :, columns]
-    total = hists[:, :, 0].sum(axis=2)
-    left, n = np.cumsum(hists[..., 1:], axis=3), len(columns)
-    holes = np.flatnonzero(hists[:, 2, :, 0].any(axis=0))
+def best_splits(
+    hists: np.ndarray, limits: Limits, columns: np.ndarray, starts: np.ndarray
+) -> list[Split | None]:
+    """For each histogram (3, cells) the split of largest gain over the allowed features, edges
+    and both directions for missing values; the first of equal ones. None if none gains."""
+    feature = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    first = starts[:-1]
+    usable = np.isin(feature, columns)
+    usable[first] = False  # the cells of missing values
+    cells = np.flatnonzero(usable)
+    if not len(cells):
+        return [None] * len(hists)
+    missing = hists[:, :, first]
+    present = hists.copy()
+    present[:, :, first] = 0
+    upto = np.cumsum(present, axis=2)
+    left = (upto - upto[:, :, first][:, :, feature])[:, :, cells]
+    holes = cells[(missing[:, 2] > 0).any(axis=0)[feature[cells]]]
     if len(holes):  # once more, with missing values on the left
-        left = np.concatenate([left, left[:, :, holes] + hists[:, :, holes, :1]], axis=2)
-    right = total[:, :, None, None] - left
+        again = left[:, :, np.searchsorted(cells, holes)] + missing[:, :, feature[holes]]
+        left = np.concatenate([left, again], axis=2)
+    total = hists[:, :, : starts[1]].sum(axis=2)
+    right = total[:, :, None] - left
     with np.errstate(divide="ignore", invalid="ignore"):
         score = _value(total[:, 0], total[:, 1], limits)
         gain = _value(left[:, 0], left[:, 1], limits)
         gain += _value(right[:, 0], right[:, 1], limits)
     for side in (left, right):
         gain[(side[:, 2] < limits.min_rows) | (side[:, 1] < limits.min_weight)] = -np.inf
-    gain = gain.reshape(len(hists), -1)
     found: list[Split | None] = []
-    for k, at in enumerate(gain.argmax(axis=1) if gain.size else ()):
+    for k, at in enumerate(gain.argmax(axis=1)):
         more = gain[k, at] - score[k]
         if not more > 1e-12 * abs(score[k]):
             found.append(None)
             continue
-        column, place = np.unravel_index(at, left.shape[2:])
-        parts = [tuple(p[k, :, column, place].tolist()) for p in (left, right)]
-        feature, missing_left = column, False
-        if column >= n:
-            feature, missing_left = holes[column - n], True
-        elif hists[k, 2, feature, 0] == 0:  # none missing here: later ones follow the larger part
-            missing_left = parts[0][2] >= parts[1][2]
-        found.append(
-            Split(float(more), int(columns[feature]), int(place) + 1, bool(missing_left), *parts)
-        )
-    return found or [None] * len(hists)
-
-
-def best_split(hist: np.ndarray, limits: Limits, columns: np.ndarray) -> Split | None:
-    return best_splits(hist[None], limits, columns)[0]
+        cell = cells[at] if at < len(cells) else holes[at - len(cells)]
+        j, missing_left = feature[cell], bool(at >= len(cells))
+        # added up anew, cell by cell of one feature, so that the sums are exact
+        sums = hists[k, :, first[j] + 1 : cell + 1].sum(axis=1) + missing_left * missing[k, :, j]
+        rest = total[k] - sums
+        if missing[k, 2, j] == 0:  # none missing here: later ones follow the larger part
+            missing_left = bool(sums[2] >= rest[2])
+        parts = tuple(sums.tolist()), tuple(rest.tolist())
+        found.append(Split(float(more), int(j), int(cell - first[j]), missing_left, *parts))
+    return found
+
+
+def best_split(
+    hist: np.ndarray, limits: Limits, columns: np.ndarray, starts: np.ndarray
+) -> Split | None:
+    return best_splits(hist[None], limits, columns, starts)[0]
 
 
 def _value(g, h, limits: Limits):

@@ -54,7 +54,7 @@ from subloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Outer and inner folds of the nested query; a production run has 8 and 5.
-NESTED = (3, 2)
+NESTED = (2, 2)
 
 
 def _features(family) -> DataFrame:

@@ -11,6 +11,7 @@ from subloom.learning.members import Member, best_round
 from subloom.learning.trees import Limits, best_split, grow, histogram
 
 LIMITS = Limits(leaves=8, depth=0, min_rows=3, min_weight=1e-3, penalty=1.0)
+STARTS = np.arange(5) * 13
 
 
 def table(n=300, seed=0, size=4):
@@ -49,17 +50,17 @@ def test_split_gain_equals_a_search_over_all(seed):
     x, y = table(80, seed)
     bins = to_bins(x, [np.arange(0.5, 11)] * 4)
     g, h = np.round(y.mean() - y, 3), np.random.default_rng(seed).uniform(0.1, 1, len(y))
-    hist = histogram(bins, np.zeros(len(y), int), g, h, 1, 13)[0]
+    hist = histogram(bins, np.zeros(len(y), int), g, h, 1, STARTS)[0]
     columns = np.array([0, 1, 3]) if seed % 2 else np.arange(4)
-    assert best_split(hist, LIMITS, columns).gain == pytest.approx(brute(bins, g, h, LIMITS, columns))
+    assert best_split(hist, LIMITS, columns, STARTS).gain == pytest.approx(brute(bins, g, h, LIMITS, columns))
 
 
 def one_by_one(bins, g, h, limits):
     """The leaf of largest gain is split, one request at a time."""
 
     def split(rows):
-        hist = histogram(bins[rows], np.zeros(len(rows), int), g[rows], h[rows], 1, 13)[0]
-        return best_split(hist, limits, np.arange(bins.shape[1])) if len(rows) >= 2 * limits.min_rows else None
+        hist = histogram(bins[rows], np.zeros(len(rows), int), g[rows], h[rows], 1, STARTS)[0]
+        return best_split(hist, limits, np.arange(bins.shape[1]), STARTS) if len(rows) >= 2 * limits.min_rows else None
 
     leaves = [(np.arange(len(g)), 0)]
     known = [split(leaves[0][0])]
@@ -91,8 +92,8 @@ def test_growth_equals_one_split_at_a_time(leaves, depth):
             answers = {}
             for node in nodes:
                 rows = np.flatnonzero(at == node)
-                hist = histogram(bins[rows], np.zeros(len(rows), int), g[rows], h[rows], 1, 13)[0]
-                answers[node] = best_split(hist, limits, np.arange(4)), tuple(hist[:, 0].sum(axis=1))
+                hist = histogram(bins[rows], np.zeros(len(rows), int), g[rows], h[rows], 1, STARTS)[0]
+                answers[node] = best_split(hist, limits, np.arange(4), STARTS), tuple(hist[:, :13].sum(axis=1))
             tree, nodes = growing.send(answers)
     tree, _ = end.value.value
     at = tree.leaf_of(bins, binned=True)
