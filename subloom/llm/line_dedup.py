@@ -163,9 +163,8 @@ def _verified(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     pairs = materialize(pairs.distinct())
     names = materialize(pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct())
     wanted = named.join(checked_broadcast(names, BROADCAST_LONGS), "name", "left_semi")
-    once = materialize(
-        wanted.dropDuplicates(["name"]).select("name", _tokens(F.col("words")).alias("tokens"))
-    )
+    made = wanted.select("name", _tokens(F.col("words")).alias("tokens"))
+    once = materialize(made.dropDuplicates(["name"]))
     mine = once.select(F.col("name").alias("a"), F.col("tokens").alias("mine"))
     theirs = once.select(F.col("name").alias("b"), F.col("tokens").alias("theirs"))
     both = pairs.join(mine, "a").join(theirs, "b")
