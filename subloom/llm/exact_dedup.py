@@ -23,6 +23,9 @@ from subloom.session import materialize, write_through
 LEAST, MOST, CUT_BITS = 2_048, 32_768, 12
 # A task forgets the chunks it has sent beyond so many bytes.
 SENT_BYTES = 32_000_000
+# A group is joined apart beyond so many rows, and beyond this share of all rows; so there are at
+# most ``SHARE`` such groups.
+COPIES, SHARE = 1_000, 100_000
 GEAR = np.random.default_rng(17).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -119,7 +122,7 @@ def exact_dedup(
     same = found.groupBy("recipe", "n_bytes").agg(
         F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
-    out = found.join(same, ["recipe", "n_bytes"])
+    out = _with_group(found, same, ["recipe", "n_bytes"])
     return out.select(
         F.col("id").alias(id_column),
         "keep_id",
@@ -130,6 +133,17 @@ def exact_dedup(
     )
 
 
+def _with_group(found: DataFrame, same: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its group's columns. Rows of very large groups are not gathered: their groups,
+    at most ``SHARE`` of them, go to the rows."""
+    least = max(COPIES, found.count() // SHARE)
+    large = materialize(same.filter(F.col("group_size") > least))
+    if large.isEmpty():
+        return found.join(same, keys)
+    others = found.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return others.join(same, keys).unionByName(found.join(F.broadcast(large), keys))
+
+
 def _refined(rows, distinct, shared, found, digest) -> DataFrame:
     """Recipes in which a digest that stands for several contents carries its content's number.
     Taken only when there is such a digest; then each different text is chunked once more."""
