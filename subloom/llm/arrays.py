@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 BYTE = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
 POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -50,3 +52,12 @@ def pack_sorted(values: np.ndarray) -> bytes:
 def unpack_sorted(data: bytes) -> np.ndarray:
     kind = data[:3].decode()
     return np.cumsum(np.frombuffer(data[3:], kind).astype(np.uint64), dtype=np.uint64)
+
+
+def release() -> None:
+    """Give freed memory back to the system. Python workers live on from stage to stage, and what
+    an earlier one needed would count against the executor for good."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -11,7 +11,8 @@ from subloom.session import materialize
 
 def conversations(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, opening, turns): each conversation's (role, text) in order of turn, then
-    role and text. Turns without a conv_id belong to none; null roles and texts are empty."""
+    role and text. Turns without a conv_id belong to none; null roles and texts are empty. Repeated
+    turns are all kept."""
     clean = turns.filter("conv_id IS NOT NULL").select(
         "conv_id",
         F.struct(

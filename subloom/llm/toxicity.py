@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subloom.llm.arrays import release
 from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize
 
@@ -156,7 +157,11 @@ def telling_terms(sample: DataFrame, most: int) -> list[str]:
                 for text, label in zip(batch["text"], batch["label"])
                 for term, (before, after) in terms_of(text).items()
             }
-            yield pd.DataFrame(seen, columns=["term", "toxic", "before", "after"])
+            out = pd.DataFrame(seen, columns=["term", "toxic", "before", "after"])
+            del seen
+            yield out
+            del out
+            release()
 
     texts = sample.select((F.col("label") == 1).alias("toxic"), F.xxhash64("text").alias("t")).distinct()
     found = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
@@ -264,6 +269,7 @@ def score_toxicity(
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:  # one text at a time becomes a Python string
+        release()
         return pa.array((model.score(t.as_py()) for t in texts), pa.float64())
 
     return docs.withColumn(score_column, score(F.col(text_column)))

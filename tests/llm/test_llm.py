@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -109,16 +110,22 @@ def test_tokens_and_packing(docs):
     want = {k: library.encode(t or "", add_special_tokens=False).ids for k, t in corpus()}
     for r in token_counts.token_counts(docs, VOCABULARY).collect():
         assert r.n_tokens == len(want[r.doc_id])
+        assert r.n_bytes in {len((t or "").encode()) for k, t in corpus() if k == r.doc_id}
     pieces = packing.pack_documents(docs, VOCABULARY, 64, with_ids=True).collect()
     by_doc, by_bin = collections.defaultdict(dict), collections.defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id][p.piece] = list(p.ids)
+        assert (p.start, p.length) == (64 * p.piece, len(p.ids))
+        assert p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in p.ids))
         by_bin[p.sequence_id].append((p.offset, p.length))
     assert {k: sum((v[i] for i in sorted(v)), []) for k, v in by_doc.items()} == {k: v + [0] for k, v in want.items()}
     for parts in by_bin.values():
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
         assert sum(n for _, n in parts) <= 64
+    # at most one sequence more than no packing can do without
+    lengths = [n for parts in by_bin.values() for _, n in parts]
+    assert len(by_bin) <= max(-(-sum(lengths) // 64), sum(n > 32 for n in lengths)) + 1
 
 
 def test_special_pieces():
@@ -131,8 +138,9 @@ def test_special_pieces():
         assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == want
 
 
-@pytest.mark.parametrize("digest_bytes", [16, 1])
-def test_exact(docs, digest_bytes):
+@pytest.mark.parametrize("digest_bytes, copies", [(16, 1_000), (1, 1_000), (16, 1)])
+def test_exact(docs, monkeypatch, digest_bytes, copies):
+    monkeypatch.setattr(exact_dedup, "COPIES", copies)
     groups = collections.defaultdict(list)
     for key, text in corpus():
         groups[(text or "").encode().lower()].append(key)
@@ -150,6 +158,9 @@ def test_lm(docs, monkeypatch):
         words = next(ws for k, ws in rows if k == r.doc_id and len(ws) == r.n_tokens)
         assert (r.held_out, r.train_tokens) == (held(r.doc_id), sum(count.values()))
         assert r.n_known == sum(count[w] > 0 for w in words) and r.score < 0
+        total, kinds = sum(count.values()), len(count)
+        base = sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in words)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
 
 
 def test_benchmark(spark, docs):
@@ -228,6 +239,43 @@ def test_frequent_toxic_term(spark, share):
     assert [t[:4] for t in model.terms] == ["vlor"]
 
 
+BENCH = [(1, "a b c d e f g h"), (2, ""), (None, "x")]
+
+
+def scored_by_terms(docs):
+    model = toxicity.ToxicityModel({"vlorp": 0}, (3.0,), -2.0)
+    return toxicity.score_toxicity(docs, model)
+
+
+def with_items(docs):
+    items = docs.sparkSession.createDataFrame(BENCH, "item_id long, text string")
+    return decontamination.contaminated(docs, items)
+
+
+def test_toxicity_keeps_rows_and_columns(docs, with_null_id):
+    out = scored_by_terms(with_null_id.withColumn("toxicity", F.lit("old"))).collect()
+    assert len(out) == with_null_id.count() and sum(r.doc_id is None for r in out) == 1
+    assert all(0 <= r.toxicity <= 1 and (r.line, r.token) in (("l", "t"), ("", "")) for r in out)
+    assert scored_by_terms(docs.limit(0)).count() == 0
+
+
+def test_benchmark_with_repeated_and_null_rows(spark):
+    text = "A b c d e f g h"
+    rows = [(1, text), (1, text), (None, text), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(7))
+    assert [(r.doc_id, r.item_id) for r in with_items(docs).collect()] == [(1, 1)]
+    assert with_items(docs.limit(0)).count() == 0
+
+
+def test_preference_of_repeated_and_no_turns(spark):
+    shape = "conv_id long, turn long, role string, text string, pair string"
+    turns = [(1, 0, "user", "hi", "p"), (1, 0, "user", "hi", "p"), (1, 1, "assistant", "yes", "p")]
+    convs = preference.conversations(spark.createDataFrame(turns, shape))
+    out = preference.preference_format(convs, preference.paired_by_opening(convs)).collect()
+    assert len(out) == 1 and out[0].prompt.count("hi") == 2 and out[0].chosen.count("yes") == 1
+    none = preference.conversations(spark.createDataFrame([], shape))
+    assert preference.preference_format(none, preference.paired_by_opening(none)).count() == 0
+
 
 OPERATORS = (
     jaccard_join.near_duplicates,
