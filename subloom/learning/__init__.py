@@ -1 +1 @@
-"""Boosted trees with folds, bagging and stacking, trained by MLlib on the cluster."""
+"""Boosted trees with folds, bagging and stacking, trained on the cluster."""
