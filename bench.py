@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR names the tables (default sf0.1), BENCH_CPUS the local cores (default 8),
 BENCH_QUERIES optionally the queries, separated by commas. Learning queries run over the tables in
-BENCH_LEARNING_DIR (default sf0.001; empty: not at all) and have a total of their own.
+BENCH_LEARNING_DIR (not at all if that is not set) and are listed apart.
 """
 
 from __future__ import annotations
@@ -16,6 +16,11 @@ from subloom.plans.queries import LEARNING, RELATIONAL
 from subloom.session import build_session
 
 
+# Python workers import the package, wherever this is started from.
+ROOT = os.path.dirname(os.path.abspath(__file__))
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -46,7 +51,7 @@ def main() -> None:
         return seconds
 
     seconds = timed([n for n in names if n in RELATIONAL], folder)
-    small = os.environ.get("BENCH_LEARNING_DIR", "/root/testdata/sf0.001")
+    small = os.environ.get("BENCH_LEARNING_DIR")
     learning = timed([n for n in names if n in LEARNING], small) if small else {}
     print(
         json.dumps(
