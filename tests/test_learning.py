@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from subloom.learning.bagging import fit_folds, load_fold_models, node_table
@@ -134,6 +135,15 @@ def test_stacking(request, task, tmp_path):
     assert sorted(again) == sorted(model.predict(test).select(columns).collect())
 
 
+def test_stacked_scores_in_a_session_with_observed_frames(spark, clf):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    train, test = split_by_label(clf.rows, "label")
+    model, _ = fit_stacked(train, [replace(m, rounds=2) for m in MEMBERS], "clf", k=4)
+    assert model.predict(test).filter("stacked between 0 and 1").count() == 80
+
+
 def test_nested_stacking(spark, reg, tmp_path):
     rows = training.labelled(reg.rows).withColumn("fold", F.col("fold") % 3)
     model, out = fit_nested(rows, "id", MEMBERS, "reg", outer=3, inner=2)
