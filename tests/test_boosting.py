@@ -3,8 +3,9 @@ import itertools
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
-from subloom.learning import binning, boosting
+from subloom.learning import binning, boosting, trees
 from subloom.learning.binning import bin_edges, edges_of, to_bins
 from subloom.learning.boosting import Job, fit_boosters
 from subloom.learning.members import Member, best_round
@@ -133,6 +134,62 @@ def test_trees_do_not_depend_on_partitions(spark, monkeypatch, task):
         assert loss.mean() < (y.var() if task == "reg" else 0.69)
 
 
+@pytest.mark.parametrize("few, pair", [(10**9, 0), (0, 0), (0, 10**9)])
+def test_histogram_equals_plain_sums(monkeypatch, few, pair):
+    """Of all features at once, of two and of one in a pass; also for an odd number of features."""
+    monkeypatch.setattr(trees, "FEW_ROWS", few)
+    monkeypatch.setattr(trees, "PAIR_ROWS", pair)
+    r = np.random.default_rng(4)
+    widths = [4, 9, 1, 6, 2]
+    starts = np.cumsum([0, *widths])
+    bins = np.stack([r.integers(0, w, 500) for w in widths], axis=1).astype(np.uint8)
+    slots, g = r.integers(0, 3, 500), r.integers(-(2**40), 2**40, 500).astype(float)
+    for h in (r.integers(0, 2**40, 500).astype(float), np.full(500, 8.0)):
+        out = histogram(bins, slots, g, h, 3, starts)
+        for s, j in itertools.product(range(3), range(5)):
+            for b in range(widths[j]):
+                mine = (slots == s) & (bins[:, j] == b)
+                assert out[s, :, starts[j] + b].tolist() == [g[mine].sum(), h[mine].sum(), mine.sum()]
+
+
+@pytest.mark.parametrize("task", ["reg", "clf"])
+def test_only_one_of_two_children_is_added_up(monkeypatch, task):
+    """A level costs at most half of the rows, and the trees are those of adding up all nodes."""
+    x, y = table(4_000, 6, size=5)
+    y = (y > np.median(y)).astype(float) if task == "clf" else y
+    edges = [np.arange(0.5, 11)] * 5
+    folds, marks = np.arange(4_000) % 4, np.arange(4_000).astype(np.uint64)
+    block = boosting.Block(to_bins(x, edges), y, folds, np.full(4_000, -2), marks)
+    setup = boosting.Setup(task, edges, [0.0], 2.0**-30, 2.0**-30, 2.0**-20)
+    added, plain = [], boosting.histogram
+    monkeypatch.setattr(boosting, "histogram", lambda *a: added.append(len(a[0])) or plain(*a))
+    member = Member("m", step=0.3, depth=5)
+    args = block, np.zeros(4_000), Job(member, 0), 0, 3, setup
+    score, grown, errors = boosting._advance(*args)
+    assert sum(added) <= 3 * 3_000 * (1 + 4 / 2)
+    monkeypatch.setattr(boosting, "KEPT_CELLS", 0)
+    again = boosting._advance(*args)
+    assert score.tolist() == again[0].tolist() and errors == again[2]
+    assert [vars(t) for t in grown] == [vars(t) for t in again[1]]
+
+
+def test_spread_models_hold_a_bounded_record_at_a_time(spark, monkeypatch):
+    x, y = table(240, 8)
+    members = [Member("a", step=0.3, leaves=6, rounds=2), Member("b", step=0.3, depth=2, rounds=2)]
+    jobs = [Job(m, i) for m in members for i in range(2)]
+    local = fit_boosters(frame(spark, x, y), jobs, "reg")
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(boosting, "RECORD_CELLS", 200)
+    rows = frame(spark, x, y, parts=12).withColumn("outer", F.lit(-2))
+    sizes = boosting._blocks(rows, bin_edges(rows, 4), 2).map(lambda b: b.bins.size).collect()
+    assert sum(sizes) == x.size and max(sizes) <= 200
+    cells = 3 * int(sum(len(e) + 2 for e in bin_edges(rows, 4)))
+    for most in (0, 6 * cells, 16_000_000):  # none kept, one model at a time, all together
+        monkeypatch.setattr(boosting, "KEPT_CELLS", most)
+        spread = fit_boosters(frame(spark, x, y, parts=5), jobs, "reg")
+        assert all(same(a, b) for a, b in zip(local, spread))
+
+
 def test_boosting_is_resumed(spark):
     """The first trees of a long run are those of a short one, and rounds go on until patience."""
     x, y = table(200, 5)
