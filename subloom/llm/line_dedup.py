@@ -1,11 +1,13 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line's tokens are its word shingles, ordered by rarity: by the count of their cell in a table
-of counters over all lines, then by hash. Two lines with Jaccard similarity of at least
-``threshold`` share a token among the first ``floor((1 - threshold) * n) + 1`` of each, their
-lengths differ by no more than the threshold, and the shared token stands where enough tokens
-remain. Lines of the same words count as their first. Each meets the first line of every token
-it has in its prefix; only one that matches none of them meets the others before it.
+A line's tokens are its word shingles, ordered by hash with the most frequent ones last: those of
+cells that are used often in a table of counters over the first tokens of all lines. Two lines with
+Jaccard similarity of at least ``threshold`` share a token among the first
+``floor((1 - threshold) * n) + 1`` of each, their lengths differ by no more than the threshold, the
+shared token stands where enough tokens remain, and sketches of 128 bits differ in no more bits than
+the sets may in tokens. Only pairs that pass all of this are verified. Equal lines count as their
+first. Each meets the first line of every token it has in its prefix; only one that matches none of
+them meets the others before it.
 
 All of it is DataFrame operations.
 """
@@ -13,6 +15,7 @@ All of it is DataFrame operations.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +24,8 @@ from subloom.llm.words import SHINGLE, let, word_list
 from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize, write_through
 
-# Counters that order tokens by rarity; bits of a token's hash beside its rarity.
-CELLS, BITS = 1 << 16, 58
+# Counters of tokens; a cell is frequent from 16 times their mean on, and from twice this number.
+CELLS, FEW = 1 << 16, 512
 # Up to so many tokens or names are broadcast: one long each, some 64 MB.
 BROADCAST_LONGS = 2_000_000
 LINE = ["doc", "row", "line"]
@@ -30,11 +33,13 @@ WORD = r"[^\x20\x09-\x0D]"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc, row, line, text): ``row`` tells rows of one id apart by their text."""
+    """Rows (doc, row, line, name, text) of lines with words: ``row`` tells rows of one id apart by
+    their text, ``name`` is a hash of the line as it stands, which costs no words."""
     text = F.coalesce("text", F.lit(""))
     # The hash is made before the lines are listed, once for a document.
     parts = docs.select("doc", F.xxhash64(text).alias("row"), F.split(text, "\n").alias("parts"))
-    return parts.select("doc", "row", F.posexplode_outer("parts").alias("line", "text"))
+    lines = parts.select("doc", "row", F.posexplode_outer("parts").alias("line", "text"))
+    return lines.filter(F.col("text").rlike(WORD)).withColumn("name", F.xxhash64("text"))
 
 
 def _tokens(words: Column) -> Column:
@@ -53,26 +58,81 @@ def _cell(token: Column) -> Column:
     return F.pmod(token, F.lit(CELLS)).cast("int")
 
 
-def _rarity(sets: DataFrame) -> Column:
-    """For each cell how often its tokens are used, in octaves above the mean: a constant of fixed
-    size."""
-    cells = sets.select(F.explode("tokens").alias("token")).groupBy(_cell(F.col("token")).alias("cell"))
-    counts = {r["cell"]: r["n"] for r in cells.agg(F.count(F.lit(1)).alias("n")).collect()}
-    mean = max(1.0, sum(counts.values()) / CELLS)
-    octaves = (min(31, max(0, math.floor(math.log2(counts.get(c, 1) / mean)))) for c in range(CELLS))
-    return F.split(F.lit(",".join(map(str, octaves))), ",").cast("array<bigint>")
+def _with_tokens(lines: DataFrame) -> DataFrame:
+    """Lines with their tokens in the order of their hashes, in place of the text."""
+    tokens = F.sort_array(_tokens(word_list(F.col("text"))))
+    return lines.select(*LINE, "name", tokens.alias("tokens"))
 
 
-def _prefix(tokens: Column, rarity: Column, percent: int) -> Column:
-    """The rarest tokens of a line, rarest first."""
+def _only(lines: DataFrame, names: DataFrame) -> DataFrame:
+    return lines.join(checked_broadcast(names, BROADCAST_LONGS), "name", "left_semi")
 
-    def rank(token: Column) -> Column:
-        octave = F.coalesce(F.get(rarity, _cell(token)), F.lit(0))
-        low = F.coalesce(token, F.lit(0)).bitwiseAND(F.lit((1 << BITS) - 1))
-        return F.shiftleft(octave, BITS).bitwiseOR(low)
 
-    size = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
-    return F.slice(F.sort_array(F.transform(tokens, rank)), F.lit(1), size)
+def _counts(sets: DataFrame, column: str) -> dict[int, int]:
+    """How often the tokens of each cell are used: a table of fixed size."""
+    # For a plain explode Spark would filter the arrays first, and make them once more for that.
+    cells = sets.select(F.explode_outer(column).alias("token")).groupBy(_cell(F.col("token")).alias("cell"))
+    return {r["cell"]: r["n"] for r in cells.agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _octaves(counts: dict[int, int], level: float) -> Callable[[Column], Column] | None:
+    """How often a token's cell is used, in octaves above the level, from a constant of fixed size;
+    None if no cell is frequent."""
+    each = [min(31, max(0, math.floor(math.log2(counts.get(c, 1) / level)))) for c in range(CELLS)]
+    table = F.split(F.lit(",".join(map(str, each))), ",").cast("array<int>")
+    return (lambda token: F.coalesce(F.get(table, _cell(token)), F.lit(0))) if any(each) else None
+
+
+def _sketch(half: int) -> Column:
+    """One half of 128 bits, each the parity of the number of tokens that fall on it."""
+
+    def flipped(bits: Column, token: Column) -> Column:
+        side = F.shiftrightunsigned(token, 6).bitwiseAND(F.lit(1))
+        one = side if half else F.lit(1) - side
+        return bits.bitwiseXOR(F.call_function("shiftleft", one, token.bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate("tokens", F.lit(0).cast("long"), flipped)
+
+
+def _prefixed(sets: DataFrame, percent: int, octave: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Lines with the number of their tokens, their sketch and the first tokens in place of all."""
+    tokens = F.col("tokens")
+    if octave:
+        ranked = F.sort_array(F.transform(tokens, lambda t: F.struct(octave(t).alias("o"), t.alias("t"))))
+        tokens = F.transform(ranked, lambda x: x["t"])
+    size = F.expr(f"size(tokens) - (size(tokens) * {percent} + 99) div 100 + 1").cast("int")
+    return sets.select(
+        *LINE,
+        "name",
+        F.size("tokens").alias("n"),
+        _sketch(0).alias("left"),
+        _sketch(1).alias("right"),
+        F.slice(tokens, F.lit(1), size).alias("prefix"),
+    )
+
+
+def _sets(lines: DataFrame, percent: int) -> DataFrame:
+    """Stored prefixes of all lines. Only those lines are made again, with frequent tokens last, that
+    have one in their prefix; the order of all others' first tokens is the same."""
+    by_hash = write_through(_prefixed(_with_tokens(lines), percent), "lines")
+    counts = _counts(by_hash, "prefix")
+    level = max(FEW, 8 * sum(counts.values()) / CELLS)
+    octave = _octaves(counts, level)
+    if octave is None:
+        return by_hash
+    # What else is frequent in these lines would come first in their next prefixes.
+    more = _counts(_with_tokens(_only(lines, _names(by_hash, octave))), "tokens")
+    octave = _octaves({c: max(counts.get(c, 1), more.get(c, 1)) for c in range(CELLS)}, level)
+    again = _prefixed(_with_tokens(_only(lines, _names(by_hash, octave))), percent, octave)
+    return by_hash.filter(~_frequent(octave)).unionByName(write_through(again, "lines"))
+
+
+def _frequent(octave: Callable[[Column], Column]) -> Column:
+    return F.exists("prefix", lambda token: octave(token) > 0)
+
+
+def _names(by_hash: DataFrame, octave: Callable[[Column], Column]) -> DataFrame:
+    return materialize(by_hash.filter(_frequent(octave)).select("name").distinct())
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -80,7 +140,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     both = prefixes.groupBy("token").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
     tokens = materialize(both.filter("lo <> hi").select("token"))
     met = prefixes.join(checked_broadcast(tokens, BROADCAST_LONGS), "token", "left_semi")
-    return met.groupBy("token", "name").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    return met.groupBy("token", "name").agg(*[F.min(c).alias(c) for c in ("n", "pos", "left", "right")])
 
 
 def _matches(one: Column, other: Column, percent: int) -> Column:
@@ -89,12 +149,15 @@ def _matches(one: Column, other: Column, percent: int) -> Column:
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length filter and positional filter of a shared token at places ``pos`` (from 0)."""
+    """Length filter and positional filter of a shared token at places ``pos`` (from 0); and each bit
+    in which the sketches differ stands for a token that is in one set alone."""
     na, nb, pa, pb = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
     most = F.least(na - pa, nb - pb)
+    bits = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("left", "right"))
     return (
         (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
         & (most * (100 + percent) >= (na + nb) * percent)
+        & (bits * (100 + percent) <= (na + nb) * (100 - percent))
     )
 
 
@@ -110,17 +173,10 @@ def repeated_lines(
     words match nothing."""
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
     percent = round(threshold * 100)
-    full = _lines(rows).filter(F.col("text").rlike(WORD))
-    words = word_list(F.col("text"))
-    tokens = full.select(*LINE, words.alias("words")).select(
-        *LINE, F.xxhash64("words").alias("name"), _tokens(F.col("words")).alias("tokens")
-    )
+    full = _lines(rows)
     # Only prefixes are stored; the tokens of a line that is to be verified are made again.
-    sized = tokens.select(*LINE, "name", F.size("tokens").alias("n"), "tokens")
-    prefix = _prefix(F.col("tokens"), _rarity(tokens), percent)
-    sets = write_through(sized.select(*LINE, "name", "n", prefix.alias("prefix")), "lines")
-    named = full.select(F.xxhash64(words).alias("name"), words.alias("words"))
-    # Lines of the same words: all but the first match it.
+    sets = _sets(full, percent)
+    # Equal lines: all but the first match it.
     line = F.struct(*LINE)
     firsts = materialize(sets.groupBy("name").agg(F.min(line).alias("first"), F.count(F.lit(1)).alias("k")))
     copies = (
@@ -130,9 +186,9 @@ def repeated_lines(
         .select("e.*")
     )
     # Each token knows the first line that has it, other lines are behind that.
-    prefixes = sets.select("name", "n", F.posexplode("prefix").alias("pos", "token"))
+    prefixes = sets.select("name", "n", "left", "right", F.posexplode("prefix").alias("pos", "token"))
     entries = _shared(prefixes).join(firsts.drop("k"), "name")
-    lists = write_through(entries.select("token", F.struct("first", "name", "n", "pos").alias("e")), "lists")
+    lists = write_through(entries.select("token", F.struct("first", "name", "n", "pos", "left", "right").alias("e")), "lists")
     heads = lists.groupBy("token").agg(F.min("e").alias("head"))
     behind = write_through(lists.join(heads, "token").filter("e.name <> head.name"), "behind")
     matched = materialize(
@@ -140,7 +196,7 @@ def repeated_lines(
             behind.filter(_may_match("e", "head", percent)).select(
                 F.col("e.name").alias("a"), F.col("head.name").alias("b")
             ),
-            named,
+            full,
             percent,
         )
     )
@@ -153,17 +209,15 @@ def repeated_lines(
         .filter(_may_match("later", "e", percent))
         .select(F.col("later.name").alias("a"), F.col("e.name").alias("b"))
     )
-    later = matched.unionByName(_verified(rest, named, percent)).withColumnRenamed("a", "name")
+    later = matched.unionByName(_verified(rest, full, percent)).withColumnRenamed("a", "name")
     return copies.unionByName(firsts.join(later, "name", "left_semi").select("first.*"))
 
 
-def _verified(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """The names ``a`` of pairs (a, b) whose token sets are similar enough; ``named`` has the
-    names and words of all lines."""
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The names ``a`` of pairs (a, b) whose token sets are similar enough."""
     pairs = materialize(pairs.distinct())
     names = materialize(pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct())
-    wanted = named.join(checked_broadcast(names, BROADCAST_LONGS), "name", "left_semi")
-    made = wanted.select("name", _tokens(F.col("words")).alias("tokens"))
+    made = _with_tokens(_only(lines, names)).select("name", "tokens")
     once = materialize(made.dropDuplicates(["name"]))
     mine = once.select(F.col("name").alias("a"), F.col("tokens").alias("mine"))
     theirs = once.select(F.col("name").alias("b"), F.col("tokens").alias("theirs"))
