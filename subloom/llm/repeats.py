@@ -12,7 +12,9 @@ the same offset, and about one position in 85 is kept at 200 bytes.
    are grouped by their hashes, again one bucket at a time.
 
 A task first settles what repeats among its own documents and sends one of each, so a frequent
-passage is as many entries as there are batches. No task holds more than a bucket.
+passage is as many entries as there are batches. No task holds more than a bucket. A bucket answers
+in one row for each block of documents, not for each document, which has samples in most buckets; a
+block then gives one row for each of its documents.
 """
 
 from __future__ import annotations
@@ -160,9 +162,9 @@ def _framed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part.reindex(columns=["bucket", "ids", "keys", "grams", "ranks", "spots", "done"]).astype(object).where(lambda x: x.notna(), None)
 
 
-def _ranked(rows: pd.DataFrame, whole_only: bool) -> pd.DataFrame:
+def _ranked(rows: pd.DataFrame, whole_only: bool, blocks: int) -> pd.DataFrame:
     """Sort one bucket. Per document the stretches that are repeated as a whole (WHOLE) and those
-    whose strings must be compared one by one (DETAIL)."""
+    whose strings must be compared one by one (DETAIL), one row for each block of documents."""
     out_docs: list = []
     out_spots: list[np.ndarray] = []
     plain = rows[rows["done"].isna()]
@@ -202,12 +204,40 @@ def _ranked(rows: pd.DataFrame, whole_only: bool) -> pd.DataFrame:
             mine = use[a:b]
             out_docs.append(names[doc[mine[0]]])
             out_spots.append(np.stack([lo[mine], hi[mine], back[mine]]))
+    block = np.array([k for _, k in out_docs], np.int64) % blocks
+    out = []
+    for b in np.unique(block):
+        mine = np.flatnonzero(block == b)
+        out.append(
+            {
+                "block": b,
+                "ids": [out_docs[k][0] for k in mine],
+                "keys": [out_docs[k][1] for k in mine],
+                "sizes": pack(np.array([out_spots[k].shape[1] for k in mine]), "<u4"),
+                "spots": pack(np.concatenate([out_spots[k] for k in mine], axis=1), "<u4"),
+            }
+        )
+    return pd.DataFrame(out, columns=["block", "ids", "keys", "sizes", "spots"])
+
+
+BLOCK = "block int, ids array<string>, keys array<long>, sizes binary, spots binary"
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row (id, key, spots, detail) for each document of a block; ``detail`` strings must be
+    compared one by one."""
+    found: dict[tuple, list[np.ndarray]] = {}
+    for row in rows.itertuples(index=False):
+        spots, ends = unpack(row.spots, "<u4").reshape(3, -1), np.cumsum(unpack(row.sizes, "<u4"))
+        for key, part in zip(zip(row.ids, row.keys), np.split(spots, ends[:-1], axis=1)):
+            found.setdefault(key, []).append(part)
+    spots = [np.concatenate(parts, axis=1) for parts in found.values()]
     return pd.DataFrame(
         {
-            "id": pd.Series([d[0] for d in out_docs], dtype=object),
-            "key": pd.Series([d[1] for d in out_docs], dtype="int64"),
-            "spots": [s.astype("<u4").tobytes() for s in out_spots],
-            "detail": [int(((s[1] - s[0] + 1) * (s[2] & DETAIL > 0)).sum()) for s in out_spots],
+            "id": pd.Series([i for i, _ in found], dtype=object),
+            "key": pd.Series([k for _, k in found], dtype="int64"),
+            "spots": [x.tobytes() for x in spots],
+            "detail": [int((x[1].astype(np.int64) - x[0] + 1)[x[2] & DETAIL > 0].sum()) for x in spots],
         }
     )
 
@@ -265,11 +295,12 @@ def repeated_strings(
     first = write_through(
         rows.mapInPandas(sampled, ENTRY)
         .groupBy("bucket")
-        .applyInPandas(lambda part: _ranked(part, False), found),
+        .applyInPandas(lambda part: _ranked(part, False, buckets), BLOCK)
+        .groupBy("block")
+        .applyInPandas(_merged, found),
         "samples",
     )
-    per_doc = first.groupBy("id", "key").agg(F.collect_list("spots").alias("spots"), F.sum("detail").alias("detail"))
-    open_ = per_doc.filter("detail > 0").drop("detail")
+    open_ = first.filter("detail > 0").select("id", "key", F.array("spots").alias("spots"))
     strings = first.agg(F.sum("detail")).first()[0] or 0
     finer = max(1, math.ceil(strings / BUCKET_STRINGS))
     # Where the documents to compare are few, the others' texts stay where they are.
@@ -278,7 +309,9 @@ def repeated_strings(
         _with_text(rows.join(keys, "key", "left_semi"), open_)
         .mapInPandas(compared, ENTRY)
         .groupBy("bucket")
-        .applyInPandas(lambda part: _ranked(part, True), found)
+        .applyInPandas(lambda part: _ranked(part, True, buckets), BLOCK)
+        .groupBy("block")
+        .applyInPandas(_merged, found)
     )
     both = first.unionByName(second).drop("detail")
     return write_through(both.withColumn("id", F.col("id").cast(docs.schema[id_column].dataType)), "repeats")
