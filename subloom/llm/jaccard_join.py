@@ -244,30 +244,34 @@ def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) ->
         for chunk in _chunks(batches):
             yield maker.sets(list(chunk["text"]))
 
+    # A bucket answers in one row for each block of names: a set has shingles in most buckets.
+    blocks = max(1, math.ceil(entries / BUCKET_ENTRIES))
+
     def met(shingle, name, size, place) -> pd.DataFrame:
         first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(name) else np.zeros(0, np.int64)
         pivot = np.repeat(name[first], np.diff(np.r_[first, len(name)]))
         pairs = np.unique(np.stack([pivot, name], 1), axis=0)
         names, at, shared = np.unique(name, return_index=True, return_counts=True)
-        missing = np.zeros(len(pairs), np.int64)
-        return pd.DataFrame(
-            {
-                "pivot": pd.Series([*pairs[:, 0], *[None] * len(names)], dtype=object),
-                "name": np.r_[pairs[:, 1], names],
-                "n": np.r_[missing, size[at]],
-                "shared": np.r_[missing, shared],
-            }
-        )
-
-    schema = "pivot long, name long, n long, shared long"
-    stored = write_through(
-        shared_heads(docs, batch_sets, rarity, entries, percent, met, schema), "regions"
-    )
-    counts = stored.filter("pivot IS NULL").groupBy("name").agg(F.max("n").alias("n"), F.sum("shared").alias("s"))
-    near = counts.filter(F.col("s") > F.floor(F.col("n") / MORE)).select("name")
-    return materialize(
-        stored.filter("pivot IS NOT NULL").select("pivot", "name").distinct().join(near, "name", "left_semi")
-    )
+        ours, theirs = names % blocks, pairs[:, 1] % blocks
+        out = []
+        for b in np.unique(ours):
+            mine = ours == b
+            told = np.stack([names[mine], size[at][mine], shared[mine]])
+            out.append((b, pairs[theirs == b].tobytes(), told.tobytes()))
+        return pd.DataFrame(out, columns=["block", "pairs", "told"])
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in rows["pairs"]])
+        name, size, shared = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["told"]], axis=1)
+        names, at, which = np.unique(name, return_index=True, return_inverse=True)
+        total = np.zeros(len(names), np.int64)
+        np.add.at(total, which, shared)
+        enough = names[total > size[at] // MORE]
+        pairs = np.unique(pairs[np.isin(pairs[:, 1], enough)], axis=0)
+        return pd.DataFrame(pairs, columns=["pivot", "name"])
+
+    found = shared_heads(docs, batch_sets, rarity, entries, percent, met, "block int, pairs binary, told binary")
+    return write_through(found.groupBy("block").applyInPandas(near, "pivot long, name long"), "regions")
 
 
 class Region:
