@@ -3,8 +3,9 @@
 Documents are sets of word shingles, and 1 - similarity is a metric. Pivots are documents:
 
 - Every shingle that matters to a set (its rarest quarter, outside of which no similar pair can
-  have all of its overlap) names the pivot of its holders, the set with the least hash. A set
-  belongs to the region of each pivot it is named, so any linked pair shares a region.
+  have all of its overlap) names the pivot of its holders, the set with the least hash; holders
+  whose size allows no link with another holder are left out. A set belongs to the region of each
+  pivot it is named, so any linked pair shares a region.
 - Within a region the distances to the pivot are computed. Sets within the threshold are linked to
   it and are one component from then on; the others are ordered by their distance, and by the
   triangle inequality only sets whose distances differ by the threshold at most can be linked.
@@ -235,6 +236,17 @@ def shared_heads(
     return rows.groupBy("bucket").applyInPandas(gathered, schema)
 
 
+def similar_sizes(shingle: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Marks those holders of a shingle of which another holder's size allows a link."""
+    order = np.lexsort((size, shingle))
+    s, n = shingle[order], size[order]
+    near = (s[1:] == s[:-1]) & (n[:-1] * 100 >= n[1:] * percent)  # sizes rise
+    out = np.zeros(len(s), bool)
+    out[order[1:][near]] = True
+    out[order[:-1][near]] = True
+    return out
+
+
 def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) -> DataFrame:
     """Rows (pivot, name): which sets meet in the region of which pivot. Sets of which too few of
     the rarest shingles are in any other set are similar to none and left out."""
@@ -248,6 +260,8 @@ def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) ->
     blocks = max(1, math.ceil(entries / BUCKET_ENTRIES))
 
     def met(shingle, name, size, place) -> pd.DataFrame:
+        use = similar_sizes(shingle, size, percent)
+        shingle, name, size = shingle[use], name[use], size[use]
         first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(name) else np.zeros(0, np.int64)
         pivot = np.repeat(name[first], np.diff(np.r_[first, len(name)]))
         pairs = np.unique(np.stack([pivot, name], 1), axis=0)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from subloom.llm import jaccard_join
 
 
@@ -24,3 +26,11 @@ def test_few_rows_pass_from_buckets(spark, monkeypatch):
     assert got == sorted((i, 56, i % 40) for i in range(80))
     buckets = -(-sum(56 // 4 + 56 // 8 + 1 for _ in rows) // 100)
     assert asked[0] <= buckets * buckets  # with a row for each set in each bucket some 1,500
+
+
+def test_sizes_that_allow_no_link():
+    shingle = np.array([1, 1, 1, 2, 2, 3, 3, 3, 3], np.uint64)
+    size = np.array([10, 14, 40, 75, 100, 100, 30, 134, 29])
+    want = [False, False, False, True, True, False, True, False, True]
+    assert jaccard_join.similar_sizes(shingle, size, 75).tolist() == want
+    assert len(jaccard_join.similar_sizes(shingle[:0], size[:0], 75)) == 0
