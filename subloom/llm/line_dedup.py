@@ -118,15 +118,26 @@ def _sets(lines: DataFrame, percent: int) -> DataFrame:
     counts = _counts(by_hash, "prefix")
     level = max(FEW, 8 * sum(counts.values()) / CELLS)
     octave = _octaves(counts, level)
+    # Copies of a line are one line: what only they make frequent is not.
+    counts = counts if octave is None else _by_line(by_hash, octave)
+    octave = _octaves(counts, level)
     if octave is None:
         return by_hash
     # What else is frequent in these lines would come first in their next prefixes.
-    more = _counts(_with_tokens(_only(lines, _names(by_hash, octave))), "tokens")
+    some = _only(lines, _names(by_hash, octave)).dropDuplicates(["name"])
+    more = _counts(_with_tokens(some), "tokens")
     octave = _octaves({c: max(counts.get(c, 1), more.get(c, 1)) for c in range(CELLS)}, level)
     again = _prefixed(_with_tokens(_only(lines, _names(by_hash, octave))), percent, octave)
     return by_hash.filter(~_frequent(octave)).unionByName(write_through(again, "lines"))
 
 
+def _by_line(sets: DataFrame, octave: Callable[[Column], Column]) -> dict[int, int]:
+    """How often different lines use the frequent cells in their prefixes."""
+    often = F.filter("prefix", lambda token: octave(token) > 0)
+    used = sets.filter(_frequent(octave)).select("name", often.alias("often")).distinct()
+    return _counts(used, "often")
+
+
 def _frequent(octave: Callable[[Column], Column]) -> Column:
     return F.exists("prefix", lambda token: octave(token) > 0)
 
@@ -249,15 +260,17 @@ def line_dedup(
         "__row", F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
     )
     on = F.col(id_column).eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__of"))
-    pieces = F.split(F.col(text_column), "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(places, lambda i: F.get(pieces, i)), "\n")
+    text = F.col(text_column)
+    # The text is split once, and only if a line goes.
+    stays = lambda piece, i: ~F.array_contains("__gone", i)
+    kept = F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
+    breaks = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
     return (
         marked.join(per_doc, on, "left")
         .withColumns(
             {
-                text_column: F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(kept),
-                "n_lines": F.when(F.col(text_column).isNull(), 0).otherwise(F.size(pieces)),
+                text_column: F.when(F.col("__gone").isNull(), text).otherwise(kept),
+                "n_lines": F.when(text.isNull(), 0).otherwise(breaks + 1),
                 "n_removed": F.coalesce(F.size("__gone"), F.lit(0)),
             }
         )

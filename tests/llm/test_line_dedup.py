@@ -49,3 +49,39 @@ def test_few_pairs_are_verified(spark, monkeypatch, few, cells):
     want = {(i // 4, i % 4) for i in range(len(lines)) if any(alike(sets[i], sets[j]) for j in range(i))}
     assert got == want and len(want) >= 20
     assert sum(sizes) < 4 * len(want)  # some 300 pairs share first shingles
+
+
+def test_copies_make_no_frequent_tokens(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", 8)
+    r = random.Random(4)
+    lines = [" ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, lines[i % 2]) for i in range(60)] + [(60 + i, x) for i, x in enumerate(lines)], "doc long, text string")
+    counted, counts = [], line_dedup._counts
+
+    def noted(sets, column):
+        counted.append((column, sets.count()))
+        return counts(sets, column)
+
+    monkeypatch.setattr(line_dedup, "_counts", noted)
+    rows = line_dedup._sets(line_dedup._lines(docs), 75).collect()
+    assert len(rows) == 65 and len({x.name for x in rows}) == 5
+    assert counted == [("prefix", 65), ("often", 2)]  # all tokens of all 62 copies before
+
+
+def test_frequent_tokens_are_counted_once_a_line(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", 2)
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(10**6)}"
+    stem = [word() for _ in range(20)]
+    lines = [" ".join([*stem, *(word() for _ in range(2))]) for _ in range(12)]
+    docs = spark.createDataFrame([(i, lines[i % 12]) for i in range(120)], "doc_id long, text string")
+    counted, counts = [], line_dedup._counts
+
+    def noted(sets, column):
+        counted.append((column, sets.count()))
+        return counts(sets, column)
+
+    monkeypatch.setattr(line_dedup, "_counts", noted)
+    got = {(x.doc, x.line) for x in line_dedup.repeated_lines(docs).collect()}
+    assert got == {(i, 0) for i in range(1, 120)}  # 16 of 20 shingles are shared
+    assert dict(counted)["tokens"] == 12  # 120 before
