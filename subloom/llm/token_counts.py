@@ -83,10 +83,11 @@ class WordBpe:
         sym[ends - 1] = self.last[raw[ends - 1]]
         seq = np.repeat(np.arange(len(words)), size)
         none, done = len(self.keys), []
+        # The rank of each symbol with its right neighbour; a merge changes two of them.
+        rank = np.full(len(sym), none)
+        inside = np.flatnonzero(seq[1:] == seq[:-1])
+        rank[inside] = self._ranks(sym[inside], sym[inside + 1])
         while len(sym):
-            rank = np.full(len(sym), none)
-            inside = np.flatnonzero(seq[1:] == seq[:-1])
-            rank[inside] = self._ranks(sym[inside], sym[inside + 1])
             first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             length = np.diff(np.r_[first, len(seq)])
             low = np.minimum.reduceat(rank, first)
@@ -102,7 +103,16 @@ class WordBpe:
                 at = at[place % 2 == 0]
             sym[at] = self.made[rank[at]]
             live[at + 1] = False
-            sym, seq = sym[live], seq[live]
+            at = np.cumsum(live)[at] - 1  # where the merged symbols stand from now on
+            sym, seq, rank = sym[live], seq[live], rank[live]
+            new = np.zeros(len(seq) + 1, bool)
+            new[at] = new[at - 1] = True  # -1 is the place behind the last
+            changed = np.flatnonzero(new[:-1])
+            right = np.minimum(changed + 1, len(seq) - 1)
+            inside = (right > changed) & (seq[right] == seq[changed])
+            rank[changed] = none
+            changed, right = changed[inside], right[inside]
+            rank[changed] = self._ranks(sym[changed], sym[right])
         seqs = np.concatenate([s for s, _ in done]) if done else np.zeros(0, np.int64)
         syms = np.concatenate([s for _, s in done]) if done else np.zeros(0, np.int64)
         order = np.argsort(seqs, kind="stable")
@@ -127,14 +137,19 @@ class WordBpe:
         parts = self.words.findall("\n".join(compress(pieces, simple)).lower())
         breaks = np.fromiter((p == "\n" for p in parts), bool, len(parts))
         owners = mine[np.cumsum(breaks)[~breaks]] if len(mine) else mine
-        words = [p.encode() for p in parts if p != "\n"]
-        if words:
-            ids, counts = self.merge(words)
-            raw = ids.astype("<u4").tobytes()
-            total = np.bincount(owners, counts, len(pieces)).astype(np.int64) * 4
+        # Pieces share words ("the", "The", "the,"): each is merged once.
+        number: dict[str, int] = {}
+        use = np.array([number.setdefault(p, len(number)) for p in parts if p != "\n"], np.int64)
+        if number:
+            ids, counts = self.merge([w.encode() for w in number])
+            first, size = np.cumsum(counts) - counts, counts[use]
+            before = np.cumsum(size) - size
+            raw = ids[np.repeat(first[use] - before, size) + np.arange(size.sum())].astype("<u4").tobytes()
+            total = np.bincount(owners, size, len(pieces)).astype(np.int64) * 4
             stop = np.cumsum(total)
-            for i in np.flatnonzero(total):
-                out[i] = raw[stop[i] - total[i] : stop[i]]
+            some = np.flatnonzero(total)
+            for i, a, b in zip(some.tolist(), (stop - total)[some].tolist(), stop[some].tolist()):
+                out[i] = raw[a:b]
         return out
 
 
@@ -163,7 +178,7 @@ class Encoder:
             self.known.clear()
         split = [None if SEPARATORS.search(t) else t.split() for t in texts]
         known = self.known
-        fresh = list({p for ps in split if ps for p in ps if p not in known})
+        fresh = list(set().union(*(ps for ps in split if ps)).difference(known))
         known.update(zip(fresh, self.bpe.encode(fresh)))
         for text, pieces in zip(texts, split):
             if pieces is None:  # separators that only one of the two splits at

@@ -138,6 +138,24 @@ def test_special_pieces():
         assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == want
 
 
+def test_words_are_merged_once_and_pairs_looked_up_where_they_change(monkeypatch):
+    from tokenizers import Tokenizer
+
+    merged, looked, merge, ranks = [], [], token_counts.WordBpe.merge, token_counts.WordBpe._ranks
+    monkeypatch.setattr(token_counts.WordBpe, "merge", lambda bpe, words: (merged.append(len(words)), merge(bpe, words))[1])
+    monkeypatch.setattr(token_counts.WordBpe, "_ranks", lambda bpe, a, b: (looked.append(len(a)), ranks(bpe, a, b))[1])
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdeéz") for _ in range(r.randint(1, 60))) for _ in range(300)] + ["a" * n for n in range(1, 70)]
+    texts = [" ".join(f"{a}{w}{b}" for w in words for a, b in (("", ""), ("", ","), ("(", ")"), ("-", "."))), words[0].upper()]
+    library = Tokenizer.from_file(VOCABULARY)
+    for text, ids in zip(texts, token_counts.Encoder(VOCABULARY).texts(texts)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == want
+    kinds = len(set(words)) + 5
+    assert sum(merged) <= kinds  # each of some 370 words four times before
+    assert sum(looked) <= 4 * sum(len(w.encode()) for w in set(words))
+
+
 @pytest.mark.parametrize("digest_bytes, copies", [(16, 1_000), (1, 1_000), (16, 1)])
 def test_exact(docs, monkeypatch, digest_bytes, copies):
     monkeypatch.setattr(exact_dedup, "COPIES", copies)
