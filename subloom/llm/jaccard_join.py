@@ -5,7 +5,8 @@ Documents are sets of word shingles, and 1 - similarity is a metric. Pivots are
 - Every shingle that matters to a set (its rarest quarter, outside of which no similar pair can
   have all of its overlap) names the pivot of its holders, the set with the least hash; holders
   whose size allows no link with another holder are left out. A set belongs to the region of each
-  pivot it is named, so any linked pair shares a region.
+  pivot it is named, so any linked pair shares a region. A linked pair has several of these
+  shingles in common, so a set stays away from regions that few of its shingles name.
 - Within a region the distances to the pivot are computed. Sets within the threshold are linked to
   it and are one component from then on; the others are ordered by their distance, and by the
   triangle inequality only sets whose distances differ by the threshold at most can be linked.
@@ -247,6 +248,36 @@ def similar_sizes(shingle: np.ndarray, size: np.ndarray, percent: int) -> np.nda
     return out
 
 
+def counted_pairs(pivot: np.ndarray, name: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Different rows (pivot, name, sum of shingles)."""
+    order = np.lexsort((pivot, name))
+    pivot, name, shingles = pivot[order], name[order], shingles[order]
+    first = np.ones(len(name), bool)
+    first[1:] = (name[1:] != name[:-1]) | (pivot[1:] != pivot[:-1])
+    at = np.flatnonzero(first)
+    total = np.add.reduceat(shingles, at) if len(at) else shingles
+    return np.stack([pivot[at], name[at], total], 1)
+
+
+def spared(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its rarest shingles a set of that size may leave unnamed. Of a linked pair, each
+    has at least 1 + ``size // MORE`` of the common shingles among its rarest, the same ones up to
+    the smaller number; so one is left if both leave out half of what the smallest partner has."""
+    return -(-size * percent // 100) // MORE // 2
+
+
+def needed_regions(name: np.ndarray, shingles: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Marks the regions of each name but those named by its fewest shingles, together ``most`` at
+    most."""
+    order = np.lexsort((shingles, name))
+    n, sums = name[order], np.cumsum(shingles[order])
+    first = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else np.zeros(0, np.int64)
+    before = np.repeat(sums[first] - shingles[order][first], np.diff(np.r_[first, len(n)]))
+    out = np.zeros(len(name), bool)
+    out[order] = sums - before > most[order]
+    return out
+
+
 def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) -> DataFrame:
     """Rows (pivot, name): which sets meet in the region of which pivot. Sets of which too few of
     the rarest shingles are in any other set are similar to none and left out."""
@@ -264,7 +295,7 @@ def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) ->
         shingle, name, size = shingle[use], name[use], size[use]
         first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(name) else np.zeros(0, np.int64)
         pivot = np.repeat(name[first], np.diff(np.r_[first, len(name)]))
-        pairs = np.unique(np.stack([pivot, name], 1), axis=0)
+        pairs = counted_pairs(pivot, name, np.ones(len(name), np.int64))
         names, at, shared = np.unique(name, return_index=True, return_counts=True)
         ours, theirs = names % blocks, pairs[:, 1] % blocks
         out = []
@@ -275,17 +306,23 @@ def _regions(docs: DataFrame, rarity: np.ndarray, entries: int, percent: int) ->
         return pd.DataFrame(out, columns=["block", "pairs", "told"])
 
     def near(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in rows["pairs"]])
+        pairs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows["pairs"]])
         name, size, shared = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["told"]], axis=1)
         names, at, which = np.unique(name, return_index=True, return_inverse=True)
         total = np.zeros(len(names), np.int64)
         np.add.at(total, which, shared)
-        enough = names[total > size[at] // MORE]
-        pairs = np.unique(pairs[np.isin(pairs[:, 1], enough)], axis=0)
-        return pd.DataFrame(pairs, columns=["pivot", "name"])
+        enough = total > size[at] // MORE
+        pairs = pairs[np.isin(pairs[:, 1], names[enough])]
+        pivot, name, shingles = counted_pairs(*pairs.T).T
+        most = spared(size[at], percent)[np.searchsorted(names, name)]
+        needed = needed_regions(name, shingles, most)
+        return pd.DataFrame({"pivot": pivot[needed], "name": name[needed]})
 
     found = shared_heads(docs, batch_sets, rarity, entries, percent, met, "block int, pairs binary, told binary")
-    return write_through(found.groupBy("block").applyInPandas(near, "pivot long, name long"), "regions")
+    regions = write_through(found.groupBy("block").applyInPandas(near, "pivot long, name long"), "regions")
+    # Where a set is left alone nothing can be linked.
+    alone = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("sets")).filter("sets = 1").select("pivot")
+    return materialize(regions.join(checked_broadcast(materialize(alone)), "pivot", "left_anti"))
 
 
 class Region:
