@@ -59,6 +59,8 @@ def test_sets_stay_away_from_chance_regions(spark, monkeypatch):
     rows += [(60 + i, " ".join([*t[:-1], "other"])) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     stored, regions = [], jaccard_join._regions
+    # As if no shingle were known to be rarer than another.
+    monkeypatch.setattr(jaccard_join, "rarity_of", lambda pieces: np.zeros(jaccard_join.CELLS, np.uint64))
 
     def counted(*args):
         out = regions(*args)
