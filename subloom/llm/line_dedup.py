@@ -6,8 +6,8 @@ Jaccard similarity of at least ``threshold`` share a token among the first
 ``floor((1 - threshold) * n) + 1`` of each, their lengths differ by no more than the threshold, the
 shared token stands where enough tokens remain, and sketches of 128 bits differ in no more bits than
 the sets may in tokens. Only pairs that pass all of this are verified. Equal lines count as their
-first. Each meets the first line of every token it has in its prefix; only one that matches none of
-them meets the others before it.
+first. The few lines of most tokens all meet; where many share one, each meets the first of them, and
+only a line that matches nothing so far meets the others before it.
 
 All of it is DataFrame operations.
 """
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subloom.llm.words import SHINGLE, let, word_list
+from subloom.llm.words import BREAKS, SHINGLE, let
 from subloom.operators.skew import checked_broadcast
 from subloom.session import materialize, write_through
 
@@ -28,18 +28,31 @@ from subloom.session import materialize, write_through
 CELLS, FEW = 1 << 16, 512
 # Up to so many tokens or names are broadcast: one long each, some 64 MB.
 BROADCAST_LONGS = 2_000_000
+# Lines of a shared token that meet one another at once; of more, the first one is met first.
+SHORT = 100
 LINE = ["doc", "row", "line"]
-WORD = r"[^\x20\x09-\x0D]"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Rows (doc, row, line, name, text) of lines with words: ``row`` tells rows of one id apart by
-    their text, ``name`` is a hash of the line as it stands, which costs no words."""
+    their text, ``name`` is a hash of the line as it stands, which costs no words. Texts that are not
+    among ``rows``, if given, are not split."""
     text = F.coalesce("text", F.lit(""))
     # The hash is made before the lines are listed, once for a document.
-    parts = docs.select("doc", F.xxhash64(text).alias("row"), F.split(text, "\n").alias("parts"))
-    lines = parts.select("doc", "row", F.posexplode_outer("parts").alias("line", "text"))
-    return lines.filter(F.col("text").rlike(WORD)).withColumn("name", F.xxhash64("text"))
+    docs = docs.select("doc", F.xxhash64(text).alias("row"), text.alias("text"))
+    if rows is not None:
+        docs = docs.join(checked_broadcast(rows, BROADCAST_LONGS), "row", "left_semi")
+    lines = docs.select("doc", "row", F.posexplode_outer(F.split("text", "\n")).alias("line", "text"))
+    return lines.filter(F.btrim("text", F.lit(" " + BREAKS)) != "").withColumn("name", F.xxhash64("text"))
+
+
+def _word_keys(text: Column) -> Column:
+    """The words of a line as ``word_list`` gives them, but URL-encoded: equal keys are equal words.
+    Encoded text is ASCII, where lower case concerns A-Z alone and costs a fraction of ``translate``."""
+    plain = F.url_encode(text)
+    for space in "\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(f"%{ord(space):02X}"), F.lit("+"))
+    return F.array_remove(F.split(F.lower(plain), r"\+"), "")
 
 
 def _tokens(words: Column) -> Column:
@@ -60,7 +73,7 @@ def _cell(token: Column) -> Column:
 
 def _with_tokens(lines: DataFrame) -> DataFrame:
     """Lines with their tokens in the order of their hashes, in place of the text."""
-    tokens = F.sort_array(_tokens(word_list(F.col("text"))))
+    tokens = F.sort_array(_tokens(_word_keys(F.col("text"))))
     return lines.select(*LINE, "name", tokens.alias("tokens"))
 
 
@@ -83,15 +96,14 @@ def _octaves(counts: dict[int, int], level: float) -> Callable[[Column], Column]
     return (lambda token: F.coalesce(F.get(table, _cell(token)), F.lit(0))) if any(each) else None
 
 
-def _sketch(half: int) -> Column:
-    """One half of 128 bits, each the parity of the number of tokens that fall on it."""
+def _sketch(tokens: Column) -> Column:
+    """64 bits, each the parity of the number of tokens that fall on it."""
 
     def flipped(bits: Column, token: Column) -> Column:
-        side = F.shiftrightunsigned(token, 6).bitwiseAND(F.lit(1))
-        one = side if half else F.lit(1) - side
-        return bits.bitwiseXOR(F.call_function("shiftleft", one, token.bitwiseAND(F.lit(63)).cast("int")))
+        place = token.bitwiseAND(F.lit(63)).cast("int")
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
 
-    return F.aggregate("tokens", F.lit(0).cast("long"), flipped)
+    return F.aggregate(tokens, F.lit(0).cast("long"), flipped)
 
 
 def _prefixed(sets: DataFrame, percent: int, octave: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -101,13 +113,25 @@ def _prefixed(sets: DataFrame, percent: int, octave: Callable[[Column], Column]
         ranked = F.sort_array(F.transform(tokens, lambda t: F.struct(octave(t).alias("o"), t.alias("t"))))
         tokens = F.transform(ranked, lambda x: x["t"])
     size = F.expr(f"size(tokens) - (size(tokens) * {percent} + 99) div 100 + 1").cast("int")
-    return sets.select(
-        *LINE,
-        "name",
-        F.size("tokens").alias("n"),
-        _sketch(0).alias("left"),
-        _sketch(1).alias("right"),
-        F.slice(tokens, F.lit(1), size).alias("prefix"),
+    # Tokens are sorted: the left half of a sketch is that of the negative ones, and each token is
+    # taken up once. Steps of their own keep compiled what stands beside a sketch's lambda.
+    zero = F.lit(0).cast("long")
+    below = F.array_position(F.sort_array(F.array_append("tokens", zero)), zero) - 1
+    halves = {
+        "left": F.slice("tokens", F.lit(1), F.col("below")),
+        "right": F.slice("tokens", F.col("below") + 1, F.size("tokens")),
+    }
+    return (
+        sets.withColumns({"prefix": F.slice(tokens, F.lit(1), size), "below": below.cast("int")})
+        .select(*LINE, "name", *[half.alias(side) for side, half in halves.items()], "prefix")
+        .select(
+            *LINE,
+            "name",
+            (F.size("left") + F.size("right")).alias("n"),
+            _sketch(F.col("left")).alias("left"),
+            _sketch(F.col("right")).alias("right"),
+            "prefix",
+        )
     )
 
 
@@ -184,9 +208,8 @@ def repeated_lines(
     words match nothing."""
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
     percent = round(threshold * 100)
-    full = _lines(rows)
     # Only prefixes are stored; the tokens of a line that is to be verified are made again.
-    sets = _sets(full, percent)
+    sets = _sets(_lines(rows), percent)
     # Equal lines: all but the first match it.
     line = F.struct(*LINE)
     firsts = materialize(sets.groupBy("name").agg(F.min(line).alias("first"), F.count(F.lit(1)).alias("k")))
@@ -196,39 +219,55 @@ def repeated_lines(
         .filter(~F.col("e").eqNullSafe(F.col("first")))
         .select("e.*")
     )
-    # Each token knows the first line that has it, other lines are behind that.
     prefixes = sets.select("name", "n", "left", "right", F.posexplode("prefix").alias("pos", "token"))
     entries = _shared(prefixes).join(firsts.drop("k"), "name")
     lists = write_through(entries.select("token", F.struct("first", "name", "n", "pos", "left", "right").alias("e")), "lists")
+    later = _later(lists, rows, firsts, percent).withColumnRenamed("a", "name")
+    return copies.unionByName(firsts.join(later, "name", "left_semi").select("first.*"))
+
+
+def _later(lists: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The names ``a`` of lines that match the first line of another name before them."""
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    long = materialize(sizes.filter(F.col("k") > SHORT).select("token"))
+    if long.isEmpty():
+        return _verified(_pairs(lists, percent).distinct(), docs, firsts, percent)
+    long = checked_broadcast(long, BROADCAST_LONGS)
+    short, lists = lists.join(long, "token", "left_anti"), lists.join(long, "token", "left_semi")
+    # Each token knows the first line that has it, other lines are behind that.
     heads = lists.groupBy("token").agg(F.min("e").alias("head"))
     behind = write_through(lists.join(heads, "token").filter("e.name <> head.name"), "behind")
-    matched = materialize(
-        _verified(
-            behind.filter(_may_match("e", "head", percent)).select(
-                F.col("e.name").alias("a"), F.col("head.name").alias("b")
-            ),
-            full,
-            percent,
-        )
+    to_head = behind.filter(_may_match("e", "head", percent)).select(
+        F.col("e.name").alias("a"), F.col("head.name").alias("b")
     )
+    pairs = _pairs(short, percent).unionByName(to_head).distinct()
+    matched = materialize(_verified(pairs, docs, firsts, percent))
     waiting = behind.select("token", F.col("e").alias("later"), F.col("e.name").alias("a"))
     open_ = waiting.join(matched, "a", "left_anti").drop("a")
     rest = (
         behind.select("token", "e")
         .join(open_, "token")
-        .filter("e.first < later.first")
         .filter(_may_match("later", "e", percent))
+        .filter("e.first < later.first")
         .select(F.col("later.name").alias("a"), F.col("e.name").alias("b"))
     )
-    later = matched.unionByName(_verified(rest, full, percent)).withColumnRenamed("a", "name")
-    return copies.unionByName(firsts.join(later, "name", "left_semi").select("first.*"))
+    return matched.unionByName(_verified(rest.distinct(), docs, firsts, percent))
+
+
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a later and an earlier line of one list that may match."""
+    both = lists.alias("x").join(lists.alias("y"), F.col("x.token") == F.col("y.token"))
+    met = both.filter(_may_match("x.e", "y.e", percent)).filter("x.e.first < y.e.first")
+    return met.select(F.col("y.e.name").alias("a"), F.col("x.e.name").alias("b"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The names ``a`` of pairs (a, b) whose token sets are similar enough."""
-    pairs = materialize(pairs.distinct())
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The names ``a`` of different pairs (a, b) whose token sets are similar enough. The tokens are made again,
+    from the texts that have a first line of these names."""
+    pairs = materialize(pairs)
     names = materialize(pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct())
-    made = _with_tokens(_only(lines, names)).select("name", "tokens")
+    rows = materialize(_only(firsts, names).select("first.row").distinct())
+    made = _with_tokens(_only(_lines(docs, rows), names)).select("name", "tokens")
     once = materialize(made.dropDuplicates(["name"]))
     mine = once.select(F.col("name").alias("a"), F.col("tokens").alias("mine"))
     theirs = once.select(F.col("name").alias("b"), F.col("tokens").alias("theirs"))
