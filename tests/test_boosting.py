@@ -240,3 +240,63 @@ def test_no_rows_and_one_class(spark):
     assert fit_boosters(frame(spark, x, y).limit(0), jobs, "reg")[0].scores(x).tolist() == [0.0] * 20
     flat = fit_boosters(frame(spark, x, np.ones(20)), jobs, "clf")[0]
     assert all(flat.scores(x) > 0.99)
+
+
+def test_a_task_takes_its_model_through_many_rounds(spark, monkeypatch):
+    """Jobs of Spark do not grow with the rounds, and what a job begins with is made from the trees."""
+    x, y = table(200, 9)
+    members = [Member("a", step=0.05, leaves=6, sample=0.8, patience=3), Member("b", step=0.05, depth=2, rounds=90)]
+    jobs = [Job(m, i) for m in members for i in range(2)]
+    taken, plain = [], type(spark.sparkContext).union
+    monkeypatch.setattr(type(spark.sparkContext), "union", lambda sc, rdds: taken.append(len(rdds)) or plain(sc, rdds))
+    whole = fit_boosters(frame(spark, x, y), jobs, "reg")
+    assert taken == [4] and max(len(m.errors) for m in whole) > 50
+    monkeypatch.setattr(boosting, "FIRST_ROUNDS", 20)
+    parts = fit_boosters(frame(spark, x, y, parts=4), jobs, "reg")
+    assert len(taken) > 2 and all(same(a, b) for a, b in zip(whole, parts))
+
+
+def test_features_of_few_bins_share_a_pass():
+    assert trees.packs([64, 64, 3, 3, 3, 65], 4_096) == [[5, 2, 3, 4], [0, 1]]
+    assert trees.packs([3] * 9, 250) == [[0, 1, 2, 3, 4], [5, 6, 7, 8]]
+    assert sorted(sum(trees.packs([300, 2, 64], 256), [])) == [0, 1, 2]
+    r = np.random.default_rng(5)
+    bins = r.integers(0, 3, (5_000, 40)).astype(np.uint8)
+    assert len(trees.Coded(bins, np.arange(41) * 3).shared(trees.PAIR_CELLS)) == 6
+
+
+@pytest.mark.parametrize("task", ["reg", "clf"])
+def test_rows_by_leaf_and_walks_agree_with_one_row_at_a_time(task):
+    x, y = table(3_000, 11)
+    y = (y > np.median(y)).astype(float) if task == "clf" else y
+    edges = [np.arange(0.5, 11)] * 4
+    bins, marks = to_bins(x, edges), np.arange(3_000).astype(np.uint64)
+    block = boosting.Block(bins, y, np.arange(3_000) % 3, np.full(3_000, -2), marks)
+    setup = boosting.Setup(task, edges, [0.0], 2.0**-30, 2.0**-30, 2.0**-20)
+    member = Member("m", step=0.3, leaves=12, sample=0.7)
+    score, grown, _ = boosting._advance(block, np.zeros(3_000), Job(member, 0), 0, 4, setup)
+    x[5] = np.inf, -np.inf, np.inf, -np.inf
+    plain = np.zeros(3_000)
+    for tree in grown:
+        at = tree.leaf_of(bins, binned=True)
+        plain += np.array(tree.value)[at]
+        leaves = trees.Leaves(np.ascontiguousarray(bins.T), None, 1_000)
+        leaves.follow(tree)
+        for leaf, (rows, seen) in leaves.held.items():
+            assert rows.tolist() == np.flatnonzero(at == leaf).tolist() and seen == (rows < 1_000).sum()
+        some = sorted(set(at))[:2]
+        part = trees.Leaves(np.ascontiguousarray(bins.T), np.arange(3_000), 0)
+        part.follow(tree, some)
+        assert all(part.held[n][0].tolist() == np.flatnonzero(at == n).tolist() for n in some)
+    assert plain.tolist() == score.tolist()
+    whole = np.zeros(3_000)
+    for tree in grown:
+        whole += np.array(tree.value)[tree.leaf_of(x, binned=False)]
+    model = boosting.Booster("reg", 0.0, 4, grown)
+    assert model.scores(x).tolist() == whole.tolist()
+    flat = trees.Tree(*([v] for v in (0, 2, True, 1, 2, np.inf, 0.0, 1.0, 1.0)))
+    flat.left[0], flat.right[0] = flat.add(), flat.add()
+    flat.value[1:] = [1.0, 2.0]
+    for flat.missing_left[0] in (True, False):
+        got = trees.predict([trees.Walk.of(flat, 4)], x, 0.0)
+        assert got.tolist() == np.array(flat.value)[flat.leaf_of(x, binned=False)].tolist()
