@@ -256,6 +256,19 @@ def test_a_task_takes_its_model_through_many_rounds(spark, monkeypatch):
     assert len(taken) > 2 and all(same(a, b) for a, b in zip(whole, parts))
 
 
+def test_many_models_share_the_cores_a_model_each(spark, monkeypatch):
+    """Beyond LOCAL_CELLS, too, as long as they keep half of the cores busy."""
+    x, y = table(60, 1)
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", x.size // 3)
+    monkeypatch.setattr(boosting, "_run_spread", lambda *a: pytest.fail("spread"))
+    many = [Job(Member(str(i), step=0.3, depth=2, rounds=1)) for i in range(cores)]
+    assert len(fit_boosters(frame(spark, x, y), many, "reg")) == cores
+    monkeypatch.setattr(boosting, "BUSY", 2)
+    with pytest.raises(pytest.fail.Exception):
+        fit_boosters(frame(spark, x, y), many, "reg")
+
+
 def test_features_of_few_bins_share_a_pass():
     assert trees.packs([64, 64, 3, 3, 3, 65], 4_096) == [[5, 2, 3, 4], [0, 1]]
     assert trees.packs([3] * 9, 250) == [[0, 1, 2, 3, 4], [5, 6, 7, 8]]
